@@ -1,0 +1,32 @@
+"""Queries of this subpackage and, where SQL can say them, their SQL."""
+
+from __future__ import annotations
+
+from ..runtime import table
+from .distinctive import distinctive_terms
+
+
+def p1_found(spark, d):
+    return distinctive_terms(table(spark, d, "records"), "position", ["heading", "text"], min_tf=3, max_df=8).select("position", "term")
+
+
+def p1_terms(spark, d):
+    return distinctive_terms(table(spark, d, "records"), "position", ["heading", "text"]).selectExpr("position", "term", "tf", "df", "cf", "round(llr, 3) as llr")
+
+
+_P1 = r"""
+WITH w AS (SELECT position, unnest(regexp_extract_all(lower(coalesce(heading, '') || ' ' || coalesce(text, '')), '[a-z]+')) AS term FROM records),
+tf AS (SELECT position, term, count(*) AS tf FROM w GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1),
+sz AS (SELECT position, sum(tf) AS size FROM tf GROUP BY 1),
+al AS (SELECT sum(cf) AS total FROM df),
+t AS (SELECT position, term, tf, df, cf::BIGINT AS cf, tf::DOUBLE AS a, (cf - tf)::DOUBLE AS b, (size - tf)::DOUBLE AS c, (total - size - cf + tf)::DOUBLE AS d
+      FROM tf JOIN df USING (term) JOIN sz USING (position), al)
+"""
+_X = "(CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END)"
+_G = "2 * (" + " + ".join(_X.format(v) for v in ("a", "b", "c", "d", "(a+b+c+d)")) + " - " + " - ".join(_X.format(v) for v in ("(a+b)", "(c+d)", "(a+c)", "(b+d)")) + ")"
+SQL = {
+    "p1_found": _P1 + "SELECT position, term FROM t WHERE tf >= 3 AND df <= 8",
+    "p1_terms": _P1 + f"SELECT position, term, tf, df, cf, round(CASE WHEN a * (b + d) >= b * (a + c) THEN greatest({_G}, 0) ELSE -greatest({_G}, 0) END, 3) AS llr FROM t",
+}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms}

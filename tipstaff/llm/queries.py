@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..runtime import table
 from .distinctive import distinctive_terms
+from .sentences import sentences
 
 
 def p1_found(spark, d):
@@ -29,4 +30,13 @@ SQL = {
     "p1_found": _P1 + "SELECT position, term FROM t WHERE tf >= 3 AND df <= 8",
     "p1_terms": _P1 + f"SELECT position, term, tf, df, cf, round(CASE WHEN a * (b + d) >= b * (a + c) THEN greatest({_G}, 0) ELSE -greatest({_G}, 0) END, 3) AS llr FROM t",
 }
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms}
+
+def p8_found(spark, d):
+    return sentences(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p8_sentences(spark, d):
+    return sentences(table(spark, d, "documents"), "doc_id", "text", "lang", with_text=True)
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p8_found": p8_found, "p8_sentences": p8_sentences}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..runtime import table
 from .distinctive import distinctive_terms
+from .mixing import mix, mix_report
+from .packing import pack, pack_report
 from .sentences import sentences
 
 
@@ -39,4 +41,30 @@ def p8_sentences(spark, d):
     return sentences(table(spark, d, "documents"), "doc_id", "text", "lang", with_text=True)
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p8_found": p8_found, "p8_sentences": p8_sentences}
+def _specs(spark, d):
+    return [(r["spec_name"], r["capacity_tokens"]) for r in table(spark, d, "packing_specs").select("spec_name", "capacity_tokens").collect()]
+
+
+def p6_windows(spark, d):
+    return pack(table(spark, d, "documents"), "doc_id", "text", _specs(spark, d))
+
+
+def p6_report(spark, d):
+    return pack_report(p6_windows(spark, d), _specs(spark, d))
+
+
+def _mix(spark, d):
+    rows = table(spark, d, "mix_targets").select("mix_name", "source", "target_share", "max_repeats").collect()
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", [tuple(r) for r in rows])
+
+
+def p7_mix(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p7_report(spark, d):
+    drawn, targets = _mix(spark, d)
+    return mix_report(drawn, "doc_id", targets)
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

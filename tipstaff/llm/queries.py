@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..runtime import table
 from .distinctive import distinctive_terms
 from .mixing import mix, mix_report
+from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .packing import pack, pack_report
 from .sentences import sentences
 
@@ -67,4 +68,12 @@ def p7_report(spark, d):
     return mix_report(drawn, "doc_id", targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+def p3_found(spark, d):
+    return near_duplicate_pairs(table(spark, d, "records"), "position", "act", "text").select("position_a", "position_b")
+
+
+def p3_groups(spark, d):
+    return near_duplicate_groups(table(spark, d, "records"), "position", "act", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_groups": p3_groups, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

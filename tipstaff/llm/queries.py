@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import table
+
+from .canonical import map_values
 from .distinctive import distinctive_terms
 from .mixing import mix, mix_report
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -76,4 +80,20 @@ def p3_groups(spark, d):
     return near_duplicate_groups(table(spark, d, "records"), "position", "act", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_groups": p3_groups, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+def p2_mapped(spark, d):
+    """Every typed edge once, with the entry meant."""
+    register = [tuple(r) for r in table(spark, d, "act_register").select("act_id", "title", "jurisdiction").collect()]  # the reference list
+    edges = table(spark, d, "typed_edges").groupBy("edge_ord").agg(F.max("target_act").alias("target_act"))
+    return map_values(edges, "edge_ord", "target_act", register)
+
+
+def p2_found(spark, d):
+    return p2_mapped(spark, d).where("status not in ('blank', 'exact')").select("edge_ord", F.col("entry_id").alias("act_id"))
+
+
+def p2_unlisted(spark, d):
+    """Values the list does not hold, with how often they were typed."""
+    return p2_mapped(spark, d).where("status in ('unlisted', 'ambiguous')").groupBy("typed", "status").agg(F.count(F.lit(1)).alias("edges"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

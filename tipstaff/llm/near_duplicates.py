@@ -1,32 +1,35 @@
 """Problem 3: records that carry almost the same text, by PartEnum signatures.
 
-A record's features are the distinct runs of three successive words of its act and text. Records of equal
-feature sets form a class; one representative stands for it, so copies cost nothing more.
-
-Method. The feature domain is hashed into n1 parts and each part into N2 cells; a signature of a set is
-its content in one choice of TAKE of the N2 cells of one part. Sets that are similar enough agree on at
-least one choice. n1 belongs to a band of set sizes and grows with it, so a signature holds about as many
-features in every band; a set near the upper end of its band, which may have a partner in the next one,
-also gets that band's signatures. Features in more than COMMON of all classes (phrases of the drafting
-style) are left out of the domain first: leaving features out can only lower the distance of two sets, and
-what remains is rare enough that a signature of two or more features is shared by few unrelated records.
-There are at most (mean set size)/COMMON such features, whatever the number of records, and only they are
-sent to every task. Signatures of fewer than two features are not used; a pair is lost only if every
-choice on which its two sets agree is that small, which did not happen in any brute-force comparison (see
-the README). Every candidate pair is checked exactly on the full sets.
-
-A signature held by many different classes is not paired within one task: its members are joined through
-their own blocks of SPLIT members, so each task's work is bounded and no pair is skipped.
+A record's features are the distinct runs of three successive words of its act and text, as 50-bit hashes.
+Records of equal feature sets form a class, named by a 64-bit hash of the set; everything up to the last
+step works on classes, so copies cost nothing more.
+
+Method. The feature domain is hashed into n1 parts and each part into two cells; a signature of a set is
+its content in one cell, or in the whole part where neither cell holds enough. Sets that are similar enough
+agree on at least one choice. n1 belongs to a band of set sizes and grows with it, so a signature holds
+about as many features in every band; a set that may have a partner in the next band also gets that band's
+signatures. Features in more than COMMON of all records (phrases of the drafting style) are left out of
+the domain first: leaving features out can only lower the distance of two sets, and what remains is rare
+enough that a signature of two or more features is shared by few unrelated records. There are at most
+(mean set size)/COMMON such features, whatever the number of records, and only they go to every task.
+Signatures of fewer than two features are not used: a pair is lost only if every choice on which its two
+sets agree is that small (see the README for the recall measured against brute force).
+
+Signatures are shuffled once and sorted; pairs are formed inside the sorted stream. Each row carries the
+set's size and a parity sketch of its features: two sets differ in at least as many features as their
+sketches differ in bits, so most unrelated pairs are refused at once without any loss. A signature with
+more than SPLIT classes is not paired in that task: its members are joined block by block in a further
+step. The remaining pairs are checked exactly on the full sets, which are computed again only for classes
+that stand in a candidate pair.
 
 Defined results. Null act counts as empty, null text as no words. Records with fewer than min_words words
-are in no pair and form classes of their own. Ties and repeated rows: equal sets are at distance 0; a
-record is never its own partner. Empty tables give no rows; extra columns are ignored.
+are in no pair and no class. Equal sets share 1.0; a record is never its own partner. Empty tables give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,167 +38,273 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import runs
-from ..runtime import materialize, spread
+from ..runtime import materialize
 
-#: Share of all classes beyond which a feature is a phrase of the style and no evidence.
-COMMON = 0.005
-#: Upper set sizes of the bands and the parts of each band; beyond, sizes and parts go on threefold.
-BANDS = [(210, 9)]
-BAND_STEP = 3
-N2, TAKE = 4, 2
-#: Members of one signature that one task pairs with SPLIT others.
-SPLIT = 256
-CHOICES = list(combinations(range(N2), TAKE))
+#: Share of all records beyond which a feature is a phrase of the style and no evidence.
+COMMON = 0.01
+#: Upper set size of the first band and its parts; sizes and parts go on threefold from band to band.
+FIRST_SIZE, FIRST_PARTS, STEP = 210, 24, 3
+#: Classes of one signature that are paired within a task; wider ones are paired block by block.
+SPLIT = 512
+#: Slots of the filter that keeps classes without candidates out of the last step: bounds what is broadcast.
+SLOTS = 1 << 21
+#: Rows whose sets are worked on at once; 50 bits are left for a feature beside 14 for the row.
+CHUNK = 8_192
+U = np.uint64
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
-    return np.maximum(np.ceil(np.log(np.maximum(size, 1) / BANDS[0][0]) / np.log(BAND_STEP) - 1e-9), 0).astype(np.int64)
+    return np.maximum(np.ceil(np.log(np.maximum(size, 1) / FIRST_SIZE) / np.log(STEP) - 1e-9), 0).astype(np.int64)
 
 
 def parts_of(band: np.ndarray) -> np.ndarray:
-    return BANDS[0][1] * BAND_STEP**band
-
-
-def _sets(batch: pa.RecordBatch, min_words: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a batch (key, act, text): row and hash of the distinct features of the rows with enough words."""
-    act, text = pc.fill_null(batch.column(1), ""), pc.fill_null(batch.column(2), "")
-    row, *_ = runs.words(text, runs.LETTERS_DIGITS)
-    enough = np.bincount(row, minlength=batch.num_rows) >= min_words
-    both = pc.binary_join_element_wise(act, text, " ")
-    row, start, stop, raw = runs.words(pc.if_else(pa.array(enough), both, ""), runs.LETTERS_DIGITS)
-    if len(row) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = runs.word_hashes(start, stop, raw)
-    n = len(h) - width + 1
-    run = np.zeros(n, np.uint64)
-    for i in range(width):
-        run = runs.mix(run * np.uint64(3) + h[i : i + n])
-    same = row[:n] == row[width - 1 :]
-    at, feature = row[:n][same], run[same]
-    order = np.lexsort((feature, at))
-    at, feature = at[order], feature[order]
-    first = np.ones(len(at), bool)
-    first[1:] = (at[1:] != at[:-1]) | (feature[1:] != feature[:-1])
-    return at[first], feature[first]
-
-
-def feature_sets(df: DataFrame, key: str, act: str, text: str, min_words: int, width: int) -> DataFrame:
-    """key, features (sorted array of 64-bit hashes) and set_hash of the records with enough words."""
-    base = df.select(df[key], df[act].cast("string").alias("_a"), df[text].cast("string").alias("_t"))
-    kind = base.schema[0].dataType.simpleString()
+    return FIRST_PARTS * STEP**band
+
+
+class Sets:
+    """The feature sets of one chunk of rows (key, act, text): only rows with enough words have one."""
+
+    def __init__(self, chunk: pa.RecordBatch, min_words: int, width: int):
+        act, text = pc.fill_null(chunk.column(1), ""), pc.fill_null(chunk.column(2), "")
+        row, start, stop, raw = runs.words(pc.binary_join_element_wise(act, text, "\x01"), runs.LETTERS_DIGITS)
+        # words past the mark between act and text count as the text's
+        mark = np.flatnonzero(raw == 1)[: chunk.num_rows] if (raw == 1).sum() == chunk.num_rows else None
+        if mark is None:
+            alone, *_ = runs.words(text, runs.LETTERS_DIGITS)
+            enough = np.bincount(alone, minlength=chunk.num_rows) >= min_words
+        else:
+            enough = np.bincount(row[start > mark[row]], minlength=chunk.num_rows) >= min_words
+        use = enough[row]
+        row, start, stop = row[use], start[use], stop[use]
+        keys = np.zeros(0, U)
+        if len(row) >= width:
+            h = runs.word_hashes(start, stop, raw)
+            n = len(h) - width + 1
+            run = np.zeros(n, U)
+            for i in range(width):
+                run = runs.mix(run * U(3) + h[i : i + n])
+            same = row[:n] == row[width - 1 :]
+            keys = np.sort((row[:n][same].astype(U) << U(50)) | (run[same] >> U(14)))
+            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+        self.owner = (keys >> U(50)).astype(np.int64)
+        self.feature = keys & U((1 << 50) - 1)
+        self.rows, self.start = np.unique(self.owner, return_index=True)
+        self.size = np.diff(np.concatenate((self.start, [len(keys)]))).astype(np.int64)
+        mixed = runs.mix(self.feature)
+        sums = np.add.reduceat(mixed, self.start) if len(keys) else np.zeros(0, U)
+        self.name = runs.mix(sums + self.size.astype(U))
+        self.index = np.repeat(np.arange(len(self.rows)), self.size)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Only the sets named by a mask, each name once."""
+        _, first = np.unique(self.name, return_index=True)
+        once = np.zeros(len(self.name), bool)
+        once[first] = True
+        wanted = wanted & once
+        inside = wanted[self.index]
+        self.feature = self.feature[inside]
+        self.rows, self.size, self.name = self.rows[wanted], self.size[wanted], self.name[wanted]
+        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)[: len(self.size)]
+        self.index = np.repeat(np.arange(len(self.rows)), self.size)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(at, CHUNK)
+
+
+def _base(df: DataFrame, key: str, act: str, text: str) -> DataFrame:
+    return df.select(df[key], df[act].cast("string").alias("_a"), df[text].cast("string").alias("_t"))
+
+
+def members(df: DataFrame, key: str, act: str, text: str, min_words: int = 45, width: int = 3) -> DataFrame:
+    """key and class_hash of every record with enough words."""
+    base = _base(df, key, act, text)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, feature = _sets(batch, min_words, width)
-            rows, starts = np.unique(at, return_index=True)
-            sums = np.add.reduceat(runs.mix(feature), starts) if len(rows) else np.zeros(0, np.uint64)
-            offsets = np.concatenate((starts, [len(feature)])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.view(np.int64)))
-            yield pa.record_batch([batch.column(0).take(pa.array(rows)), lists, pa.array(runs.mix(sums).view(np.int64))], names=[key, "features", "set_hash"])
+        for chunk in _chunks(batches):
+            sets = Sets(chunk, min_words, width)
+            yield pa.record_batch([chunk.column(0).take(pa.array(sets.rows)), pa.array(sets.name.view(np.int64))], names=[key, "class_hash"])
 
-    return base.mapInArrow(per_batch, f"`{key}` {kind}, features array<bigint>, set_hash bigint")
+    return base.mapInArrow(per_batch, f"`{key}` {base.schema[0].dataType.simpleString()}, class_hash bigint")
 
 
-def _common(sets: DataFrame, classes: int) -> np.ndarray:
-    """Features held by more than COMMON of the classes, sorted; their number is bounded by set size / COMMON."""
+def _common(base: DataFrame, records: int, min_words: int, width: int) -> np.ndarray:
+    """Features held by more than COMMON of the records, sorted; their number is bounded by set size / COMMON."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feature, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            yield pa.record_batch([pa.array(feature), pa.array(n.astype(np.int64))], names=["feature", "n"])
-
-    counts = sets.select("features").mapInArrow(per_batch, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > max(COMMON * classes, 3)).select("feature").toPandas()
-    return np.sort(rows["feature"].to_numpy(dtype=np.int64))
-
-
-def signatures(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
-    """class_id, size, signature of every class; a class has each signature once."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-
-    def of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of features that belong to sets (owner) in the band given for each."""
-        f = feature.view(np.uint64)
-        part = (runs.mix(f ^ np.uint64(0xA5A5)) % parts_of(band).astype(np.uint64)).astype(np.int64)
-        cell = (runs.mix(f ^ np.uint64(0x5C5C)) % np.uint64(N2)).astype(np.int64)
-        order = np.lexsort((part, owner))
-        owner, part, cell, f, band = owner[order], part[order], cell[order], f[order], band[order]
-        if not len(owner):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-        start = np.flatnonzero(new)
-        rows, sigs = [], []
-        value = runs.mix(f)
-        for i, cells in enumerate(CHOICES):
-            inside = np.isin(cell, cells)
-            n = np.add.reduceat(inside.astype(np.int64), start)
-            content = np.add.reduceat(np.where(inside, value, np.uint64(0)), start)
-            good = n >= 2
-            seed = (part[start] * 64 + i).astype(np.uint64) + band[start].astype(np.uint64) * np.uint64(1 << 32)
-            rows.append(owner[start][good])
-            sigs.append(runs.mix(content + runs.mix(seed))[good])
-        return np.concatenate(rows), np.concatenate(sigs)
+        for chunk in _chunks(batches):
+            feature, n = np.unique(Sets(chunk, min_words, width).feature, return_counts=True)
+            yield pa.record_batch([pa.array(feature.view(np.int64)), pa.array(n.astype(np.int32))], names=["feature", "n"])
+
+    counts = base.mapInArrow(per_batch, "feature bigint, n int").groupBy("feature").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > max(COMMON * records, 3)).select("feature").toPandas()
+    return np.sort(rows["feature"].to_numpy(dtype=np.int64).view(U))
+
+
+def _of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and signature of the features of sets (owner, ascending) in the band given for each feature."""
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    part = (runs.mix(feature ^ U(0xA5A5)) % parts_of(band).astype(U)).astype(np.int64)
+    value = runs.mix(feature ^ U(0x5C5C))
+    order = np.argsort(owner * (1 << 20) + part, kind="stable")
+    owner, part, value, band = owner[order], part[order], value[order], band[order]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
+    start = np.flatnonzero(new)
+    cell = (value >> U(63)).astype(np.int64)
+    n1 = np.add.reduceat(cell, start)
+    n0 = np.diff(np.concatenate((start, [len(owner)]))) - n1
+    s1 = np.add.reduceat(np.where(cell == 1, value, U(0)), start)
+    s0 = np.add.reduceat(np.where(cell == 0, value, U(0)), start)
+    seed = part[start].astype(U) * U(4) + band[start].astype(U) * U(1 << 40)
+    whole = (n0 == 1) & (n1 == 1)
+    rows = np.concatenate((owner[start][n0 >= 2], owner[start][n1 >= 2], owner[start][whole]))
+    sigs = np.concatenate((runs.mix(s0 + runs.mix(seed))[n0 >= 2], runs.mix(s1 + runs.mix(seed + U(1)))[n1 >= 2], runs.mix(s0 + s1 + runs.mix(seed + U(2)))[whole]))
+    return rows, sigs
+
+
+def _sketch(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Size (16 bits) with 48 parity bits, and 64 further parity bits, of every set."""
+    bit = runs.mix(sets.feature ^ U(0x3C3C)) % U(112)
+    low = np.where(bit < U(64), U(1) << (bit % U(64)), U(0))
+    high = np.where(bit >= U(64), U(1) << (U(16) + (bit - U(64)) % U(48)), U(0))
+    if not len(sets.start):
+        return np.zeros(0, U), np.zeros(0, U)
+    return np.bitwise_xor.reduceat(high, sets.start) | np.minimum(sets.size, 65_535).astype(U), np.bitwise_xor.reduceat(low, sets.start)
+
+
+def signatures(base: DataFrame, common: np.ndarray, threshold: float, min_words: int, width: int) -> DataFrame:
+    """signature, class_hash and the two words of the sketch; a class has each signature once a chunk."""
+    shared = base.sparkSession.sparkContext.broadcast(common)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            feature = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(size)), size)
-            at = np.searchsorted(shared.value, feature)
-            hit = np.zeros(len(feature), bool)
+        for chunk in _chunks(batches):
+            sets = Sets(chunk, min_words, width)
+            sets.keep(np.ones(len(sets.name), bool))
+            a, b = _sketch(sets)
+            feature, owner = sets.feature, sets.index
             if len(shared.value):
-                hit = shared.value[np.minimum(at, len(shared.value) - 1)] == feature
-            owner, feature = owner[~hit], feature[~hit]
-            band = band_of(size)
-            reaches = band_of(np.floor(size / threshold)) > band
-            r1, s1 = of_band(owner, feature, band[owner])
-            up = reaches[owner]
-            r2, s2 = of_band(owner[up], feature[up], band[owner[up]] + 1)
+                at = np.minimum(np.searchsorted(shared.value, feature), len(shared.value) - 1)
+                rare = shared.value[at] != feature
+                feature, owner = feature[rare], owner[rare]
+            band = band_of(sets.size)
+            up = (band_of(np.floor(sets.size / threshold)) > band)[owner]
+            r1, s1 = _of_band(owner, feature, band[owner])
+            r2, s2 = _of_band(owner[up], feature[up], band[owner[up]] + 1)
             row, sig = np.concatenate((r1, r2)), np.concatenate((s1, s2))
-            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(sig.view(np.int64))], names=["class_id", "size", "signature"])
+            order = np.argsort(row, kind="stable")
+            row, sig = row[order], sig[order]
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[row], a[row], b[row])], names=["signature", "class_hash", "s1", "s2"])
+
+    return base.mapInArrow(per_batch, "signature bigint, class_hash bigint, s1 bigint, s2 bigint")
+
 
-    kind = sets.schema["class_id"].dataType.simpleString()
-    return sets.select("class_id", "features").mapInArrow(per_batch, f"class_id {kind}, size int, signature bigint")
+def _plausible(a1, a2, b1, b2, threshold: float) -> np.ndarray:
+    """Pairs that sizes and parity sketches do not rule out."""
+    size_a, size_b = (a1 & U(0xFFFF)).astype(np.int64), (b1 & U(0xFFFF)).astype(np.int64)
+    differ = np.bitwise_count((a1 ^ b1) >> U(16)).astype(np.int64) + np.bitwise_count(a2 ^ b2)
+    capped = np.maximum(size_a, size_b) >= 65_535
+    most = (1 - threshold) / (1 + threshold) * (size_a + size_b)
+    return capped | ((differ <= most + 1e-9) & (np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9))
 
 
 def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) of classes that share a signature and whose sizes allow the threshold."""
-    grouped = sigs.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Few signatures are shared at all: only their members go on.
-    members = sigs.join(grouped, "signature")
-    small, large = members.where(F.col("n") <= SPLIT), members.where(F.col("n") > SPLIT)
-    lists = small.groupBy("signature").agg(F.collect_list(F.struct("class_id", "size")).alias("m"))  # at most SPLIT members
-    fits = lambda x, y: (F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]) - 1e-9) & (x["class_id"] < y["class_id"])
-    near = lists.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where(fits(F.col("x"), F.col("y")))
-    pairs = near.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-    # A wide signature: every member meets every block of the others, block by block.
-    blocks = F.ceil(F.col("n") / SPLIT).cast("int")
-    left = large.select("signature", F.struct("class_id", "size").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    right = large.select("signature", F.struct("class_id", "size").alias("y"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"))
-    wide = left.join(right, ["signature", "block"]).where(fits(F.col("x"), F.col("y")))
-    return pairs.unionByName(wide.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))).distinct()
-
-
-def classes(df: DataFrame, key: str, act: str, text: str, min_words: int = 45, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """members (key, class_id) and sets (class_id, features): one class per distinct feature set."""
-    sets = materialize(spread(feature_sets(df, key, act, text, min_words, width)), "sets")
-    # 64-bit sums of mixed features name the set; the count of features guards the name further.
-    named = sets.select(F.col(key), F.struct("set_hash", F.size("features").alias("n")).alias("_c"), "features")
-    heads = named.groupBy("_c").agg(F.min(key).alias("class_id"))
-    members = named.select(key, "_c").join(heads, "_c").select(key, "class_id")
-    reps = sets.join(members.where(F.col(key) == F.col("class_id")).select(F.col("class_id")).distinct(), sets[key] == F.col("class_id"), "left_semi")
-    return members, reps.select(F.col(key).alias("class_id"), "features").dropDuplicates(["class_id"])
-
-
-def class_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """a, b, shared: pairs of classes whose shared share is at least the threshold, checked exactly."""
-    n = reps.count()
-    common = _common(reps, n)
-    pairs = materialize(candidates(signatures(reps, common, threshold), threshold), "candidates")
-    met = pairs.join(reps.select(F.col("class_id").alias("a"), F.col("features").alias("_fa")), "a")
-    met = met.join(reps.select(F.col("class_id").alias("b"), F.col("features").alias("_fb")), "b")
+    """Distinct pairs (a < b) of classes that share a signature and may reach the threshold."""
+    n = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = sigs.repartition(n, "signature").sortWithinPartitions("signature", "class_hash")
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows kind 0: a pair (a, b); kind 1: a member (signature, class, sketch) of a wide signature."""
+        left = None
+        wide = None  # the wide signature whose members are passing
+        for batch in (*batches, None):
+            if batch is not None:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                rows = [np.concatenate((x, y)) for x, y in zip(left, cols)] if left is not None else cols
+            elif left is not None:
+                rows = left
+            else:
+                return
+            sig = rows[0]
+            if not len(sig):
+                continue
+            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (rows[1][1:] != rows[1][:-1])))  # copies of a class pass once
+            rows = [x[new] for x in rows]
+            sig = rows[0]
+            end = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1]))
+            tail = len(sig) - end
+            flow = sig[-1] if tail > SPLIT or (wide is not None and sig[-1] == wide) else None
+            if flow is not None:
+                end = len(sig) - 1  # one row stays to see whether the signature goes on
+            left = [x[end:] for x in rows]
+            sig, cls, s1, s2 = (x[:end] for x in rows)
+            s1, s2 = s1.view(U), s2.view(U)
+            change = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+            count = np.diff(np.concatenate((change, [len(sig)])))
+            is_wide = np.repeat((count > SPLIT) | (sig[change] == (wide if wide is not None else flow)) if (wide is not None or flow is not None) else count > SPLIT, count)
+            if flow is not None and len(sig):
+                is_wide |= sig == flow
+            wide = flow if flow is not None else wide
+            a, b = [], []
+            at = np.flatnonzero(~is_wide)
+            step = 1
+            while len(at):
+                at = at[at + step < len(sig)]
+                at = at[sig[at] == sig[at + step]]
+                good = at[_plausible(s1[at], s2[at], s1[at + step], s2[at + step], threshold)]
+                a.append(cls[good])
+                b.append(cls[good + step])
+                step += 1
+            a = np.concatenate(a) if a else np.zeros(0, np.int64)
+            b = np.concatenate(b) if b else np.zeros(0, np.int64)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            if pairs.shape[1]:
+                zero = np.zeros(pairs.shape[1], np.int64)
+                yield pa.record_batch([pa.array(zero.astype(np.int32)), *(pa.array(x) for x in (pairs[0], pairs[1], zero, zero))], names=["kind", "x", "y", "s1", "s2"])
+            if is_wide.any():
+                yield pa.record_batch([pa.array(np.ones(int(is_wide.sum()), np.int32)), *(pa.array(x) for x in (sig[is_wide], cls[is_wide], s1[is_wide].view(np.int64), s2[is_wide].view(np.int64)))], names=["kind", "x", "y", "s1", "s2"])
+
+    out = materialize(stream.mapInArrow(pair_up, "kind int, x bigint, y bigint, s1 bigint, s2 bigint"), "paired")
+    near = out.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if out.where("kind = 1").isEmpty():
+        return near.distinct()
+    # Wide signatures: every member meets every block of SPLIT others.
+    rows = out.where("kind = 1").select(F.col("x").alias("signature"), F.col("y").alias("c"), "s1", "s2").distinct()
+    blocks = rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "signature")
+    here = rows.select("signature", F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    there = rows.select("signature", F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
+    size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("a1").bitwiseXOR(F.col("b1")), 16)) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    most = (1 - threshold) / (1 + threshold) * (size("a1") + size("b1")) + 1e-9
+    fits = (F.greatest(size("a1"), size("b1")) >= 65_535) | ((differ <= most) & (F.least(size("a1"), size("b1")) >= threshold * F.greatest(size("a1"), size("b1")) - 1e-9))
+    wide_pairs = here.join(there, ["signature", "block"]).where((F.col("a") < F.col("b")) & fits).select("a", "b")
+    return near.unionByName(wide_pairs).distinct()
+
+
+def class_links(df: DataFrame, key: str, act: str, text: str, records: int, threshold: float, min_words: int, width: int) -> DataFrame:
+    """a, b, shared: pairs of classes (a < b) whose shared share is at least the threshold, checked exactly."""
+    base = _base(df, key, act, text)
+    common = _common(base, records, min_words, width)
+    pairs = materialize(candidates(signatures(base, common, threshold, min_words, width), threshold), "candidates")
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()  # at most SLOTS
+    filled = np.zeros(SLOTS // 8, np.uint8)
+    np.bitwise_or.at(filled, slots // 8, np.left_shift(1, slots % 8).astype(np.uint8))
+    shared = df.sparkSession.sparkContext.broadcast(filled)
+
+    def sets_of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            sets = Sets(chunk, min_words, width)
+            slot = np.mod(sets.name.view(np.int64), SLOTS)
+            sets.keep((shared.value[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((sets.start, [len(sets.feature)])).astype(np.int32)), pa.array(sets.feature.view(np.int64)))
+            yield pa.record_batch([pa.array(sets.name.view(np.int64)), lists], names=["c", "features"])
+
+    held = base.mapInArrow(sets_of_candidates, "c bigint, features array<bigint>").dropDuplicates(["c"])
+    met = pairs.join(held.select(F.col("c").alias("a"), F.col("features").alias("_fa")), "a")
+    met = met.join(held.select(F.col("c").alias("b"), F.col("features").alias("_fb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,38 +312,34 @@ def class_links(reps: DataFrame, threshold: float) -> DataFrame:
             na, nb = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
             rows = np.concatenate((np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)))
             feature = np.concatenate((a.flatten().to_numpy(), b.flatten().to_numpy()))
-            order = np.lexsort((feature, rows))
-            rows, feature = rows[order], feature[order]
-            twice = (rows[1:] == rows[:-1]) & (feature[1:] == feature[:-1])
-            both = np.bincount(rows[1:][twice], minlength=len(na))
+            both_keys = np.sort((rows.astype(U) << U(50)) | feature.view(U))
+            twice = both_keys[1:][both_keys[1:] == both_keys[:-1]]
+            both = np.bincount((twice >> U(50)).astype(np.int64), minlength=len(na))
             share = both / np.maximum(na + nb - both, 1)
             good = np.flatnonzero(share >= threshold - 1e-12)
             yield pa.record_batch([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(share[good])], names=["a", "b", "shared"])
 
-    kind = reps.schema["class_id"].dataType.simpleString()
-    return met.select("a", "b", "_fa", "_fb").mapInArrow(check, f"a {kind}, b {kind}, shared double")
+    return met.select("a", "b", "_fa", "_fb").mapInArrow(lambda it: check(_chunks(it)), "a bigint, b bigint, shared double")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, act: str, text: str, threshold: float = 0.6, min_words: int = 45, width: int = 3) -> DataFrame:
     """Every pair of records with a shared share of at least the threshold: {key}_a < {key}_b, shared."""
-    members, reps = classes(df, key, act, text, min_words, width)
-    members, reps = materialize(members, "members"), materialize(reps, "reps")
-    links = class_links(reps, threshold)
-    left = members.select(F.col(key).alias("_l"), F.col("class_id").alias("a"))
-    right = members.select(F.col(key).alias("_r"), F.col("class_id").alias("b"))
+    people = materialize(members(df, key, act, text, min_words, width), "members")
+    links = class_links(df, key, act, text, people.count(), threshold, min_words, width)
+    left = people.select(F.col(key).alias("_l"), F.col("class_hash").alias("a"))
+    right = people.select(F.col(key).alias("_r"), F.col("class_hash").alias("b"))
     between = links.join(left, "a").join(right, "b").select("_l", "_r", "shared")
-    repeated = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = left.join(repeated.select(F.col("class_id").alias("a")), "a")
+    repeated = people.groupBy("class_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = left.join(repeated.select(F.col("class_hash").alias("a")), "a")
     within = copies.join(right, F.col("a") == F.col("b")).where("_l < _r").select("_l", "_r", F.lit(1.0).alias("shared"))
     both = between.unionByName(within)
     return both.select(F.least("_l", "_r").alias(f"{key}_a"), F.greatest("_l", "_r").alias(f"{key}_b"), "shared")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, act: str, text: str, threshold: float = 0.6, min_words: int = 45, width: int = 3) -> DataFrame:
-    """One row per record with enough words: key, class_id, copies (others of equal features), links (classes similar to its class)."""
-    members, reps = classes(df, key, act, text, min_words, width)
-    members, reps = materialize(members, "members"), materialize(reps, "reps")
-    links = class_links(reps, threshold)
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
-    return members.join(sizes, "class_id").join(ends, "class_id", "left").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    """One row per record with enough words: key, class_id (least key of its class), copies (others of its class), links (classes similar to it)."""
+    people = materialize(members(df, key, act, text, min_words, width), "members")
+    links = class_links(df, key, act, text, people.count(), threshold, min_words, width)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class_hash")).groupBy("class_hash").agg(F.count(F.lit(1)).alias("links"))
+    heads = people.groupBy("class_hash").agg(F.min(key).alias("class_id"), (F.count(F.lit(1)) - 1).alias("copies"))
+    return people.join(heads.join(ends, "class_hash", "left"), "class_hash").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

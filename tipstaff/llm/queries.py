@@ -11,6 +11,7 @@ from .distinctive import distinctive_terms
 from .mixing import mix, mix_report
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .packing import pack, pack_report
+from .scan_repair import repair_collection
 from .sentences import sentences
 
 
@@ -96,4 +97,16 @@ def p2_unlisted(spark, d):
     return p2_mapped(spark, d).where("status in ('unlisted', 'ambiguous')").groupBy("typed", "status").agg(F.count(F.lit(1)).alias("edges"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+def _scans(spark, d, with_text):
+    return repair_collection(table(spark, d, "act_pages"), table(spark, d, "act_documents"), table(spark, d, "records"), with_text)
+
+
+def p4_found(spark, d):
+    return _scans(spark, d, False).select("table_name", "row_id", F.explode("edits").alias("e")).select("table_name", "row_id", "e.line_no", "e.repaired")
+
+
+def p4_repaired(spark, d):
+    return _scans(spark, d, True).select("table_name", "row_id", F.size("edits").alias("edits"), "repaired_text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import training
+from . import reference, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**reference.QUERIES, **training.QUERIES}
+SQL = {**reference.SQL, **training.SQL}

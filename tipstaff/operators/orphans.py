@@ -118,9 +118,10 @@ def orphan_groups(refs: DataFrame, checks: list[tuple[str, list[str], DataFrame,
         its_heavy = heavy if its == keys else heavy_keys(groups, its)
         marked = group_verdicts(marked, its, register, start, end, its_heavy, f"_{name}")
         there = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in its])
-        marked = marked.withColumn(f"_{name}", F.when(there, F.col(f"_{name}")).otherwise("present"))
+        # Written between the checks: the groups are small, and each check then plans from a table.
+        marked = materialize(marked.withColumn(f"_{name}", F.when(there, F.col(f"_{name}")).otherwise("present")), "marked")
         suspect = suspect | (F.col(f"_{name}") != "present")
-    return materialize(marked.where(suspect), "suspects"), heavy
+    return marked.where(suspect), heavy
 
 
 def orphans(refs: DataFrame, checks: list[tuple[str, list[str], DataFrame, str, str]], at: str) -> DataFrame:

@@ -66,8 +66,7 @@ def tokenise(c: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tokenise(c), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokenise(c), lambda t: ~t.isin(STOPWORDS))
 
 
 def is_mostly_upper(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
+from ..runtime import materialize
 
 LEAST_CHARACTERS = 12
 
@@ -21,6 +22,12 @@ class Index:
     doc_len: DataFrame
     sources: DataFrame | None = None
     skipped: DataFrame | None = None
+    tokens: DataFrame | None = None  # position, tokens: there while the index is being built
+
+    def frequencies(self) -> DataFrame:
+        """token and df, the number of records it stands in."""
+        rows = self.postings.select("token") if self.tokens is None else self.tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+        return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> DataFrame:
         """n and avg_len over all records, one row."""
@@ -38,7 +45,12 @@ def build(records: DataFrame, sources: DataFrame | None = None, skipped: DataFra
     words = rows.select("position", content_tokens(F.concat_ws(" ", "heading", "text")).alias("tokens"))
     # Counting within the record needs no shuffle of its own key: position and token go together.
     postings = words.select("position", F.explode("tokens").alias("token")).groupBy("token", "position").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(rows, postings, words.select("position", F.size("tokens").alias("len")), sources, skipped)
+    return Index(rows, postings, words.select("position", F.size("tokens").alias("len")), sources, skipped, words)
+
+
+def stored(index: Index) -> Index:
+    """The index with its postings and lengths written once, for operators that read them several times."""
+    return Index(index.records, materialize(index.postings, "postings"), materialize(index.doc_len, "doc_len"), index.sources, index.skipped)
 
 
 def save(index: Index, path: str) -> None:
@@ -65,7 +77,7 @@ def load(spark: SparkSession, path: str) -> Index:
 def index_stats(index: Index) -> DataFrame:
     """provisions, distinct_terms, acts in one row."""
     a = index.records.agg(F.count(F.lit(1)).alias("provisions"), F.count_distinct("act").alias("acts"))
-    b = index.postings.select("token").distinct().agg(F.count(F.lit(1)).alias("distinct_terms"))
+    b = index.frequencies().agg(F.count(F.lit(1)).alias("distinct_terms"))
     return a.crossJoin(b)  # one row each
 
 

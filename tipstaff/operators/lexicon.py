@@ -106,7 +106,7 @@ def related_terms(index: Index, word: str, limit: int = 4, least: int = 8, share
     """
     p = index.postings.select("token", "position")
     total = index.doc_len.count()
-    df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = index.frequencies()
 
     def company(terms: DataFrame) -> DataFrame:
         """term, token, n: neighbours of each term (a bounded list) in its first records."""

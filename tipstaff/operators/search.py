@@ -48,7 +48,8 @@ def bm25(index: Index, query: Query, k1: float = K1, b: float = B) -> DataFrame:
     counted = Counter(query.words)
     order = list(dict.fromkeys(query.words))
     words = spark.createDataFrame([(w, min(counted[w], MOST_REPEATS), i) for i, w in enumerate(order)], "token string, times int, ord int")
-    hits = index.postings.select("token", "position").join(F.broadcast(words), "token")
+    # The filter reaches the scan of stored postings, and stands before the counting of fresh ones.
+    hits = index.postings.where(F.col("token").isin(order)).select("token", "position").join(F.broadcast(words), "token")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rows = hits.join(F.broadcast(df), "token").join(index.records.select("position", "text", "heading"), "position").join(index.doc_len, "position")
     rows = rows.crossJoin(F.broadcast(index.stats()))  # one row

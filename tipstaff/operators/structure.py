@@ -139,8 +139,8 @@ def full_texts(provisions: DataFrame, limit: int = FULL_TEXT) -> DataFrame:
     marker = F.concat(F.when(F.col("kind") == "subsection", F.concat(F.lit("("), F.col("subsection"), F.lit(") "))).when(F.col("kind") == "paragraph", F.concat(F.lit("("), F.col("paragraph"), F.lit(") "))).when(F.col("kind") == "subparagraph", F.concat(F.lit("("), F.col("subparagraph"), F.lit(") "))).otherwise(""), F.col("text"))
     rows = provisions.where("kind <> 'definition'")
     run = Window.partitionBy("doc_ord").orderBy("node_ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.sum(F.when(F.col("kind") == "section", 1).otherwise(0)).over(run)).withColumn("piece", marker).where("piece <> ''")
-    whole = rows.groupBy("doc_ord", "head").agg(F.min_by("address", "node_ord").alias("address"), F.expr("listagg(piece, ' ') within group (order by node_ord)").alias("t"))
+    rows = rows.withColumn("head", F.sum(F.when(F.col("kind") == "section", 1).otherwise(0)).over(run)).withColumn("piece", F.nullif(marker, F.lit("")))
+    whole = rows.groupBy("doc_ord", "head").agg(F.min_by("address", "node_ord").alias("address"), F.coalesce(F.expr("listagg(piece, ' ') within group (order by node_ord)"), F.lit("")).alias("t"))
     cut = F.concat(F.regexp_replace(F.substring("t", 1, limit), r" [^ ]*$", ""), F.lit(" [...]"))
     return whole.select("doc_ord", "address", F.when(F.length("t") > limit, cut).otherwise(F.col("t")).alias("full_text"))
 

@@ -279,7 +279,7 @@ def q_address(spark, d):
 
 @query(f"WITH {INDEX} SELECT token, count(*) AS df FROM post GROUP BY 1")
 def q_postings_df(spark, d):
-    return _index(spark, d).postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _index(spark, d).frequencies()
 
 
 @query(f"WITH {INDEX} SELECT position, len FROM dlen")
@@ -384,7 +384,7 @@ c AS (SELECT term, sum(o.n * coalesce(own.n, 0)) AS dot, sum(o.n * o.n) AS b FRO
 s AS (SELECT term AS token, round(dot / sqrt(((SELECT sum(n * n) FROM own) - own.n * own.n) * b), 3) AS similarity FROM c JOIN own ON own.token = c.term)
 SELECT token, similarity FROM s WHERE similarity >= 0.5 ORDER BY similarity DESC, token LIMIT 4""")
 def q_related_terms(spark, d):
-    return lexicon.related_terms(_index(spark, d), "lighthouse")
+    return lexicon.related_terms(index.stored(_index(spark, d)), "lighthouse")
 
 
 # Threads

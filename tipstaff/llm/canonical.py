@@ -138,6 +138,7 @@ class Entries:
                     at = at.setdefault(w, {})
                 at.setdefault(None, []).append(number)
         self.paths, self.words, self.trie = paths, words, WordTrie(words)
+        self.longest = max(map(len, words), default=0) + 3  # nothing longer can be a word of the list
         kinds = {f: k for k, forms in KINDS.items() for f in forms}
         self.kinds, self.kind_trie = kinds, WordTrie([f for f in kinds if len(f) >= 4])
         self.near = lru_cache(200_000)(self._near)
@@ -147,23 +148,29 @@ class Entries:
     def _near(self, token: str, dotted: bool) -> dict[str, float]:
         if token in self.words:
             return {token: 0.0}
+        if len(token) > self.longest:
+            return {}
         return self.trie.find(token, _limit(len(token)), cut=len(token) >= (3 if dotted else 4))
 
     def _kind_of(self, token: str, dotted: bool) -> tuple[str, float] | None:
         if token in self.kinds and (len(token) > 1 or dotted):
             return self.kinds[token], 0.0
+        if len(token) > 16:
+            return None
         found = self.kind_trie.find(token, 1 if len(token) < 8 else 2, cut=len(token) >= 5)
         best = min(found.items(), key=lambda x: (x[1], x[0]), default=None)
         if best:
             return self.kinds[best[0]], best[1]
-        if 2 <= len(token) <= 4 and sorted(token)[:9] and token not in self.words and WordTrie(["act"]).find(token, 1, cut=False) and len(token) >= 3:
+        if 3 <= len(token) <= 4 and token not in self.words and WordTrie(["act"]).find(token, 1, cut=False):
             return "act", 1.0
         return None
 
     def _parts(self, token: str, depth: int = 3) -> list[list[str]]:
         """A run-together token as words of the list, restarting at the root after each."""
         out = []
-        for i in range(len(token) - 2, 2, -1):
+        if len(token) > depth * self.longest:
+            return out
+        for i in range(min(len(token) - 2, self.longest), 2, -1):
             if (w := self.near(token[:i], False)) and min(w.values()) <= (0 if i < 6 else 1):
                 rest = token[i:]
                 for drop in (0, 3) if rest.startswith("and") else (0,):

@@ -11,7 +11,9 @@ about as many features in every band; a set that may have a partner in the next
 signatures. Features in more than COMMON of all records (phrases of the drafting style) are left out of
 the domain first: leaving features out can only lower the distance of two sets, and what remains is rare
 enough that a signature of two or more features is shared by few unrelated records. There are at most
-(mean set size)/COMMON such features, whatever the number of records, and only they go to every task.
+(mean set size)/COMMON such features, whatever the number of records, and only they go to every task. Where
+a set keeps less than KEPT of its features (it belongs to a group of variants so large that its own words
+are common), it is signed over the whole domain as well, so large groups lose no link.
 Signatures of fewer than two features are not used: a pair is lost only if every choice on which its two
 sets agree is that small (see the README for the recall measured against brute force).
 
@@ -40,8 +42,10 @@ from pyspark.sql import functions as F
 from ..functions import runs
 from ..runtime import materialize
 
-#: Share of all records beyond which a feature is a phrase of the style and no evidence.
-COMMON = 0.01
+#: Share of all records beyond which a feature is a phrase of the style and no evidence, and the records it must stand in at least.
+COMMON, COMMON_RECORDS = 0.01, 50
+#: A set that keeps less than this share of its features without them is signed over the whole domain as well.
+KEPT = 0.5
 #: Upper set size of the first band and its parts; sizes and parts go on threefold from band to band.
 FIRST_SIZE, FIRST_PARTS, STEP = 210, 24, 3
 #: Classes of one signature that are paired within a task; wider ones are paired block by block.
@@ -135,15 +139,17 @@ def _common(base: DataFrame, records: int, min_words: int, width: int) -> np.nda
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            feature, n = np.unique(Sets(chunk, min_words, width).feature, return_counts=True)
+            sets = Sets(chunk, min_words, width)
+            sets.keep(np.ones(len(sets.name), bool))  # copies count once a chunk
+            feature, n = np.unique(sets.feature, return_counts=True)
             yield pa.record_batch([pa.array(feature.view(np.int64)), pa.array(n.astype(np.int32))], names=["feature", "n"])
 
     counts = base.mapInArrow(per_batch, "feature bigint, n int").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > max(COMMON * records, 3)).select("feature").toPandas()
+    rows = counts.where(F.col("n") > max(COMMON * records, COMMON_RECORDS)).select("feature").toPandas()
     return np.sort(rows["feature"].to_numpy(dtype=np.int64).view(U))
 
 
-def _of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray, domain: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Set and signature of the features of sets (owner, ascending) in the band given for each feature."""
     if not len(owner):
         return np.zeros(0, np.int64), np.zeros(0, U)
@@ -158,7 +164,7 @@ def _of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray) -> tuple[
     n0 = np.diff(np.concatenate((start, [len(owner)]))) - n1
     s1 = np.add.reduceat(np.where(cell == 1, value, U(0)), start)
     s0 = np.add.reduceat(np.where(cell == 0, value, U(0)), start)
-    seed = part[start].astype(U) * U(4) + band[start].astype(U) * U(1 << 40)
+    seed = part[start].astype(U) * U(4) + band[start].astype(U) * U(1 << 40) + U(domain << 50)
     whole = (n0 == 1) & (n1 == 1)
     rows = np.concatenate((owner[start][n0 >= 2], owner[start][n1 >= 2], owner[start][whole]))
     sigs = np.concatenate((runs.mix(s0 + runs.mix(seed))[n0 >= 2], runs.mix(s1 + runs.mix(seed + U(1)))[n1 >= 2], runs.mix(s0 + s1 + runs.mix(seed + U(2)))[whole]))
@@ -185,15 +191,22 @@ def signatures(base: DataFrame, common: np.ndarray, threshold: float, min_words:
             sets.keep(np.ones(len(sets.name), bool))
             a, b = _sketch(sets)
             feature, owner = sets.feature, sets.index
+            low = np.zeros(len(sets.size), bool)
             if len(shared.value):
                 at = np.minimum(np.searchsorted(shared.value, feature), len(shared.value) - 1)
                 rare = shared.value[at] != feature
+                low = np.bincount(owner[rare], minlength=len(sets.size)) < KEPT * sets.size
                 feature, owner = feature[rare], owner[rare]
             band = band_of(sets.size)
-            up = (band_of(np.floor(sets.size / threshold)) > band)[owner]
-            r1, s1 = _of_band(owner, feature, band[owner])
-            r2, s2 = _of_band(owner[up], feature[up], band[owner[up]] + 1)
-            row, sig = np.concatenate((r1, r2)), np.concatenate((s1, s2))
+            reaches = band_of(np.floor(sets.size / threshold)) > band
+            rows, sigs = [], []
+            in_low = low[sets.index]
+            for domain, (f, o) in enumerate(((feature, owner), (sets.feature[in_low], sets.index[in_low]))):
+                up = reaches[o]
+                for r, s in (_of_band(o, f, band[o], domain), _of_band(o[up], f[up], band[o[up]] + 1, domain)):
+                    rows.append(r)
+                    sigs.append(s)
+            row, sig = np.concatenate(rows), np.concatenate(sigs)
             order = np.argsort(row, kind="stable")
             row, sig = row[order], sig[order]
             yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[row], a[row], b[row])], names=["signature", "class_hash", "s1", "s2"])

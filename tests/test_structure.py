@@ -85,3 +85,9 @@ def test_empty(spark):
     assert parsed(spark, [""]).count() == 0
     assert structure.parse_report(parsed(spark)).first()["sections"] == 3
     assert parsed(spark, [None]).select(F.count("*")).first()[0] == 0
+
+
+def test_front_matter(spark):
+    df = spark.createDataFrame([(i + 1, 0, i + 1, t) for i, t in enumerate(ACT)], "page_id bigint, doc_ord int, page_no int, page_text string")
+    titles = spark.createDataFrame([(0, "Harbour Kiosk Act 2031")], "doc_ord int, title string")
+    assert structure.front_matter(df, titles).first()["front_matter"].split("\n") == ["Act No. 7 of 2031", "This Act binds every kiosk on the harbour and its operators."]

@@ -15,6 +15,7 @@ CURRENCY = [
     r"(?i)Current as at\s+" + _DATE,
     r"(?i)in force (?:on|at)\s+" + _DATE,
 ]
+# How numbers, disclaimers and titles are written.
 ACT_NUMBER = r"(?i)\bAct\s+No\.\s*(\d+)\s+of\s+(\d{4})\b"
 DISCLAIMED = r"(?i)not an authoris(?:ed|ing) copy|unauthorised version|this reprint is not"
 KINDS = r"(?:Act|Regulations?|Code|Rules|Ordinance)"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_leader, is_mostly_upper
 
+# How headings, sections and their parts are numbered.
 LEVELS = ["chapter", "part", "division", "subdivision"]
 HEADINGS = {"schedule": r"(?i)^Schedule (\w+)\b", "chapter": r"(?i)^Chapter (\w+)\b", "part": r"(?i)^Part ([\dIVXLC]+[A-Z]*)\b", "division": r"(?i)^Division (\w+)\b", "subdivision": r"(?i)^Subdivision (\w+)\b"}
 SECTION = r"^(\d+[A-Z]{0,3}) ([A-Z].{2,120})$"
@@ -145,6 +146,13 @@ def full_texts(provisions: DataFrame, limit: int = FULL_TEXT) -> DataFrame:
     return whole.select("doc_ord", "address", F.when(F.length("t") > limit, cut).otherwise(F.col("t")).alias("full_text"))
 
 
+def front_matter(pages: DataFrame, titles: DataFrame, most: int = 20) -> DataFrame:
+    """doc_ord and front_matter: the first lines of a document that stand under no section."""
+    rows = placed(lines_of(pages).join(titles, "doc_ord", "left")).where("section = '' and kind = 'text'")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc_ord").orderBy("page_no", "line_no"))).where(F.col("_r") <= most)
+    return first.groupBy("doc_ord").agg(F.expr("listagg(line, '\n') within group (order by page_no, line_no)").alias("front_matter"))
+
+
 def parse_report(provisions: DataFrame) -> DataFrame:
     """Per document: sections, provisions, empty sections, and whether more than three tenths are empty."""
     parts = provisions.groupBy("doc_ord", "section").agg(F.max(F.col("text") != "").alias("filled"), F.count_if(F.col("kind") == "section").alias("heads"), F.count(F.lit(1)).alias("rows"))

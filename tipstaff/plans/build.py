@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect
+from ..functions.text import rejoin
 from ..operators import index as ix
 from ..operators import structure, threads
 from ..runtime import materialize
@@ -43,7 +44,9 @@ def records_of(pages: DataFrame, documents: DataFrame, parity: bool = False) ->
 def build_index(spark: SparkSession, paths: list[str], out: str, parity: bool = False) -> ix.Index:
     """Reads files, writes the index tables and the edges below out, and returns the index as stored."""
     read = materialize(files.read_pages(spark, paths), "pages")
-    pages = files.with_doc_ord(read)
+    numbered = files.with_doc_ord(read)
+    whole = rejoin(numbered, "doc_ord", "page_id", "page_text")
+    pages = materialize(numbered.drop("page_text").join(whole, "page_id"), "rejoined")
     documents = materialize(documents_of(pages), "documents")
     records = materialize(records_of(pages, documents, parity), "records")
     index = ix.build(records, ix.sources_of(records, documents), files.skipped(read))

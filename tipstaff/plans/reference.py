@@ -263,6 +263,11 @@ def q_full_text(spark, d):
     return structure.full_texts(q_provisions(spark, d))
 
 
+@query()
+def q_front_matter(spark, d):
+    return structure.front_matter(table(spark, d, "act_pages"), _titles(spark, d).select("doc_ord", "title"))
+
+
 @query()
 def q_parse_report(spark, d):
     return structure.parse_report(q_provisions(spark, d))

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def session(app: str = "tipstaff", cores: str = "*") -> SparkSession:
@@ -32,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and set on the context.
+    Only where the setting is absent and all runs on one machine (tests, a laptop) a local folder is made
+    and set on the context; on a cluster without the setting this is an error.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tipstaff-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -54,19 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *cols: str, least_rows: int = 20_000) -> DataFrame:
-    """Spreads rows over the cluster when the input has too few splits for heavy per-row work.
-
-    A small compressed file is one split, so CPU-bound row work would run on one core. The number of
-    partitions follows the session's shuffle setting; nothing else about the rows changes.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    have = df.rdd.getNumPartitions()
-    if have >= min(n, df.sparkSession.sparkContext.defaultParallelism):
-        return df
-    return df.repartition(n, *[F.col(c) for c in cols])
-
-
-def renamed(df: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, under the names the operator works with, so extra or clashing columns never meet it."""
-    return df.select(*[df[source].alias(name) for name, source in cols.items()])
+def release(spark: SparkSession) -> None:
+    """Removes every table written by materialize; for the end of a session, when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tipstaff")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

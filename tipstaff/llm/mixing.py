@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 from .tokens import VOCABULARY, token_counts
 
-#: Blocks a pass over a source is cut into: bounds what the driver sees, and the largest sort, a source's 1/BLOCKS.
+#: Blocks a pass over a source is cut into, at least; twice the shards where that is more (so at most twice MOST_SHARDS).
 BLOCKS = 512
 #: Tokens of an output shard aimed at, and the most shards there can be.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4_096
@@ -68,11 +68,13 @@ def mix(df: DataFrame, key: str, text: str, source: str, targets: list[tuple[str
                 rows.append((name, s, passes, int(round(quota - passes * have[s])) if passes < r else 0))
     if not rows:
         return spark.createDataFrame([], schema), targets
+    largest = max(sum(have[s] * k + part for n, s, k, part in rows if n == name) for name in {n for n, *_ in rows})
+    cells = max(BLOCKS, 2 * min(largest // SHARD_TOKENS, MOST_SHARDS))
     plan_df = F.broadcast(spark.createDataFrame(rows, "mix_name string, source string, passes int, part bigint"))  # one row a target
     salted = lambda *c: F.xxhash64(F.lit(seed), *c)
     docs = counted.join(plan_df, "source").withColumn("_h", salted(F.col(key), F.col("mix_name")))
-    docs = docs.withColumn("block", F.pmod(F.col("_h"), F.lit(BLOCKS)).cast("int"))
-    sizes = docs.groupBy("mix_name", "source", "block").agg(F.sum("tokens").alias("tokens")).collect()  # at most BLOCKS rows a target
+    docs = docs.withColumn("block", F.pmod(F.col("_h"), F.lit(cells)).cast("int"))
+    sizes = docs.groupBy("mix_name", "source", "block").agg(F.sum("tokens").alias("tokens")).collect()  # one row a target and block
     by = defaultdict(dict)
     for r in sizes:
         by[r["mix_name"], r["source"]][r["block"]] = r["tokens"]
@@ -107,7 +109,7 @@ def mix(df: DataFrame, key: str, text: str, source: str, targets: list[tuple[str
             order = rng.permutation(len(blocks[name, s]))
             shard = np.repeat(np.arange(shards), tree[:, j])
             assigned += [(name, s, b, k, int(t)) for (k, b), t in zip([blocks[name, s][i] for i in order], shard)]
-    # Bounded by targets x BLOCKS x repeats, whatever the data's size.
+    # Bounded by targets x blocks x repeats, whatever the data's size.
     block_map = spark.createDataFrame(assigned, "mix_name string, source string, block int, copy_no int, shard int")
     cuts = F.broadcast(spark.createDataFrame(cut, "mix_name string, source string, block int, wanted bigint"))  # at most one row a target
     edge = docs.join(cuts, ["mix_name", "source", "block"])

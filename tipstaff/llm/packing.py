@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 from .tokens import VOCABULARY, token_counts
 
-#: Hash buckets per length: what one task ranks of a length is its share of this many parts.
+#: Hash buckets per length, at least; four times the shuffle partitions where that is more. One task ranks one bucket of a length.
 BUCKETS = 128
 
 
@@ -121,7 +121,8 @@ def plan(capacity: int, lengths: np.ndarray, items: np.ndarray, first_window: in
 
 def ranked(items: DataFrame, by: str, id_hash: str) -> DataFrame:
     """items with rank, from 0, among the rows of equal `by`; no task sees more than a bucket of a value."""
-    rows = items.withColumn("_b", F.pmod(F.col(id_hash), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = items.withColumn("_b", F.pmod(F.col(id_hash), F.lit(buckets)).cast("int"))
     counts = rows.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

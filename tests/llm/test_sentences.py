@@ -10,6 +10,7 @@ from tipstaff.llm.sentences import sentence_spans, sentences
     [
         ("en", ["The Trust sits until 5.30 p.m.", "Nothing in this section stops it."]),
         ("en", ["The office closes at 7 p.m. on working days.", "Dr. Vesteron, vs. the agent, paid 1,250.40 of it."]),
+        ("en", ["Messrs. Fennimoor Pty. Ltd. sealed it in Jan. 1998, e.g. at the quay.", "59 of the 61 items, etc.", "Act No. 7 of 1987 applies."]),
         ("en", ['The assessor replied: "No report was withheld. I kept the mooring."', "A drain (see cl. 3.) is marked."]),
         ("en", ["“The drain is marked!” the agent wrote; the Director did not answer.", "(The ward is set out in Sch. 54.)", "The end."]),
         ("en", ["The archivist may ... deliver the anchor … as the Board directs.", "the publican may fence the voucher.", "12.32 of the manual tells it."]),

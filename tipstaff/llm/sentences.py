@@ -29,7 +29,7 @@ NEVER = {
     "en": "mr mrs ms messrs pty dr prof rev hon sr st sgt capt gen vs v cf e.g i.e viz cl cls para paras pt pts sch schs reg regs div divs subdiv ch chs art arts sec secs ss s r rr ord no nos approx fig figs vol p pp ca ed eds al".split(),
     "de": "dr prof hr fr hrn frl dipl ing z.b z u.a u d.h d v v.h vgl bzw art nr abs s bd ca evtl ggf inkl max min mio mrd rd sog st str tel zzgl i.v gem lit ziff kap anm o vorm nachm".split(),
     "fr": "m mm dr pr me mgr art al n no réf ref p pp p.ex c.-à-d c.-a-d cf chap tit sect vol fig av bd env éd v tél resp".split(),
-    "es": "sr sra srta sres d da dr dra prof art arts pár párr núm num n p pp p.ej ej ee vol cap fig av c tel apdo inc cf ss".split(),
+    "es": "pág págs tít apdo lib ed fol sr sra srta sres d da dr dra prof art arts pár párr núm num n p pp p.ej ej ee vol cap fig av c tel apdo inc cf ss".split(),
     "it": "sig dott prof art artt n p pp cap cfr ecc es".split(),
     "ru": "т т.е т.д т.п т.к ст п пп г гг тыс руб млн млрд ул им д др проф см стр рис гл ч см".split(),
     "el": "άρθρ παρ κεφ π.χ π δηλ κ κα κ.λπ αρ σελ βλ αριθ".split(),
@@ -38,10 +38,10 @@ NEVER = {
     "th": [],
 }
 MAYBE = {
-    "en": "a.m p.m etc ltd co inc corp jr m km kg cm mm ft hrs min".split(),
-    "de": "usw ff f h".split(),
-    "fr": "etc h ex min".split(),
-    "es": "etc a.m p.m m mm uu ff h".split(),
+    "en": "a.m p.m etc ltd co inc corp jr m km kg cm mm ft hrs min jan feb mar apr jun jul aug sep sept oct nov dec".split(),
+    "de": "usw ff f h jan feb febr apr aug sept okt nov dez".split(),
+    "fr": "etc h ex min janv févr avr juil sept oct nov déc".split(),
+    "es": "etc a.m p.m m mm uu ff h ene feb abr ago sept oct nov dic".split(),
     "it": ["ecc"],
     "ru": "др г гг руб тыс".split(),
     "el": ["κ.λπ"],

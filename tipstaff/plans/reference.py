@@ -474,6 +474,18 @@ def q_ask(spark, d):
     return search.search(_index(spark, d), _ASK, 5).select("position", "address", F.round("score", 3).alias("score"))
 
 
+@query("SELECT position, address, 1.0::DOUBLE AS score, 'looked up by address' AS reason FROM records WHERE contains(lower(act), 'oyster auctions') AND section = '2' AND subsection = '1'")
+def q_cite(spark, d):
+    rows = search.by_citation(_records(spark, d), "Oyster Auctions", "2", "1")
+    return rows.select("position", "address", F.lit(1.0).alias("score"), F.lit("looked up by address").alias("reason"))
+
+
+@query("SELECT position, '{\"address\":' || to_json(address)::VARCHAR || ',\"section\":' || to_json(section)::VARCHAR || '}' AS packet FROM records WHERE address IS NOT NULL AND section IS NOT NULL")
+def q_packet_json(spark, d):
+    rows = _records(spark, d).where("address is not null and section is not null")
+    return rows.select("position", F.to_json(F.struct("address", "section")).alias("packet"))
+
+
 @query("WITH h AS (SELECT * FROM records WHERE contains(lower(act), 'wharfage') AND section = '3') SELECT count(*) AS extracts, count(*) FILTER (coalesce(currency, '') = '') AS undated, coalesce(string_agg(DISTINCT nullif(currency, ''), '; ' ORDER BY nullif(currency, '')), '') AS dates, coalesce(string_agg(DISTINCT jurisdiction, ', ' ORDER BY jurisdiction), '') AS jurisdictions FROM h")
 def q_notes(spark, d):
     return answer.notes_table(search.by_citation(_records(spark, d), "Wharfage", "3"))

@@ -5,8 +5,8 @@ Records of equal feature sets form a class, named by a 64-bit hash of the set; e
 step works on classes, so copies cost nothing more.
 
 Method. The feature domain is hashed into n1 parts and each part into two cells; a signature of a set is
-its content in one cell, or in the whole part where neither cell holds enough. Sets that are similar enough
-agree on at least one choice. n1 belongs to a band of set sizes and grows with it, so a signature holds
+its content in one cell, or in the whole part where neither cell holds enough. Sets that differ in fewer
+features than there are cells agree on at least one. n1 belongs to a band of set sizes and grows with it, so a signature holds
 about as many features in every band; a set that may have a partner in the next band also gets that band's
 signatures. Features in more than COMMON of all records (phrases of the drafting style) are left out of
 the domain first: leaving features out can only lower the distance of two sets, and what remains is rare
@@ -14,8 +14,9 @@ enough that a signature of two or more features is shared by few unrelated recor
 (mean set size)/COMMON such features, whatever the number of records, and only they go to every task. Where
 a set keeps less than KEPT of its features (it belongs to a group of variants so large that its own words
 are common), it is signed over the whole domain as well, so large groups lose no link.
-Signatures of fewer than two features are not used: a pair is lost only if every choice on which its two
-sets agree is that small (see the README for the recall measured against brute force).
+Signatures of fewer than two features are not used. So a pair can be lost: if every choice on which its two
+sets agree is that small, or, for sets of more than twice as many features as the band has cells, if they agree on none
+(see the README for the recall measured against brute force).
 
 Signatures are shuffled once and sorted; pairs are formed inside the sorted stream. Each row carries the
 set's size and a parity sketch of its features: two sets differ in at least as many features as their

@@ -24,3 +24,11 @@ def test_every_sql_has_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_workers_need_no_search_path(tmp_path):
+    """A session started elsewhere, with the package known to the driver alone."""
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r})\nfrom tipstaff.runtime import session\nimport __spark_entry__ as e\nprint(e.queries()['q_edges'](session(cores='2'), '/root/testdata/sf0.001').count())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert int(said.stdout.split()[-1]) > 0

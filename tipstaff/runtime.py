@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,23 @@ def session(app: str = "tipstaff", cores: str = "*") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers once a context, so they need neither an installation nor a search path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tipstaff_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tipstaff-code-")) / "tipstaff_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(here.rglob("*.py")):
+            out.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(str(target))  # from the driver's disk; Spark serves it to the executors
+    sc._tipstaff_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     filters and size estimates work on what is read back.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tipstaff/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

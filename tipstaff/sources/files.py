@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, strip_tags
+from ..runtime import ship
 
 PAGES = "path string, page_no int, page_text string, error string"
 
@@ -53,6 +54,7 @@ def read_pages(spark: SparkSession, paths: list[str] | str, tidy: bool = True) -
 
     Text is split at form feeds, an HTML file is one page. A named file that does not exist is an error at once.
     """
+    ship(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         if "://" not in p and not glob.has_magic(p) and not os.path.exists(p):

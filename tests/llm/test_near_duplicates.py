@@ -47,6 +47,20 @@ def test_pairs_against_brute_force(spark, monkeypatch, split, common):
     assert len(want) > 100 and len(got) == len(set(got)) and not set(got) - want and len(want - set(got)) <= 0.005 * len(want), (len(want), len(got), want - set(got))
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Short texts, two fifths of them a phrase that all share, just above 0.6: little of what they share is rare."""
+    rng = random.Random(9)
+    phrase, data = " ".join(f"p{i}" for i in range(20)), []
+    for i in range(150):
+        own = [f"w{rng.randrange(5_000)}" for _ in range(26)]
+        at = rng.randrange(3, 12)
+        for text in (own, own[:at] + [f"c{i}x{k}" for k in range(9)] + own[at + 9 :]):
+            data.append((len(data), None, f"{phrase} {' '.join(text)}"))
+    want = brute(data)
+    got = {(r.position_a, r.position_b) for r in nd.near_duplicate_pairs(table(spark, data), "position", "act", "text").collect()}
+    assert len(want) == 150 and got == want
+
+
 def test_groups_lose_no_link(spark):
     data = rows(6, 120)
     got = {r.position: r for r in nd.near_duplicate_groups(table(spark, data), "position", "act", "text").collect()}

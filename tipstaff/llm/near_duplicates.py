@@ -1,25 +1,23 @@
-"""Problem 3: records that carry almost the same text, by PartEnum signatures.
+"""Problem 3: records that carry almost the same text, by an exact prefix-filter join.
 
 A record's features are the distinct runs of three successive words of its act and text, as 50-bit hashes.
 Records of equal feature sets form a class, named by a 64-bit hash of the set; everything up to the last
 step works on classes, so copies cost nothing more.
 
-Method. The feature domain is hashed into n1 parts and each part into two cells; a signature of a set is
-its content in one cell, or in the whole part where neither cell holds enough. Sets that differ in fewer
-features than there are cells agree on at least one. n1 belongs to a band of set sizes and grows with it, so a signature holds
-about as many features in every band; a set that may have a partner in the next band also gets that band's
-signatures. Features in more than COMMON of all records (phrases of the drafting style) are left out of
-the domain first: leaving features out can only lower the distance of two sets, and what remains is rare
-enough that a signature of two or more features is shared by few unrelated records. There are at most
-(mean set size)/COMMON such features, whatever the number of records, and only they go to every task. Where
-a set keeps less than KEPT of its features (it belongs to a group of variants so large that its own words
-are common), it is signed over the whole domain as well, so large groups lose no link.
-Signatures of fewer than two features are not used. So a pair can be lost: if every choice on which its two
-sets agree is that small, or, for sets of more than twice as many features as the band has cells, if they agree on none
-(see the README for the recall measured against brute force).
+Method. All features stand in one order, rare ones first, and the signatures of a set are its first
+size - ceil(threshold * size) + 1 features in that order. Two sets that reach the threshold share at least
+ceil(threshold * size) features of either, so at least one of these stands among the signatures of both: no
+pair is lost, whatever the order. How rare a feature is is read from a table of RANKS slots, which hold how
+often the features hashed into them were seen; its size does not grow with the records, and slots shared by
+several features only make the order worse, never wrong. Features in more than COMMON of all records (phrases
+of the drafting style) rank alike, last. A slot seen once holds a feature of one set, which can have no partner
+by it and is no signature. (PartEnum, which the operator used before, has no such guarantee at a similarity of
+0.6 unless signatures of one feature or none are used too: two equally large sets can differ in half as many
+features as either has, which is as many as a set has signatures of two features.)
 
 Signatures are shuffled once and sorted; pairs are formed inside the sorted stream. Each row carries the
-set's size and a parity sketch of its features: two sets differ in at least as many features as their
+signature's place in the set: of the first signature that two sets share, nothing before it is shared, so a pair
+whose remaining features are too few for the threshold is refused. It also carries the set's size and a parity sketch of its features: two sets differ in at least as many features as their
 sketches differ in bits, so most unrelated pairs are refused at once without any loss. A signature with
 more than SPLIT classes is not paired in that task: its members are joined block by block in a further
 step. The remaining pairs are checked exactly on the full sets, which are computed again only for classes
@@ -43,12 +41,10 @@ from pyspark.sql import functions as F
 from ..functions import runs
 from ..runtime import materialize
 
-#: Share of all records beyond which a feature is a phrase of the style and no evidence, and the records it must stand in at least.
+#: Share of all records beyond which a feature is a phrase of the style and ranks last, and the records it must stand in at least.
 COMMON, COMMON_RECORDS = 0.01, 50
-#: A set that keeps less than this share of its features without them is signed over the whole domain as well.
-KEPT = 0.5
-#: Upper set size of the first band and its parts; sizes and parts go on threefold from band to band.
-FIRST_SIZE, FIRST_PARTS, STEP = 210, 24, 3
+#: Slots (as a power of two) of the table that says how rare a feature is: bounds what is broadcast.
+RANK_BITS = 21
 #: Classes of one signature that are paired within a task; wider ones are paired block by block.
 SPLIT = 512
 #: Slots of the filter that keeps classes without candidates out of the last step: bounds what is broadcast.
@@ -58,14 +54,6 @@ CHUNK = 8_192
 U = np.uint64
 
 
-def band_of(size: np.ndarray) -> np.ndarray:
-    return np.maximum(np.ceil(np.log(np.maximum(size, 1) / FIRST_SIZE) / np.log(STEP) - 1e-9), 0).astype(np.int64)
-
-
-def parts_of(band: np.ndarray) -> np.ndarray:
-    return FIRST_PARTS * STEP**band
-
-
 class Sets:
     """The feature sets of one chunk of rows (key, act, text): only rows with enough words have one."""
 
@@ -135,41 +123,40 @@ def members(df: DataFrame, key: str, act: str, text: str, min_words: int = 45, w
     return base.mapInArrow(per_batch, f"`{key}` {base.schema[0].dataType.simpleString()}, class_hash bigint")
 
 
-def _common(base: DataFrame, records: int, min_words: int, width: int) -> np.ndarray:
-    """Features held by more than COMMON of the records, sorted; their number is bounded by set size / COMMON."""
+def _slot(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> U(64 - RANK_BITS)).astype(np.int64)
+
+
+def _ranks(base: DataFrame, records: int, min_words: int, width: int) -> np.ndarray:
+    """One byte a slot, rare features first: 0 for a slot seen at most once, else eight steps a doubling."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << RANK_BITS, np.int64)
         for chunk in _chunks(batches):
             sets = Sets(chunk, min_words, width)
             sets.keep(np.ones(len(sets.name), bool))  # copies count once a chunk
-            feature, n = np.unique(sets.feature, return_counts=True)
-            yield pa.record_batch([pa.array(feature.view(np.int64)), pa.array(n.astype(np.int32))], names=["feature", "n"])
-
-    counts = base.mapInArrow(per_batch, "feature bigint, n int").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > max(COMMON * records, COMMON_RECORDS)).select("feature").toPandas()
-    return np.sort(rows["feature"].to_numpy(dtype=np.int64).view(U))
-
-
-def _of_band(owner: np.ndarray, feature: np.ndarray, band: np.ndarray, domain: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Set and signature of the features of sets (owner, ascending) in the band given for each feature."""
-    if not len(owner):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    part = (runs.mix(feature ^ U(0xA5A5)) % parts_of(band).astype(U)).astype(np.int64)
-    value = runs.mix(feature ^ U(0x5C5C))
-    order = np.argsort(owner * (1 << 20) + part, kind="stable")
-    owner, part, value, band = owner[order], part[order], value[order], band[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
-    start = np.flatnonzero(new)
-    cell = (value >> U(63)).astype(np.int64)
-    n1 = np.add.reduceat(cell, start)
-    n0 = np.diff(np.concatenate((start, [len(owner)]))) - n1
-    s1 = np.add.reduceat(np.where(cell == 1, value, U(0)), start)
-    s0 = np.add.reduceat(np.where(cell == 0, value, U(0)), start)
-    seed = part[start].astype(U) * U(4) + band[start].astype(U) * U(1 << 40) + U(domain << 50)
-    whole = (n0 == 1) & (n1 == 1)
-    rows = np.concatenate((owner[start][n0 >= 2], owner[start][n1 >= 2], owner[start][whole]))
-    sigs = np.concatenate((runs.mix(s0 + runs.mix(seed))[n0 >= 2], runs.mix(s1 + runs.mix(seed + U(1)))[n1 >= 2], runs.mix(s0 + s1 + runs.mix(seed + U(2)))[whole]))
-    return rows, sigs
+            seen += np.bincount(_slot(runs.mix(sets.feature)), minlength=len(seen))
+        slot = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], names=["slot", "n"])
+
+    counts = base.mapInArrow(per_batch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = counts.where("n > 1").toPandas()  # at most 1 << RANK_BITS
+    n = np.minimum(rows["n"].to_numpy(dtype=np.int64), max(int(COMMON * records), COMMON_RECORDS))
+    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    ranks[rows["slot"].to_numpy(dtype=np.int64)] = np.clip(np.round(8 * np.log2(np.maximum(n, 2))), 8, 255)
+    return ranks
+
+
+def _prefixes(sets: Sets, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, signature and its place in the set: the first features of each set in the order of rank and hash, without those of rank 0."""
+    mixed = runs.mix(sets.feature)
+    # 13 bits for the set in its chunk, 8 for the rank, 43 of the hash; equal ones only make more candidates
+    key = np.sort((sets.index.astype(U) << U(51)) | (ranks[_slot(mixed)].astype(U) << U(43)) | (mixed >> U(21)))
+    length = sets.size - np.ceil(threshold * sets.size - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(key)) - np.repeat(sets.start, sets.size)
+    sig = key & U((1 << 51) - 1)
+    use = (place < np.repeat(length, sets.size)) & (sig >> U(43) > U(0))
+    return sets.index[use], sig[use], place[use]
 
 
 def _sketch(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -182,37 +169,26 @@ def _sketch(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(high, sets.start) | np.minimum(sets.size, 65_535).astype(U), np.bitwise_xor.reduceat(low, sets.start)
 
 
-def signatures(base: DataFrame, common: np.ndarray, threshold: float, min_words: int, width: int) -> DataFrame:
-    """signature, class_hash and the two words of the sketch; a class has each signature once a chunk."""
-    shared = base.sparkSession.sparkContext.broadcast(common)
+def signatures(base: DataFrame, ranks: np.ndarray, threshold: float, min_words: int, width: int) -> DataFrame:
+    """signature, class_hash, the two words of the sketch and the signature's place in the set; a class has each signature once a chunk."""
+    shared = base.sparkSession.sparkContext.broadcast(ranks)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             sets = Sets(chunk, min_words, width)
             sets.keep(np.ones(len(sets.name), bool))
             a, b = _sketch(sets)
-            feature, owner = sets.feature, sets.index
-            low = np.zeros(len(sets.size), bool)
-            if len(shared.value):
-                at = np.minimum(np.searchsorted(shared.value, feature), len(shared.value) - 1)
-                rare = shared.value[at] != feature
-                low = np.bincount(owner[rare], minlength=len(sets.size)) < KEPT * sets.size
-                feature, owner = feature[rare], owner[rare]
-            band = band_of(sets.size)
-            reaches = band_of(np.floor(sets.size / threshold)) > band
-            rows, sigs = [], []
-            in_low = low[sets.index]
-            for domain, (f, o) in enumerate(((feature, owner), (sets.feature[in_low], sets.index[in_low]))):
-                up = reaches[o]
-                for r, s in (_of_band(o, f, band[o], domain), _of_band(o[up], f[up], band[o[up]] + 1, domain)):
-                    rows.append(r)
-                    sigs.append(s)
-            row, sig = np.concatenate(rows), np.concatenate(sigs)
-            order = np.argsort(row, kind="stable")
-            row, sig = row[order], sig[order]
-            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[row], a[row], b[row])], names=["signature", "class_hash", "s1", "s2"])
-
-    return base.mapInArrow(per_batch, "signature bigint, class_hash bigint, s1 bigint, s2 bigint")
+            row, sig, place = _prefixes(sets, shared.value, threshold)
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[row], a[row], b[row], place)], names=["signature", "class_hash", "s1", "s2", "place"])
+
+    return base.mapInArrow(per_batch, "signature bigint, class_hash bigint, s1 bigint, s2 bigint, place bigint")
+
+
+def _within_reach(a1, b1, place_a, place_b, threshold: float) -> np.ndarray:
+    """Whether two sets can share enough if the signature at these places is the first that they share."""
+    size_a, size_b = (a1 & U(0xFFFF)).astype(np.int64), (b1 & U(0xFFFF)).astype(np.int64)
+    capped = np.maximum(size_a, size_b) >= 65_535
+    return capped | (np.minimum(size_a - place_a, size_b - place_b) >= threshold / (1 + threshold) * (size_a + size_b) - 1e-9)
 
 
 def _plausible(a1, a2, b1, b2, threshold: float) -> np.ndarray:
@@ -227,15 +203,15 @@ def _plausible(a1, a2, b1, b2, threshold: float) -> np.ndarray:
 def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a < b) of classes that share a signature and may reach the threshold."""
     n = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = sigs.repartition(n, "signature").sortWithinPartitions("signature", "class_hash")
+    stream = sigs.repartition(n, "signature").sortWithinPartitions("signature", "class_hash", "place")
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows kind 0: a pair (a, b); kind 1: a member (signature, class, sketch) of a wide signature."""
+        """Rows kind 0: a pair (a, b); kind 1: a member (signature, class, sketch, place) of a wide signature."""
         left = None
         wide = None  # the wide signature whose members are passing
         for batch in (*batches, None):
             if batch is not None:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
                 rows = [np.concatenate((x, y)) for x, y in zip(left, cols)] if left is not None else cols
             elif left is not None:
                 rows = left
@@ -253,7 +229,7 @@ def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
             if flow is not None:
                 end = len(sig) - 1  # one row stays to see whether the signature goes on
             left = [x[end:] for x in rows]
-            sig, cls, s1, s2 = (x[:end] for x in rows)
+            sig, cls, s1, s2, place = (x[:end] for x in rows)
             s1, s2 = s1.view(U), s2.view(U)
             change = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
             count = np.diff(np.concatenate((change, [len(sig)])))
@@ -267,7 +243,8 @@ def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
             while len(at):
                 at = at[at + step < len(sig)]
                 at = at[sig[at] == sig[at + step]]
-                good = at[_plausible(s1[at], s2[at], s1[at + step], s2[at + step], threshold)]
+                good = at[_within_reach(s1[at], s1[at + step], place[at], place[at + step], threshold)]
+                good = good[_plausible(s1[good], s2[good], s1[good + step], s2[good + step], threshold)]
                 a.append(cls[good])
                 b.append(cls[good + step])
                 step += 1
@@ -276,24 +253,25 @@ def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             if pairs.shape[1]:
                 zero = np.zeros(pairs.shape[1], np.int64)
-                yield pa.record_batch([pa.array(zero.astype(np.int32)), *(pa.array(x) for x in (pairs[0], pairs[1], zero, zero))], names=["kind", "x", "y", "s1", "s2"])
+                yield pa.record_batch([pa.array(zero.astype(np.int32)), *(pa.array(x) for x in (pairs[0], pairs[1], zero, zero, zero))], names=["kind", "x", "y", "s1", "s2", "place"])
             if is_wide.any():
-                yield pa.record_batch([pa.array(np.ones(int(is_wide.sum()), np.int32)), *(pa.array(x) for x in (sig[is_wide], cls[is_wide], s1[is_wide].view(np.int64), s2[is_wide].view(np.int64)))], names=["kind", "x", "y", "s1", "s2"])
+                yield pa.record_batch([pa.array(np.ones(int(is_wide.sum()), np.int32)), *(pa.array(x) for x in (sig[is_wide], cls[is_wide], s1[is_wide].view(np.int64), s2[is_wide].view(np.int64), place[is_wide]))], names=["kind", "x", "y", "s1", "s2", "place"])
 
-    out = materialize(stream.mapInArrow(pair_up, "kind int, x bigint, y bigint, s1 bigint, s2 bigint"), "paired")
+    out = materialize(stream.mapInArrow(pair_up, "kind int, x bigint, y bigint, s1 bigint, s2 bigint, place bigint"), "paired")
     near = out.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if out.where("kind = 1").isEmpty():
         return near.distinct()
     # Wide signatures: every member meets every block of SPLIT others.
-    rows = out.where("kind = 1").select(F.col("x").alias("signature"), F.col("y").alias("c"), "s1", "s2").distinct()
+    rows = out.where("kind = 1").select(F.col("x").alias("signature"), F.col("y").alias("c"), "s1", "s2", "place").distinct()
     blocks = rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks"))
     rows = rows.join(blocks, "signature")
-    here = rows.select("signature", F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    there = rows.select("signature", F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
+    here = rows.select("signature", F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("place").alias("ap"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    there = rows.select("signature", F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("place").alias("bp"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
     differ = F.bit_count(F.shiftrightunsigned(F.col("a1").bitwiseXOR(F.col("b1")), 16)) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     most = (1 - threshold) / (1 + threshold) * (size("a1") + size("b1")) + 1e-9
     fits = (F.greatest(size("a1"), size("b1")) >= 65_535) | ((differ <= most) & (F.least(size("a1"), size("b1")) >= threshold * F.greatest(size("a1"), size("b1")) - 1e-9))
+    fits &= (F.greatest(size("a1"), size("b1")) >= 65_535) | (F.least(size("a1") - F.col("ap"), size("b1") - F.col("bp")) >= threshold / (1 + threshold) * (size("a1") + size("b1")) - 1e-9)
     wide_pairs = here.join(there, ["signature", "block"]).where((F.col("a") < F.col("b")) & fits).select("a", "b")
     return near.unionByName(wide_pairs).distinct()
 
@@ -301,8 +279,8 @@ def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
 def class_links(df: DataFrame, key: str, act: str, text: str, records: int, threshold: float, min_words: int, width: int) -> DataFrame:
     """a, b, shared: pairs of classes (a < b) whose shared share is at least the threshold, checked exactly."""
     base = _base(df, key, act, text)
-    common = _common(base, records, min_words, width)
-    pairs = materialize(candidates(signatures(base, common, threshold, min_words, width), threshold), "candidates")
+    ranks = _ranks(base, records, min_words, width)
+    pairs = materialize(candidates(signatures(base, ranks, threshold, min_words, width), threshold), "candidates")
     slots = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()  # at most SLOTS
     filled = np.zeros(SLOTS // 8, np.uint8)
     np.bitwise_or.at(filled, slots // 8, np.left_shift(1, slots % 8).astype(np.uint8))

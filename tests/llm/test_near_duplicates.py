@@ -61,6 +61,18 @@ def test_no_pair_at_the_threshold_is_lost(spark):
     assert len(want) == 150 and got == want
 
 
+def test_last_class_of_a_wide_signature_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SPLIT", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sigs = spark.createDataFrame([(5, 1, 60, 0, 0), (5, 2, 60, 0, 0)] + [(7, c, 60, 0, 0) for c in range(10, 19)], "signature bigint, class_hash bigint, s1 bigint, s2 bigint, place bigint")
+        got = {(r.a, r.b) for r in nd.candidates(sigs, 0.6).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {(1, 2)} | {(a, b) for a in range(10, 19) for b in range(a + 1, 19)}
+
+
 def test_groups_lose_no_link(spark):
     data = rows(6, 120)
     got = {r.position: r for r in nd.near_duplicate_groups(table(spark, data), "position", "act", "text").collect()}

@@ -225,7 +225,8 @@ def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
             sig = rows[0]
             end = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1]))
             tail = len(sig) - end
-            flow = sig[-1] if tail > SPLIT or (wide is not None and sig[-1] == wide) else None
+            # at the close nothing follows: the row held back goes out, as wide where its signature was
+            flow = sig[-1] if batch is not None and (tail > SPLIT or (wide is not None and sig[-1] == wide)) else None
             if flow is not None:
                 end = len(sig) - 1  # one row stays to see whether the signature goes on
             left = [x[end:] for x in rows]

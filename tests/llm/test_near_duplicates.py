@@ -36,15 +36,33 @@ def table(spark, data):
     return spark.createDataFrame(data, "position bigint, act string, text string").selectExpr("*", "1 as class_hash", "2 as a", "3 as b")
 
 
-@pytest.mark.parametrize("split, common", [(512, 50), (2, 50), (512, 4)])
-def test_pairs_against_brute_force(spark, monkeypatch, split, common):
-    """With SPLIT 2 nearly every shared signature goes block by block; with few records enough, groups of variants are common words throughout."""
+@pytest.mark.parametrize("split, rare, tile", [(512, 32, 1_000), (2, 32, 3), (512, 1, 1_000), (2, 1, 1_000), (512, 10_000, 1_000)])
+def test_pairs_against_brute_force(spark, monkeypatch, split, rare, tile):
+    """With SPLIT 2 nearly every shared signature goes tile by tile; with RARE 1 only pairs of features sign, with 10,000 only single ones."""
     monkeypatch.setattr(nd, "SPLIT", split)
-    monkeypatch.setattr(nd, "COMMON_RECORDS", common)
+    monkeypatch.setattr(nd, "RARE", rare)
+    monkeypatch.setattr(nd, "TILE", tile)
     data = rows(5)
     got = [(r.position_a, r.position_b) for r in nd.near_duplicate_pairs(table(spark, data), "position", "act", "text").collect()]
     want = brute(data)
-    assert len(want) > 100 and len(got) == len(set(got)) and not set(got) - want and len(want - set(got)) <= 0.005 * len(want), (len(want), len(got), want - set(got))
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_short_sets_and_other_thresholds(spark, monkeypatch, threshold):
+    """Sets of four to forty features from a small vocabulary, so that most features are frequent."""
+    monkeypatch.setattr(nd, "RARE", 2)
+    rng = random.Random(3)
+    data = []
+    for i in range(160):
+        words = [f"q{rng.randrange(12)}" for _ in range(rng.randrange(4, 40))] if i % 3 == 0 or not data else data[-1][2].split()
+        words = list(words)
+        words[rng.randrange(len(words))] = f"q{rng.randrange(12)}"
+        data.append((i, None, " ".join(words)))
+    sets = {i: set(zip(w, w[1:], w[2:])) for i, _, t in data for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    got = {(r.position_a, r.position_b) for r in nd.near_duplicate_pairs(table(spark, data), "position", "act", "text", threshold, 3, 3).collect()}
+    assert len(want) > 10 and got == want
 
 
 def test_no_pair_at_the_threshold_is_lost(spark):
@@ -66,8 +84,8 @@ def test_last_class_of_a_wide_signature_is_kept(spark, monkeypatch):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        sigs = spark.createDataFrame([(5, 1, 60, 0, 0), (5, 2, 60, 0, 0)] + [(7, c, 60, 0, 0) for c in range(10, 19)], "signature bigint, class_hash bigint, s1 bigint, s2 bigint, place bigint")
-        got = {(r.a, r.b) for r in nd.candidates(sigs, 0.6).collect()}
+        sigs = spark.createDataFrame([(5 << 8, 1, 60, 0, 0), (5 << 8, 2, 60, 0, 0)] + [(7 << 8, c, 60, 0, 0) for c in range(10, 19)], "signature bigint, c bigint, s0 bigint, s1 bigint, s2 bigint")
+        got = {(r.a, r.b) for r in nd.candidates(sigs, 0.6, 11).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {(1, 2)} | {(a, b) for a in range(10, 19) for b in range(a + 1, 19)}
@@ -93,7 +111,9 @@ def test_sketches_refuse_no_true_pair():
     data = [r for r in rows(8, 150) if r[2]]
     batch = pa.record_batch([pa.array([r[0] for r in data]), pa.array([r[1] for r in data]), pa.array([r[2] for r in data])], names=["k", "a", "t"])
     sets = nd.Sets(batch, 45, 3)
-    a, b = nd._sketch(sets)
+    words = nd._sketch(sets)
     place = {data[r][0]: i for i, r in enumerate(sets.rows)}
     pairs = np.array([(place[x], place[y]) for x, y in brute(data)])
-    assert nd._plausible(a[pairs[:, 0]], b[pairs[:, 0]], a[pairs[:, 1]], b[pairs[:, 1]], 0.6).all()
+    zero = np.zeros(len(pairs), np.int64)
+    kept = nd._plausible([w[pairs[:, 0]] for w in words], [w[pairs[:, 1]] for w in words], zero, zero, 0.6)
+    assert len(kept) == len(pairs) > 50

@@ -1,27 +1,38 @@
-"""Problem 3: records that carry almost the same text, by an exact prefix-filter join.
+"""Problem 3: records that carry almost the same text: subsets of a partitioned feature domain as signatures, exact.
 
 A record's features are the distinct runs of three successive words of its act and text, as 50-bit hashes.
 Records of equal feature sets form a class, named by a 64-bit hash of the set; everything up to the last
 step works on classes, so copies cost nothing more.
 
-Method. All features stand in one order, rare ones first, and the signatures of a set are its first
-size - ceil(threshold * size) + 1 features in that order. Two sets that reach the threshold share at least
-ceil(threshold * size) features of either, so at least one of these stands among the signatures of both: no
-pair is lost, whatever the order. How rare a feature is is read from a table of RANKS slots, which hold how
-often the features hashed into them were seen; its size does not grow with the records, and slots shared by
-several features only make the order worse, never wrong. Features in more than COMMON of all records (phrases
-of the drafting style) rank alike, last. A slot seen once holds a feature of one set, which can have no partner
-by it and is no signature. (PartEnum, which the operator used before, has no such guarantee at a similarity of
-0.6 unless signatures of one feature or none are used too: two equally large sets can differ in half as many
-features as either has, which is as many as a set has signatures of two features.)
-
-Signatures are shuffled once and sorted; pairs are formed inside the sorted stream. Each row carries the
-signature's place in the set: of the first signature that two sets share, nothing before it is shared, so a pair
-whose remaining features are too few for the threshold is refused. It also carries the set's size and a parity sketch of its features: two sets differ in at least as many features as their
-sketches differ in bits, so most unrelated pairs are refused at once without any loss. A signature with
-more than SPLIT classes is not paired in that task: its members are joined block by block in a further
-step. The remaining pairs are checked exactly on the full sets, which are computed again only for classes
-that stand in a candidate pair.
+Method. As in PartEnum the feature domain is partitioned (by hash, into PARTS parts) and subsets within the
+partition are enumerated, so that two sets that are similar enough must share one signature. PartEnum's own
+signatures are whole projections on several parts, which a single differing feature spoils: at a shared share
+of 0.6 two sets may differ in half as many features as either has, so the projections that must still agree
+hold about one feature or none, and empty ones agree for all sets. Here a signature is a subset that both
+sets hold, whatever else stands in the part:
+
+* All features stand in one order, rare ones first. Two sets u and v that reach the threshold t share
+  o >= t / (1 + t) * (|u| + |v|) features, so u lacks at most |u| - o of its own in v, and the first PARTS + 1
+  shared ones stand among its first |u| - o + PARTS + 1. As o >= t * |u|, each set knows how far that reaches.
+* If the first shared feature is rare (in at most RARE sets), it is a signature by itself in both sets.
+* If it is not, all shared features are frequent, and two of the first PARTS + 1 fall into the same part: that
+  pair is a signature in both sets. Every pair of frequent features of one part within reach is enumerated.
+  Pairs of frequent features are far rarer than the features, which keeps the lists short as the data grow.
+* Sets so small that they need not share PARTS + 1 features also sign each single feature within reach.
+
+So no pair is lost, whatever the order. How rare a feature is is read from a table of slots, which hold how
+often the features hashed into them were seen; its size does not grow with the records. Slots shared by
+several features make a rare one count as frequent, which costs signatures and no pairs. A slot seen once
+holds a feature of one set, which can have no partner by it and is no signature.
+
+Signatures are shuffled once and sorted; pairs are formed inside the sorted stream. Each row carries how deep
+in the set the signature lies, the set's size and a parity sketch of its features. A pair is refused where the
+signature lies too deep for the two sizes (then another one is shared, or none is due) or where the sketches
+differ in more bits than the sets may differ in features; neither refuses a true pair. Partitions are sized
+from the number of sets. A signature with more than SPLIT classes is not paired in that task: its members are
+joined tile by tile of SPLIT by SPLIT in a further step. The remaining pairs are checked exactly on the full
+sets, which are computed again only for classes that stand in a candidate pair. Where pairs of records are
+wanted, classes of many copies meet in tiles of about TILE by TILE records.
 
 Defined results. Null act counts as empty, null text as no words. Records with fewer than min_words words
 are in no pair and no class. Equal sets share 1.0; a record is never its own partner. Empty tables give no
@@ -30,27 +41,34 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import runs
 from ..runtime import materialize
+from . import runs
 
-#: Share of all records beyond which a feature is a phrase of the style and ranks last, and the records it must stand in at least.
-COMMON, COMMON_RECORDS = 0.01, 50
+#: Parts of the feature domain that frequent features are paired within, and the sets up to which a feature is rare.
+PARTS, RARE = 12, 32
 #: Slots (as a power of two) of the table that says how rare a feature is: bounds what is broadcast.
 RANK_BITS = 21
-#: Classes of one signature that are paired within a task; wider ones are paired block by block.
+#: Classes of one signature that are paired within a task; wider ones are paired tile by tile.
 SPLIT = 512
+#: Records of a class that meet those of another (or its own copies) in one tile.
+TILE = 1_000
+#: Records whose signatures one task sorts and pairs.
+SETS_A_TASK = 40_000
 #: Slots of the filter that keeps classes without candidates out of the last step: bounds what is broadcast.
 SLOTS = 1 << 21
 #: Rows whose sets are worked on at once; 50 bits are left for a feature beside 14 for the row.
 CHUNK = 8_192
+#: Bits of the parity sketch: three words, of which 16 bits hold the size, up to MOST.
+SKETCH, MOST = 176, 65_535
 U = np.uint64
 
 
@@ -127,7 +145,7 @@ def _slot(mixed: np.ndarray) -> np.ndarray:
     return (mixed >> U(64 - RANK_BITS)).astype(np.int64)
 
 
-def _ranks(base: DataFrame, records: int, min_words: int, width: int) -> np.ndarray:
+def _ranks(base: DataFrame, min_words: int, width: int) -> np.ndarray:
     """One byte a slot, rare features first: 0 for a slot seen at most once, else eight steps a doubling."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,148 +158,185 @@ def _ranks(base: DataFrame, records: int, min_words: int, width: int) -> np.ndar
         yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], names=["slot", "n"])
 
     counts = base.mapInArrow(per_batch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = counts.where("n > 1").toPandas()  # at most 1 << RANK_BITS
-    n = np.minimum(rows["n"].to_numpy(dtype=np.int64), max(int(COMMON * records), COMMON_RECORDS))
+    rows = counts.where("n > 1").select("slot", F.least(F.round(8 * F.log2("n")), F.lit(255)).cast("int").alias("rank")).toPandas()  # at most 1 << RANK_BITS
     ranks = np.zeros(1 << RANK_BITS, np.uint8)
-    ranks[rows["slot"].to_numpy(dtype=np.int64)] = np.clip(np.round(8 * np.log2(np.maximum(n, 2))), 8, 255)
+    ranks[rows["slot"].to_numpy(dtype=np.int64)] = rows["rank"].to_numpy(dtype=np.uint8)
     return ranks
 
 
-def _prefixes(sets: Sets, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set, signature and its place in the set: the first features of each set in the order of rank and hash, without those of rank 0."""
+def least_shared(a, b, threshold: float):
+    """Features that two sets of these sizes must share to reach the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+def _signed(sets: Sets, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Set and signature (56 bits of hash, 8 of how deep it lies), rows of a set side by side."""
     mixed = runs.mix(sets.feature)
     # 13 bits for the set in its chunk, 8 for the rank, 43 of the hash; equal ones only make more candidates
     key = np.sort((sets.index.astype(U) << U(51)) | (ranks[_slot(mixed)].astype(U) << U(43)) | (mixed >> U(21)))
-    length = sets.size - np.ceil(threshold * sets.size - 1e-9).astype(np.int64) + 1
     place = np.arange(len(key)) - np.repeat(sets.start, sets.size)
-    sig = key & U((1 << 51) - 1)
-    use = (place < np.repeat(length, sets.size)) & (sig >> U(43) > U(0))
-    return sets.index[use], sig[use], place[use]
+    rank, hashed = (key >> U(43)) & U(0xFF), key & U((1 << 43) - 1)
+    lacks = sets.size - np.ceil(threshold * sets.size - 1e-9).astype(np.int64)  # features of a set that a partner may lack
+    small = threshold * sets.size < PARTS + 1
+    near = place <= np.repeat(lacks, sets.size)
+    rare = rank <= U(round(8 * np.log2(RARE)))
+    alone = np.flatnonzero(near & (rank > U(0)) & (rare | np.repeat(small, sets.size)))
+    at, signature, depth = [sets.index[alone]], [runs.mix(hashed[alone])], [place[alone]]
+    # Pairs of frequent features: only where the rare ones alone do not reach beyond what may be lacking.
+    open_ = np.bincount(sets.index[rare], minlength=len(sets.size)) <= lacks
+    use = np.flatnonzero(~rare & np.repeat(open_, sets.size) & (place <= np.repeat(lacks + PARTS, sets.size)))
+    group = sets.index[use] * PARTS + (runs.mix(hashed[use]) % U(PARTS)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    use, group = use[order], group[order]
+    first, step = np.arange(len(use)), 1
+    while len(first):
+        first = first[first + step < len(use)]
+        first = first[group[first] == group[first + step]]
+        x, y = use[first], use[first + step]
+        at.append(sets.index[x])
+        signature.append(runs.mix(hashed[x] * U(3) + runs.mix(hashed[y])))
+        depth.append(np.maximum(place[y] - PARTS, 0))
+        step += 1
+    at, signature, depth = np.concatenate(at), np.concatenate(signature), np.concatenate(depth)
+    order = np.argsort(at, kind="stable")
+    return at[order], (signature[order] >> U(8) << U(8)) | np.minimum(depth[order], 255).astype(U)
+
+
+def _sketch(sets: Sets) -> list[np.ndarray]:
+    """Size (16 bits) with 48 parity bits, and 128 further parity bits, of every set."""
+    if not len(sets.start):
+        return [np.zeros(0, U)] * 3
+    bit = runs.mix(sets.feature ^ U(0x3C3C)) % U(SKETCH) + U(16)
+    words = [np.bitwise_xor.reduceat(np.where(bit // U(64) == U(k), U(1) << (bit % U(64)), U(0)), sets.start) for k in range(3)]
+    words[0] |= np.minimum(sets.size, MOST).astype(U)
+    return words
 
 
-def _sketch(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """Size (16 bits) with 48 parity bits, and 64 further parity bits, of every set."""
-    bit = runs.mix(sets.feature ^ U(0x3C3C)) % U(112)
-    low = np.where(bit < U(64), U(1) << (bit % U(64)), U(0))
-    high = np.where(bit >= U(64), U(1) << (U(16) + (bit - U(64)) % U(48)), U(0))
-    if not len(sets.start):
-        return np.zeros(0, U), np.zeros(0, U)
-    return np.bitwise_xor.reduceat(high, sets.start) | np.minimum(sets.size, 65_535).astype(U), np.bitwise_xor.reduceat(low, sets.start)
+_SIGNED = ["signature", "c", "s0", "s1", "s2"]
+_PAIRED = ["kind", "x", "y", "s0", "s1", "s2", "depth"]
 
 
 def signatures(base: DataFrame, ranks: np.ndarray, threshold: float, min_words: int, width: int) -> DataFrame:
-    """signature, class_hash, the two words of the sketch and the signature's place in the set; a class has each signature once a chunk."""
+    """signature, c (class) and the three words of its sketch; a class has each signature once a chunk."""
     shared = base.sparkSession.sparkContext.broadcast(ranks)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             sets = Sets(chunk, min_words, width)
             sets.keep(np.ones(len(sets.name), bool))
-            a, b = _sketch(sets)
-            row, sig, place = _prefixes(sets, shared.value, threshold)
-            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[row], a[row], b[row], place)], names=["signature", "class_hash", "s1", "s2", "place"])
+            words = _sketch(sets)
+            at, sig = _signed(sets, shared.value, threshold)
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (sig, sets.name[at], *(w[at] for w in words))], names=_SIGNED)
 
-    return base.mapInArrow(per_batch, "signature bigint, class_hash bigint, s1 bigint, s2 bigint, place bigint")
+    return base.mapInArrow(per_batch, ", ".join(f"{c} bigint" for c in _SIGNED))
 
 
-def _within_reach(a1, b1, place_a, place_b, threshold: float) -> np.ndarray:
-    """Whether two sets can share enough if the signature at these places is the first that they share."""
-    size_a, size_b = (a1 & U(0xFFFF)).astype(np.int64), (b1 & U(0xFFFF)).astype(np.int64)
-    capped = np.maximum(size_a, size_b) >= 65_535
-    return capped | (np.minimum(size_a - place_a, size_b - place_b) >= threshold / (1 + threshold) * (size_a + size_b) - 1e-9)
+def _plausible(a: list[np.ndarray], b: list[np.ndarray], depth_a, depth_b, threshold: float) -> np.ndarray:
+    """Places of the pairs that sizes, depths and sketches (three words each) do not rule out."""
+    size_a, size_b = (a[0] & U(MOST)).astype(np.int64), (b[0] & U(MOST)).astype(np.int64)
+    capped = np.maximum(size_a, size_b) >= MOST
+    most = least_shared(size_a, size_b, threshold)
+    good = np.flatnonzero(capped | ((np.minimum(size_a, size_b) >= most) & (depth_a <= size_a - most) & (depth_b <= size_b - most)))
+    differ = np.bitwise_count((a[0][good] ^ b[0][good]) >> U(16)).astype(np.int64)
+    for k in (1, 2):
+        differ += np.bitwise_count(a[k][good] ^ b[k][good])
+    return good[capped[good] | (differ <= size_a[good] + size_b[good] - 2 * most[good])]
 
 
-def _plausible(a1, a2, b1, b2, threshold: float) -> np.ndarray:
-    """Pairs that sizes and parity sketches do not rule out."""
-    size_a, size_b = (a1 & U(0xFFFF)).astype(np.int64), (b1 & U(0xFFFF)).astype(np.int64)
-    differ = np.bitwise_count((a1 ^ b1) >> U(16)).astype(np.int64) + np.bitwise_count(a2 ^ b2)
-    capped = np.maximum(size_a, size_b) >= 65_535
-    most = (1 - threshold) / (1 + threshold) * (size_a + size_b)
-    return capped | ((differ <= most + 1e-9) & (np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9))
+def _plausible_rows(threshold: float) -> Column:
+    """The same test on columns as0..as2, ad (sketch, depth) and bs0..bs2, bd."""
+    size_a, size_b = (F.col(c).bitwiseAND(F.lit(MOST)) for c in ("as0", "bs0"))
+    most = F.ceil(F.lit(threshold / (1 + threshold)) * (size_a + size_b) - 1e-9)
+    differ = F.bit_count(F.shiftrightunsigned(F.col("as0").bitwiseXOR(F.col("bs0")), 16)) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) + F.bit_count(F.col("as2").bitwiseXOR(F.col("bs2")))
+    near = (F.least(size_a, size_b) >= most) & (F.col("ad") <= size_a - most) & (F.col("bd") <= size_b - most) & (differ <= size_a + size_b - 2 * most)
+    return (F.greatest(size_a, size_b) >= MOST) | near
 
 
-def candidates(sigs: DataFrame, threshold: float) -> DataFrame:
+def candidates(sigs: DataFrame, threshold: float, sets: int) -> DataFrame:
     """Distinct pairs (a < b) of classes that share a signature and may reach the threshold."""
-    n = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = sigs.repartition(n, "signature").sortWithinPartitions("signature", "class_hash", "place")
+    tasks = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets // SETS_A_TASK))
+    stream = sigs.repartition(tasks, F.shiftright("signature", 8)).sortWithinPartitions("signature", "c")
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows kind 0: a pair (a, b); kind 1: a member (signature, class, sketch, place) of a wide signature."""
+        """Rows kind 0: a pair (x, y) of classes; kind 1: a member (signature, class, sketch) of a wide signature."""
         left = None
         wide = None  # the wide signature whose members are passing
-        for batch in (*batches, None):
+        for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-                rows = [np.concatenate((x, y)) for x, y in zip(left, cols)] if left is not None else cols
+                rows = [batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in range(5)]
+                rows = [np.concatenate((x, y)) for x, y in zip(left, rows)] if left is not None else rows
             elif left is not None:
                 rows = left
             else:
                 return
-            sig = rows[0]
-            if not len(sig):
+            if not len(rows[0]):
                 continue
-            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (rows[1][1:] != rows[1][:-1])))  # copies of a class pass once
+            new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))  # copies of a class pass once
             rows = [x[new] for x in rows]
-            sig = rows[0]
-            end = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1]))
-            tail = len(sig) - end
+            sig = rows[0] >> U(8)
+            other = np.flatnonzero(sig != sig[-1])
+            end = len(sig) if batch is None else int(other[-1]) + 1 if len(other) else 0
             # at the close nothing follows: the row held back goes out, as wide where its signature was
-            flow = sig[-1] if batch is not None and (tail > SPLIT or (wide is not None and sig[-1] == wide)) else None
+            flow = sig[-1] if batch is not None and (len(sig) - end > SPLIT or (wide is not None and sig[-1] == wide)) else None
             if flow is not None:
                 end = len(sig) - 1  # one row stays to see whether the signature goes on
             left = [x[end:] for x in rows]
-            sig, cls, s1, s2, place = (x[:end] for x in rows)
-            s1, s2 = s1.view(U), s2.view(U)
-            change = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+            rows, sig = [x[:end] for x in rows], sig[:end]
+            if not len(sig):
+                wide = flow if flow is not None else wide
+                continue
+            depth = (rows[0] & U(0xFF)).astype(np.int64)
+            depth[depth == 255] = 0  # deeper than is told: not refused
+            change = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             count = np.diff(np.concatenate((change, [len(sig)])))
-            is_wide = np.repeat((count > SPLIT) | (sig[change] == (wide if wide is not None else flow)) if (wide is not None or flow is not None) else count > SPLIT, count)
-            if flow is not None and len(sig):
-                is_wide |= sig == flow
+            spread = count > SPLIT
+            for known in (wide, flow):
+                if known is not None:
+                    spread |= sig[change] == known
+            is_wide = np.repeat(spread, count)
             wide = flow if flow is not None else wide
             a, b = [], []
-            at = np.flatnonzero(~is_wide)
-            step = 1
+            at, step = np.flatnonzero(~is_wide), 1
             while len(at):
                 at = at[at + step < len(sig)]
                 at = at[sig[at] == sig[at + step]]
-                good = at[_within_reach(s1[at], s1[at + step], place[at], place[at + step], threshold)]
-                good = good[_plausible(s1[good], s2[good], s1[good + step], s2[good + step], threshold)]
-                a.append(cls[good])
-                b.append(cls[good + step])
+                good = at[_plausible([w[at] for w in rows[2:]], [w[at + step] for w in rows[2:]], depth[at], depth[at + step], threshold)]
+                a.append(rows[1][good].view(np.int64))
+                b.append(rows[1][good + step].view(np.int64))
                 step += 1
-            a = np.concatenate(a) if a else np.zeros(0, np.int64)
-            b = np.concatenate(b) if b else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            if pairs.shape[1]:
-                zero = np.zeros(pairs.shape[1], np.int64)
-                yield pa.record_batch([pa.array(zero.astype(np.int32)), *(pa.array(x) for x in (pairs[0], pairs[1], zero, zero, zero))], names=["kind", "x", "y", "s1", "s2", "place"])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                pairs = pairs[:, pairs[0] != pairs[1]]
+                none = pa.nulls(pairs.shape[1], pa.int64())
+                yield pa.record_batch([pa.array(np.zeros(pairs.shape[1], np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), none, none, none, none], names=_PAIRED)
             if is_wide.any():
-                yield pa.record_batch([pa.array(np.ones(int(is_wide.sum()), np.int32)), *(pa.array(x) for x in (sig[is_wide], cls[is_wide], s1[is_wide].view(np.int64), s2[is_wide].view(np.int64), place[is_wide]))], names=["kind", "x", "y", "s1", "s2", "place"])
+                yield pa.record_batch([pa.array(np.ones(int(is_wide.sum()), np.int32)), *(pa.array(x[is_wide].view(np.int64)) for x in (sig, *rows[1:])), pa.array(depth[is_wide])], names=_PAIRED)
 
-    out = materialize(stream.mapInArrow(pair_up, "kind int, x bigint, y bigint, s1 bigint, s2 bigint, place bigint"), "paired")
+    out = materialize(stream.mapInArrow(pair_up, "kind int, " + ", ".join(f"{c} bigint" for c in _PAIRED[1:])), "paired")
     near = out.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if out.where("kind = 1").isEmpty():
         return near.distinct()
-    # Wide signatures: every member meets every block of SPLIT others.
-    rows = out.where("kind = 1").select(F.col("x").alias("signature"), F.col("y").alias("c"), "s1", "s2", "place").distinct()
+    # Wide signatures: a member of block i meets block j >= i in tile (i, j).
+    rows = out.where("kind = 1").select(F.col("x").alias("signature"), F.col("y").alias("c"), "s0", "s1", "s2", "depth").distinct()
     blocks = rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "signature")
-    here = rows.select("signature", F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("place").alias("ap"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    there = rows.select("signature", F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("place").alias("bp"), F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"))
-    size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
-    differ = F.bit_count(F.shiftrightunsigned(F.col("a1").bitwiseXOR(F.col("b1")), 16)) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    most = (1 - threshold) / (1 + threshold) * (size("a1") + size("b1")) + 1e-9
-    fits = (F.greatest(size("a1"), size("b1")) >= 65_535) | ((differ <= most) & (F.least(size("a1"), size("b1")) >= threshold * F.greatest(size("a1"), size("b1")) - 1e-9))
-    fits &= (F.greatest(size("a1"), size("b1")) >= 65_535) | (F.least(size("a1") - F.col("ap"), size("b1") - F.col("bp")) >= threshold / (1 + threshold) * (size("a1") + size("b1")) - 1e-9)
-    wide_pairs = here.join(there, ["signature", "block"]).where((F.col("a") < F.col("b")) & fits).select("a", "b")
-    return near.unionByName(wide_pairs).distinct()
-
-
-def class_links(df: DataFrame, key: str, act: str, text: str, records: int, threshold: float, min_words: int, width: int) -> DataFrame:
+    rows = rows.join(blocks, "signature").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+
+    def side(x: str, tile: Column) -> DataFrame:
+        cols = [F.col("c").alias(x), F.col("depth").alias(f"{x}d"), *(F.col(w).alias(f"{x}{w}") for w in ("s0", "s1", "s2"))]
+        return rows.select("signature", F.explode(tile).alias("tile"), F.col("own").alias(f"{x}o"), *cols)
+
+    one = side("a", F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
+    two = side("b", F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    met = one.join(two, ["signature", "tile"]).where(_plausible_rows(threshold) & ((F.col("ao") != F.col("bo")) | (F.col("a") < F.col("b"))))
+    return near.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
+
+
+def class_links(df: DataFrame, key: str, act: str, text: str, sets: int, threshold: float, min_words: int, width: int) -> DataFrame:
     """a, b, shared: pairs of classes (a < b) whose shared share is at least the threshold, checked exactly."""
     base = _base(df, key, act, text)
-    ranks = _ranks(base, records, min_words, width)
-    pairs = materialize(candidates(signatures(base, ranks, threshold, min_words, width), threshold), "candidates")
+    ranks = _ranks(base, min_words, width)
+    pairs = materialize(candidates(signatures(base, ranks, threshold, min_words, width), threshold, sets), "candidates")
     slots = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()  # at most SLOTS
     filled = np.zeros(SLOTS // 8, np.uint8)
     np.bitwise_or.at(filled, slots // 8, np.left_shift(1, slots % 8).astype(np.uint8))
@@ -319,14 +374,19 @@ def near_duplicate_pairs(df: DataFrame, key: str, act: str, text: str, threshold
     """Every pair of records with a shared share of at least the threshold: {key}_a < {key}_b, shared."""
     people = materialize(members(df, key, act, text, min_words, width), "members")
     links = class_links(df, key, act, text, people.count(), threshold, min_words, width)
-    left = people.select(F.col(key).alias("_l"), F.col("class_hash").alias("a"))
-    right = people.select(F.col(key).alias("_r"), F.col("class_hash").alias("b"))
-    between = links.join(left, "a").join(right, "b").select("_l", "_r", "shared")
-    repeated = people.groupBy("class_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = left.join(repeated.select(F.col("class_hash").alias("a")), "a")
-    within = copies.join(right, F.col("a") == F.col("b")).where("_l < _r").select("_l", "_r", F.lit(1.0).alias("shared"))
-    both = between.unionByName(within)
-    return both.select(F.least("_l", "_r").alias(f"{key}_a"), F.greatest("_l", "_r").alias(f"{key}_b"), "shared")
+    sizes = people.groupBy("class_hash").agg(F.count(F.lit(1)).alias("n"))
+    cells = sizes.select("class_hash", "n", F.ceil(F.col("n") / TILE).cast("int").alias("cells"))
+    # Classes meet tile by tile: cell i of one and cell j of the other; a class of copies meets itself for i <= j.
+    many = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    tiles = links.join(cells.select(F.col("class_hash").alias("a"), F.col("cells").alias("_ca")), "a").join(cells.select(F.col("class_hash").alias("b"), F.col("cells").alias("_cb")), "b")
+    tiles = tiles.withColumn("i", F.explode(many("_ca"))).withColumn("j", F.explode(many("_cb"))).select("a", "b", "i", "j", "shared")
+    own = cells.where("n > 1").withColumn("i", F.explode(many("cells"))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("cells") - 1)))
+    tiles = tiles.unionByName(own.select(F.col("class_hash").alias("a"), F.col("class_hash").alias("b"), "i", "j", F.lit(1.0).alias("shared")))
+    placed = people.join(cells, "class_hash").select(key, "class_hash", F.pmod(F.xxhash64(key), F.col("cells")).cast("int").alias("cell"))
+    left = placed.select(F.col(key).alias("_l"), F.col("class_hash").alias("a"), F.col("cell").alias("i"))
+    right = placed.select(F.col(key).alias("_r"), F.col("class_hash").alias("b"), F.col("cell").alias("j"))
+    met = tiles.join(left, ["a", "i"]).join(right, ["b", "j"]).where("a <> b or i <> j or _l < _r")
+    return met.select(F.least("_l", "_r").alias(f"{key}_a"), F.greatest("_l", "_r").alias(f"{key}_b"), "shared")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, act: str, text: str, threshold: float = 0.6, min_words: int = 45, width: int = 3) -> DataFrame:

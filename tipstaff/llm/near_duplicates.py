@@ -54,7 +54,7 @@ from ..runtime import materialize
 from . import runs
 
 #: Parts of the feature domain that frequent features are paired within, and the sets up to which a feature is rare.
-PARTS, RARE = 12, 32
+PARTS, RARE = 12, 64
 #: Slots (as a power of two) of the table that says how rare a feature is: bounds what is broadcast.
 RANK_BITS = 21
 #: Classes of one signature that are paired within a task; wider ones are paired tile by tile.
@@ -63,6 +63,8 @@ SPLIT = 512
 TILE = 1_000
 #: Records whose signatures one task sorts and pairs.
 SETS_A_TASK = 40_000
+#: Rows of the sorted stream that are paired at once.
+RUN = 150_000
 #: Slots of the filter that keeps classes without candidates out of the last step: bounds what is broadcast.
 SLOTS = 1 << 21
 #: Rows whose sets are worked on at once; 50 bits are left for a feature beside 14 for the row.
@@ -129,35 +131,33 @@ def _base(df: DataFrame, key: str, act: str, text: str) -> DataFrame:
     return df.select(df[key], df[act].cast("string").alias("_a"), df[text].cast("string").alias("_t"))
 
 
-def members(df: DataFrame, key: str, act: str, text: str, min_words: int = 45, width: int = 3) -> DataFrame:
-    """key and class_hash of every record with enough words."""
-    base = _base(df, key, act, text)
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            sets = Sets(chunk, min_words, width)
-            yield pa.record_batch([chunk.column(0).take(pa.array(sets.rows)), pa.array(sets.name.view(np.int64))], names=[key, "class_hash"])
-
-    return base.mapInArrow(per_batch, f"`{key}` {base.schema[0].dataType.simpleString()}, class_hash bigint")
-
-
 def _slot(mixed: np.ndarray) -> np.ndarray:
     return (mixed >> U(64 - RANK_BITS)).astype(np.int64)
 
 
-def _ranks(base: DataFrame, min_words: int, width: int) -> np.ndarray:
-    """One byte a slot, rare features first: 0 for a slot seen at most once, else eight steps a doubling."""
+def survey(base: DataFrame, min_words: int, width: int) -> DataFrame:
+    """One pass, written once: key and class_hash of every record with enough words, and slot and n, how often the slot's features were seen."""
+    key = base.columns[0]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << RANK_BITS, np.int64)
+        seen, names = np.zeros(1 << RANK_BITS, np.int64), [key, "class_hash", "slot", "n"]
+        kind = None
         for chunk in _chunks(batches):
             sets = Sets(chunk, min_words, width)
+            kind, rows = chunk.schema.field(0).type, len(sets.rows)
+            yield pa.record_batch([chunk.column(0).take(pa.array(sets.rows)), pa.array(sets.name.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=names)
             sets.keep(np.ones(len(sets.name), bool))  # copies count once a chunk
             seen += np.bincount(_slot(runs.mix(sets.feature)), minlength=len(seen))
         slot = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], names=["slot", "n"])
+        if len(slot):
+            yield pa.record_batch([pa.nulls(len(slot), kind), pa.nulls(len(slot), pa.int64()), pa.array(slot.astype(np.int32)), pa.array(seen[slot])], names=names)
+
+    return materialize(base.mapInArrow(per_batch, f"`{key}` {base.schema[0].dataType.simpleString()}, class_hash bigint, slot int, n bigint"), "survey")
 
-    counts = base.mapInArrow(per_batch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+
+def _ranks(surveyed: DataFrame) -> np.ndarray:
+    """One byte a slot, rare features first: 0 for a slot seen at most once, else eight steps a doubling."""
+    counts = surveyed.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n"))
     rows = counts.where("n > 1").select("slot", F.least(F.round(8 * F.log2("n")), F.lit(255)).cast("int").alias("rank")).toPandas()  # at most 1 << RANK_BITS
     ranks = np.zeros(1 << RANK_BITS, np.uint8)
     ranks[rows["slot"].to_numpy(dtype=np.int64)] = rows["rank"].to_numpy(dtype=np.uint8)
@@ -252,18 +252,31 @@ def _plausible_rows(threshold: float) -> Column:
     return (F.greatest(size_a, size_b) >= MOST) | near
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of at least RUN rows at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in range(batch.num_columns)])
+        n += batch.num_rows
+        if n >= RUN:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def candidates(sigs: DataFrame, threshold: float, sets: int) -> DataFrame:
     """Distinct pairs (a < b) of classes that share a signature and may reach the threshold."""
     tasks = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets // SETS_A_TASK))
-    stream = sigs.repartition(tasks, F.shiftright("signature", 8)).sortWithinPartitions("signature", "c")
+    stream = sigs.repartition(tasks, F.shiftright("signature", 8)).sortWithinPartitions("signature")  # one column: sorted by radix
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows kind 0: a pair (x, y) of classes; kind 1: a member (signature, class, sketch) of a wide signature."""
         left = None
         wide = None  # the wide signature whose members are passing
-        for batch in itertools.chain(batches, [None]):
+        for batch in itertools.chain(_gathered(batches), [None]):
             if batch is not None:
-                rows = [batch.column(i).to_numpy(zero_copy_only=False).view(U) for i in range(5)]
+                rows = batch
                 rows = [np.concatenate((x, y)) for x, y in zip(left, rows)] if left is not None else rows
             elif left is not None:
                 rows = left
@@ -271,8 +284,9 @@ def candidates(sigs: DataFrame, threshold: float, sets: int) -> DataFrame:
                 return
             if not len(rows[0]):
                 continue
-            new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))  # copies of a class pass once
-            rows = [x[new] for x in rows]
+            order = np.lexsort((rows[1], rows[0].view(np.int64)))
+            new = np.concatenate(([True], (np.diff(rows[0][order]) != 0) | (np.diff(rows[1][order]) != 0)))  # copies of a class pass once
+            rows = [x[order[new]] for x in rows]
             sig = rows[0] >> U(8)
             other = np.flatnonzero(sig != sig[-1])
             end = len(sig) if batch is None else int(other[-1]) + 1 if len(other) else 0
@@ -332,10 +346,12 @@ def candidates(sigs: DataFrame, threshold: float, sets: int) -> DataFrame:
     return near.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
 
 
-def class_links(df: DataFrame, key: str, act: str, text: str, sets: int, threshold: float, min_words: int, width: int) -> DataFrame:
-    """a, b, shared: pairs of classes (a < b) whose shared share is at least the threshold, checked exactly."""
+def class_links(df: DataFrame, key: str, act: str, text: str, threshold: float, min_words: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """key and class_hash of every record with enough words; a, b, shared: pairs of classes (a < b) whose shared share is at least the threshold, checked exactly."""
     base = _base(df, key, act, text)
-    ranks = _ranks(base, min_words, width)
+    surveyed = survey(base, min_words, width)
+    people = surveyed.where("slot is null").select(key, "class_hash")
+    ranks, sets = _ranks(surveyed), people.count()
     pairs = materialize(candidates(signatures(base, ranks, threshold, min_words, width), threshold, sets), "candidates")
     slots = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()  # at most SLOTS
     filled = np.zeros(SLOTS // 8, np.uint8)
@@ -367,13 +383,12 @@ def class_links(df: DataFrame, key: str, act: str, text: str, sets: int, thresho
             good = np.flatnonzero(share >= threshold - 1e-12)
             yield pa.record_batch([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(share[good])], names=["a", "b", "shared"])
 
-    return met.select("a", "b", "_fa", "_fb").mapInArrow(lambda it: check(_chunks(it)), "a bigint, b bigint, shared double")
+    return people, met.select("a", "b", "_fa", "_fb").mapInArrow(lambda it: check(_chunks(it)), "a bigint, b bigint, shared double")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, act: str, text: str, threshold: float = 0.6, min_words: int = 45, width: int = 3) -> DataFrame:
     """Every pair of records with a shared share of at least the threshold: {key}_a < {key}_b, shared."""
-    people = materialize(members(df, key, act, text, min_words, width), "members")
-    links = class_links(df, key, act, text, people.count(), threshold, min_words, width)
+    people, links = class_links(df, key, act, text, threshold, min_words, width)
     sizes = people.groupBy("class_hash").agg(F.count(F.lit(1)).alias("n"))
     cells = sizes.select("class_hash", "n", F.ceil(F.col("n") / TILE).cast("int").alias("cells"))
     # Classes meet tile by tile: cell i of one and cell j of the other; a class of copies meets itself for i <= j.
@@ -391,8 +406,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, act: str, text: str, threshold
 
 def near_duplicate_groups(df: DataFrame, key: str, act: str, text: str, threshold: float = 0.6, min_words: int = 45, width: int = 3) -> DataFrame:
     """One row per record with enough words: key, class_id (least key of its class), copies (others of its class), links (classes similar to it)."""
-    people = materialize(members(df, key, act, text, min_words, width), "members")
-    links = class_links(df, key, act, text, people.count(), threshold, min_words, width)
+    people, links = class_links(df, key, act, text, threshold, min_words, width)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_hash")).groupBy("class_hash").agg(F.count(F.lit(1)).alias("links"))
     heads = people.groupBy("class_hash").agg(F.min(key).alias("class_id"), (F.count(F.lit(1)) - 1).alias("copies"))
     return people.join(heads.join(ends, "class_hash", "left"), "class_hash").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

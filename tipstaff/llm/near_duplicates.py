@@ -170,7 +170,7 @@ def least_shared(a, b, threshold: float):
 
 
 def _signed(sets: Sets, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Set and signature (56 bits of hash, 8 of how deep it lies), rows of a set side by side."""
+    """Set and signature (40 bits of hash, 8 of how deep it lies; short, as they are all that differs between the rows of a set), rows of a set side by side."""
     mixed = runs.mix(sets.feature)
     # 13 bits for the set in its chunk, 8 for the rank, 43 of the hash; equal ones only make more candidates
     key = np.sort((sets.index.astype(U) << U(51)) | (ranks[_slot(mixed)].astype(U) << U(43)) | (mixed >> U(21)))
@@ -199,7 +199,7 @@ def _signed(sets: Sets, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray
         step += 1
     at, signature, depth = np.concatenate(at), np.concatenate(signature), np.concatenate(depth)
     order = np.argsort(at, kind="stable")
-    return at[order], (signature[order] >> U(8) << U(8)) | np.minimum(depth[order], 255).astype(U)
+    return at[order], (signature[order] >> U(24) << U(8)) | np.minimum(depth[order], 255).astype(U)
 
 
 def _sketch(sets: Sets) -> list[np.ndarray]:

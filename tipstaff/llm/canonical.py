@@ -6,16 +6,20 @@ gives every word within a distance that grows with the length of what was typed.
 third letter an alias path leads to the ends of the words below, so "Insp." and even "Isnp" reach
 "Inspection"; run-together words restart at the root. The second trie holds the entries word by word, with
 alias paths for every order of the words and for their initials. Walking it with the words found gives all
-entries within the length-dependent distance. Kind of instrument and year are read apart: spelled, cut or
+entries within the length-dependent distance, each with its own; the nearest is the answer and all of them
+are the candidates. Nothing is looked up by going through the list. Kind of instrument and year are read apart: spelled, cut or
 misread ("Regn", "A.", "l99O", "'58"), and an entry of another kind or another year is never meant.
 
 Each distinct value is resolved once per task (rows are not shuffled, so a value that a third of the rows
-share costs no more than another). The list travels to the tasks only in blocks of at most BLOCK entries;
-a longer list is searched block by block and the best of the blocks' answers wins.
+share costs no more than another). The list travels to the driver and the tasks only in blocks of about
+BLOCK entries; a longer list is searched block by block and the best of the blocks' answers wins.
 
 Defined results. status is exact (letter for letter an entry), matched, ambiguous (several entries fit
-equally; none is given), unlisted or blank (null or blank). Leading and trailing remarks, quotation marks
-and jurisdictions in brackets are no part of a name; a jurisdiction settles a tie. Without a year, a single
+equally; none is given), unlisted or blank (null or blank). candidates holds every entry
+within the distance, nearest first (only the entry itself where the value is exact). A word that stands in the
+list is not taken for a slip for another one: entries near in that way are candidates and not the answer. Leading and trailing
+remarks, quotation marks and jurisdictions in brackets (letters of a jurisdiction of the list, in order) are
+no part of a name; a jurisdiction settles a tie. Without a year, a single
 entry of the name and kind is meant. Repeated rows give one row each. An empty list leaves everything
 unlisted; an empty table gives no rows; extra columns are ignored.
 """
@@ -25,7 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import permutations
 
@@ -44,8 +48,6 @@ KINDS = {
     "ordinance": ("ordinance", "ordinances", "ord", "ordin", "ordce", "ords"),
 }
 REMARKS = set("the under as amended see notes note s ss sec section sections of in by to cited cf at".split())
-JOINERS = {"and", "&", "adn", "nad", "annd", "ad", "an", "amd", "andd", "aand", "anf", "abd"}
-JURISDICTIONS = {"qld": "queensland", "que": "queensland", "cth": "commonwealth", "com": "commonwealth", "unk": "unknown", "nt": "northern territory", "nsw": "new south wales", "vic": "victoria", "tas": "tasmania", "sa": "south australia", "wa": "western australia", "act": "australian capital territory"}
 MISREAD = str.maketrans({"l": "1", "i": "1", "|": "1", "!": "1", "o": "0", "s": "5", "g": "9", "z": "2", "b": "8", "q": "9"})
 
 _TITLE = re.compile(r"^(?P<stem>.*\S)\s+(?P<kind>act|regulation|rules|code|ordinance)(?:\s+\((?P<jur>[^)]*)\))?(?:\s+(?P<year>\d{4}))?$")
@@ -87,24 +89,36 @@ class WordTrie:
             if d < out.get(w, 99):
                 out[w] = d
 
+        far = [limit + 1] * (n + 1)
+
         def step(node: int, depth: int, last: str, row: list[int], before: list[int] | None) -> None:
+            low, high = max(1, depth + 1 - limit), min(n, depth + 1 + limit)  # cells beyond are farther than the limit
             for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (typed[j - 1] != c))
-                    if before is not None and j > 1 and typed[j - 1] == last and typed[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
+                new = far[:]
+                if depth < limit:
+                    new[0] = depth + 1
+                best = new[0]
+                for j in range(low, high + 1):
+                    d = row[j - 1] + (typed[j - 1] != c)
+                    if new[j - 1] < d:
+                        d = new[j - 1] + 1
+                    if row[j] < d:
+                        d = row[j] + 1
+                    if before is not None and j > 1 and typed[j - 1] == last and typed[j - 2] == c and before[j - 2] < d:
+                        d = before[j - 2] + 1
+                    new[j] = d
+                    if d < best:
+                        best = d
                 if self.word[child] is not None and new[n] <= limit:
                     put(self.word[child], new[n])
                 if cut and depth + 1 >= 3 and new[n] <= (0 if n < 4 else 1):
                     for w in self.below[child]:  # alias path: cut off here
                         if len(w) > depth + 1:
                             put(w, new[n] + 0.5)
-                if min(new) <= limit:
+                if best <= limit:
                     step(child, depth + 1, c, new, row)
 
-        step(0, 0, "", list(range(n + 1)), None)
+        step(0, 0, "", [min(j, limit + 1) for j in range(n + 1)], None)
         return out
 
 
@@ -141,13 +155,13 @@ class Entries:
         self.longest = max(map(len, words), default=0) + 3  # nothing longer can be a word of the list
         kinds = {f: k for k, forms in KINDS.items() for f in forms}
         self.kinds, self.kind_trie = kinds, WordTrie([f for f in kinds if len(f) >= 4])
+        self.act, self.joiner = WordTrie(["act"]), WordTrie(["and"])
+        self.places = sorted({e[3] for e in self.ids if e[3]})
         self.near = lru_cache(200_000)(self._near)
         self.kind_of = lru_cache(50_000)(self._kind_of)
         self.resolve = lru_cache(200_000)(self._resolve)
 
     def _near(self, token: str, dotted: bool) -> dict[str, float]:
-        if token in self.words:
-            return {token: 0.0}
         if len(token) > self.longest:
             return {}
         return self.trie.find(token, _limit(len(token)), cut=len(token) >= (3 if dotted else 4))
@@ -161,10 +175,19 @@ class Entries:
         best = min(found.items(), key=lambda x: (x[1], x[0]), default=None)
         if best:
             return self.kinds[best[0]], best[1]
-        if 3 <= len(token) <= 4 and token not in self.words and WordTrie(["act"]).find(token, 1, cut=False):
+        if 3 <= len(token) <= 4 and token not in self.words and self.act.find(token, 1, cut=False):
             return "act", 1.0
         return None
 
+    def _joins(self, token: str) -> bool:
+        """"and", also with one slip, unless that is a word of the list."""
+        return token == "&" or token.isalpha() and token not in self.words and bool(self.joiner.find(token, 1, cut=False))
+
+    def _place(self, code: str) -> str | None:
+        """The jurisdiction of the list whose letters, from the first on, a code keeps in their order."""
+        found = [p for p in self.places if p[0] == code[0] and all(c in rest for rest in [iter(p)] for c in code)]
+        return found[0] if len(found) == 1 and code not in self.words else None
+
     def _parts(self, token: str, depth: int = 3) -> list[list[str]]:
         """A run-together token as words of the list, restarting at the root after each."""
         out = []
@@ -181,18 +204,19 @@ class Entries:
                         return [[token[:i], *deep[0]]]
         return out
 
-    def _resolve(self, typed: str) -> tuple[str, int, float]:
-        """(status, id or 0, distance) of a value that is not blank."""
+    def _resolve(self, typed: str) -> tuple[str, int, float, list[tuple[int, float]]]:
+        """(status, id or 0, distance, all entries within the distance) of a value that is not blank."""
         if typed in self.exact:
-            return "exact", self.exact[typed], 0.0
+            return "exact", self.exact[typed], 0.0, [(self.exact[typed], 0.0)]
         text = unicodedata.normalize("NFKC", typed)
         if sum(c.isupper() for c in text) > sum(c.islower() for c in text) and re.search(r"\b[a-z][A-Z]{2}", text):
             text = text.swapcase()
         hint = None
         for m in _BRACKET.finditer(text):
             code = m[1].replace(".", "").lower()
-            if code in JURISDICTIONS:
-                hint = JURISDICTIONS[code]
+            place = self._place(code)
+            if place or not self.near(code, False):
+                hint = place or hint
                 text = text.replace(m[0], " ")
         text = _LEAD.sub("", text)
         text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text).lower().replace("_", " ").replace("’", "'")
@@ -208,7 +232,7 @@ class Entries:
                 if len(digits) == 2 and (bare.isdigit() or t.startswith("'")):
                     short, dated = short or digits, place
                     continue
-            if t in JOINERS or not t:
+            if not t or self._joins(t):
                 continue
             words.append((t, dotted))
             places.append(place)
@@ -220,60 +244,77 @@ class Entries:
         last = max([dated, *(places[i] for i in exact[-1:])])
         outer = [p > last >= 0 or p + 1 < len(tokens) and tokens[p + 1][0] in REMARKS for p in places]
         rest = [(*w, o) for i, (w, o) in enumerate(zip(words, outer)) if (not exact or i != exact[-1]) and not (w[0] in REMARKS and w[0] not in self.words)]
-        fits = [i for i, (_, k, y, _) in enumerate(self.ids) if (not kind or k == kind) and (not year or y == year) and (not short or year or y[2:] == short)] if rest else []
-        if not fits:
-            return "unlisted", 0, 0.0
-        found = self._walk(rest, set(fits))
+
+        def fits(i: int) -> bool:
+            _, k, y, _ = self.ids[i]
+            return (not kind or k == kind) and (not year or y == year) and (not short or y[2:] == short)
+
+        found, others = self._walk(rest, fits) if rest else ({}, {})
         if not found and len(rest) == 1 and re.fullmatch(r"[a-z](?:\.?[a-z]){1,4}", rest[0][0]):
             letters = rest[0][0].replace(".", "")
-            found = {i: 1.0 for i in self.initials.get(letters, ()) if i in set(fits)} if kind or year or short else {}
+            found = {i: 1.0 for i in self.initials.get(letters, ()) if fits(i)} if kind or year or short else {}
+        nearest: dict[int, float] = {}
+        for i, d in (*found.items(), *others.items()):
+            nearest[self.ids[i][0]] = min(d + kind_cost, nearest.get(self.ids[i][0], 99))
+        ranked = sorted(nearest.items(), key=lambda x: (x[1], x[0]))
         if not found:
-            return "unlisted", 0, 0.0
+            return "unlisted", 0, 0.0, ranked
         best = min(found.values())
         top = sorted(i for i, d in found.items() if d <= best)
         if len(top) > 1 and hint:
             top = [i for i in top if self.ids[i][3] == hint] or top
         if len({self.ids[i][0] for i in top}) > 1:
-            return "ambiguous", 0, best + kind_cost
-        return "matched", self.ids[top[0]][0], best + kind_cost
+            return "ambiguous", 0, best + kind_cost, ranked
+        return "matched", self.ids[top[0]][0], best + kind_cost, ranked
 
-    def _walk(self, tokens: list[tuple[str, bool, bool]], fits: set[int]) -> dict[int, float]:
-        """Entries reached by the tokens, with the sum of their words' distances, within the whole's limit."""
-        steps: list[tuple[dict[str, float], bool]] = []
+    def _walk(self, tokens: list[tuple[str, bool, bool]], fits: Callable[[int], bool]) -> tuple[dict[int, float], dict[int, float]]:
+        """Entries within the whole's limit and the sum of their words' distances; those for which a word of the list must be a slip for another one apart."""
+        steps: list[tuple[str, dict[str, float], bool]] = []
         for t, dotted, outer in tokens:
             near = self.near(t, dotted)
             if not near and len(t) > 7 and (parts := self._parts(t)):
-                steps += [(self.near(p, False), False) for p in parts[0]]
+                steps += [(p, self.near(p, False), False) for p in parts[0]]
             else:
-                steps.append((near, outer and not near))
+                steps.append((t, near, outer and not near))
         limit = 1 + sum(len(t) for t, *_ in tokens) / 5
-        out: dict[int, float] = {}
+        out: tuple[dict[int, float], dict[int, float]] = {}, {}
 
-        def go(at: dict, i: int, cost: float) -> None:
+        def go(at: dict, i: int, cost: float, slip: bool) -> None:
             if cost > limit:
                 return
             if i == len(steps):
                 for number in at.get(None, ()):
-                    if number in fits and cost < out.get(number, 99):
-                        out[number] = cost
+                    if cost < out[slip].get(number, 99) and fits(number):
+                        out[slip][number] = cost
                 return
-            near, foreign = steps[i]
+            typed, near, foreign = steps[i]
+            known = typed in self.words
             for w, d in near.items():
                 if w in at:
-                    go(at[w], i + 1, cost + d)
+                    go(at[w], i + 1, cost + d, slip or known and w != typed)
             if foreign:  # an added word that is no word of the list
-                go(at, i + 1, cost + 1)
+                go(at, i + 1, cost + 1, slip)
 
-        go(self.paths, 0, 0.0)
+        go(self.paths, 0, 0.0, False)
         return out
 
 
-def map_values(df: DataFrame, key: str, value: str, entries: list[tuple[int, str, str | None]]) -> DataFrame:
-    """key, value, status, entry_id (0 if none), entry, distance; one row per row of df."""
+_CANDIDATES = pa.list_(pa.struct([("entry_id", pa.int64()), ("distance", pa.float64())]))
+
+
+def list_blocks(entries: DataFrame, entry_id: str, title: str, jurisdiction: str) -> Iterator[list[tuple[int, str, str | None]]]:
+    """The reference list in blocks of about BLOCK entries, one after the other; always one at least."""
+    rows = entries.select(F.col(entry_id), F.col(title), F.col(jurisdiction))
+    blocks = max(-(-rows.count() // BLOCK), 1)
+    for k in range(blocks):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64(entry_id, title), F.lit(blocks)) == k).collect()]  # about BLOCK rows
+
+
+def map_values(df: DataFrame, key: str, value: str, blocks: Iterable[list[tuple[int, str, str | None]]]) -> DataFrame:
+    """key, typed, status, entry_id (0 if none), distance, candidates; one row per row of df. blocks: see list_blocks."""
     base = df.select(df[key], df[value].cast("string").alias("typed"))
     kind = base.schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, typed string, status string, entry_id bigint, distance double"
-    blocks = [entries[i : i + BLOCK] for i in range(0, len(entries), BLOCK)] or [[]]
+    schema = f"`{key}` {kind}, typed string, status string, entry_id bigint, distance double, candidates array<struct<entry_id: bigint, distance: double>>"
     parts = []
     for block in blocks:
         shared = df.sparkSession.sparkContext.broadcast(block)
@@ -281,8 +322,10 @@ def map_values(df: DataFrame, key: str, value: str, entries: list[tuple[int, str
         def per_batch(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Entries(shared.value)
             for batch in batches:
-                got = [index.resolve(t) if t and t.strip() else ("blank", 0, 0.0) for t in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], names=[key, "typed", "status", "entry_id", "distance"])
+                got = [index.resolve(t) if t and t.strip() else ("blank", 0, 0.0, []) for t in batch.column(1).to_pylist()]
+                held = pa.array([[{"entry_id": i, "distance": d} for i, d in g[3]] for g in got], _CANDIDATES)
+                cols = [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64()), held]
+                yield pa.record_batch(cols, names=[key, "typed", "status", "entry_id", "distance", "candidates"])
 
         parts.append(base.mapInArrow(per_batch, schema))
     if len(parts) == 1:
@@ -291,9 +334,11 @@ def map_values(df: DataFrame, key: str, value: str, entries: list[tuple[int, str
     rank = F.when(F.col("status") == "exact", 0).when(F.col("status") == "matched", 1).when(F.col("status") == "ambiguous", 2).otherwise(3)
     every = None
     for part in parts:
-        one = part.select("typed", F.struct(F.when(rank == 3, 9e9).otherwise(F.col("distance")).alias("d"), rank.alias("rank"), "status", "entry_id", "distance").alias("r")).dropDuplicates(["typed"])
+        one = part.select("typed", "candidates", F.struct(F.when(rank == 3, 9e9).when(rank == 0, -1.0).otherwise(F.col("distance")).alias("d"), rank.alias("rank"), "status", "entry_id", "distance").alias("r")).dropDuplicates(["typed"])
         every = one if every is None else every.unionByName(one)
-    best = every.groupBy("typed").agg(F.min("r").alias("r"), F.min("r.d").alias("d"), F.collect_set("r.d").alias("_all"), F.sort_array(F.collect_list(F.struct("r.d", "r.entry_id"))).alias("_l"))
-    tie = (F.size("_l") > 1) & (F.col("r.rank") > 0) & (F.col("r.rank") < 3) & (F.element_at("_l", 2)["d"] == F.col("d"))
-    best = best.select("typed", F.when(tie, "ambiguous").otherwise(F.col("r.status")).alias("status"), F.when(tie, 0).otherwise(F.col("r.entry_id")).alias("entry_id"), F.col("r.distance").alias("distance"))
-    return base.join(best.withColumnRenamed("typed", "_typed"), F.col("typed").eqNullSafe(F.col("_typed")), "left").select(key, "typed", "status", F.col("entry_id").cast("bigint"), "distance")
+    every = every.groupBy("typed").agg(F.min("r").alias("r"), F.sort_array(F.collect_list("r.d")).alias("_d"), F.flatten(F.collect_list("candidates")).alias("_all"))  # one row a block
+    tie = (F.col("r.rank") > 0) & (F.col("r.rank") < 3) & (F.element_at("_d", 2) == F.col("r.d"))
+    order = F.transform(F.array_sort(F.transform("_all", lambda x: F.struct(x["distance"].alias("distance"), x["entry_id"].alias("entry_id")))), lambda x: F.struct(x["entry_id"].alias("entry_id"), x["distance"].alias("distance")))
+    exact = F.array(F.struct(F.col("r.entry_id").alias("entry_id"), F.lit(0.0).alias("distance")))
+    best = every.select(F.col("typed").alias("_typed"), F.when(tie, "ambiguous").otherwise(F.col("r.status")).alias("status"), F.when(tie, 0).otherwise(F.col("r.entry_id")).cast("bigint").alias("entry_id"), F.col("r.distance").alias("distance"), F.when(F.col("r.rank") == 0, exact).otherwise(order).alias("candidates"))
+    return base.join(best, F.col("typed").eqNullSafe(F.col("_typed")), "left").select(key, "typed", "status", "entry_id", "distance", "candidates")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 
-from .canonical import map_values
+from .canonical import list_blocks, map_values
 from .distinctive import distinctive_terms
 from .mixing import mix, mix_report
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -81,13 +81,22 @@ def p3_groups(spark, d):
     return near_duplicate_groups(table(spark, d, "records"), "position", "act", "text")
 
 
-def p2_mapped(spark, d):
-    """Every typed edge once, with the entry meant."""
-    register = [tuple(r) for r in table(spark, d, "act_register").select("act_id", "title", "jurisdiction").collect()]  # the reference list
+def _p2(spark, d):
+    register = list_blocks(table(spark, d, "act_register"), "act_id", "title", "jurisdiction")
     edges = table(spark, d, "typed_edges").groupBy("edge_ord").agg(F.max("target_act").alias("target_act"))
     return map_values(edges, "edge_ord", "target_act", register)
 
 
+def p2_mapped(spark, d):
+    """Every typed edge once, with the entry meant."""
+    return _p2(spark, d).drop("candidates")
+
+
+def p2_candidates(spark, d):
+    """Every entry within the distance of what was typed, for every edge."""
+    return _p2(spark, d).select("edge_ord", "typed", F.explode("candidates").alias("c")).select("edge_ord", "typed", "c.entry_id", "c.distance")
+
+
 def p2_found(spark, d):
     return p2_mapped(spark, d).where("status not in ('blank', 'exact')").select("edge_ord", F.col("entry_id").alias("act_id"))
 
@@ -109,4 +118,4 @@ def p4_repaired(spark, d):
     return _scans(spark, d, True).select("table_name", "row_id", F.size("edits").alias("edits"), "repaired_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_candidates": p2_candidates, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

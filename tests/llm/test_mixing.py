@@ -68,6 +68,13 @@ def test_draw_beyond_the_generator():
     assert left.sum() == round(int(counts.sum()) * 5 / 11) and (left <= counts).all() and (left >= 0).all()
 
 
+def test_fill():
+    tokens, place = np.array([900, 40, 500, 30, 7]), np.array([1, 2, 3, 4, 5])
+    assert list(mixing.fill(place, tokens, 80)) == [False, True, False, True, True]  # the long ones are passed over
+    assert list(mixing.fill(place, tokens, 4)) == [False, False, False, False, True]  # nearer with the least than without
+    assert not mixing.fill(place, tokens, 3).any()
+
+
 def test_source_named_twice(spark):
     drawn, targets = mixing.mix(docs(spark), "doc_id", "text", "source", [("m", "a", 0.5, 4), ("m", "a", 0.5, 2)])
     assert targets == [("m", "a", 1.0, 2)] and drawn.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2

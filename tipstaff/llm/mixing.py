@@ -2,10 +2,10 @@
 
 Method: multivariate-hypergeometric splitting tree. The largest total that keeps every source within its
 repeats fixes each source's quota in tokens: whole passes over the source and one part of a pass. A hash puts
-the documents of a source into permuted order; the part pass is a beginning of that order, cut at the document
-that brings the source nearest to its quota. The cut is found digit by digit: token sums of at most DIGITS
-ranges of the order a source reach the driver, then those of the range that holds the cut, until it holds few
-documents. The order is also cut into blocks, at least two a shard and source. The blocks of all passes are
+the documents of a source into permuted order; the part pass is a beginning of that order. Where
+it ends is found digit by digit: token sums of at most 2 ** DIGIT_BITS ranges of the order a source reach the
+driver, then those of the range that holds the end, until it holds at most FEW documents. Of these the ones that
+still fit are taken in their order, so the source ends within half its least document of its quota. The order is also cut into blocks, at least two a shard and source. The blocks of all passes are
 permuted and split between the output shards by a binary tree: at each node the left half draws its blocks from
 the node's counts by a multivariate hypergeometric draw, so every shard gets a fair share of every source and
 the quotas stay exact. A shard holds about SHARD_TOKENS tokens, however many shards that makes. Nobody holds
@@ -112,18 +112,26 @@ def cuts(docs: DataFrame, parts: dict[int, int]) -> list[tuple[int, int, int, in
     found, shift = [], 63 - DIGIT_BITS
     open_ = {t: (0, (1 << 63) - 1, wanted) for t, wanted in parts.items() if wanted > 0}
     while open_:
-        ranges = spark.createDataFrame([(t, lo, hi) for t, (lo, hi, _) in open_.items()], "target int, lo bigint, hi bigint")
-        inside = docs.join(F.broadcast(ranges), "target").where("place between lo and hi")  # at most one row a target
+        asked = spark.createDataFrame([(t, lo, hi) for t, (lo, hi, _) in open_.items()], "target int, lo bigint, hi bigint")
+        inside = docs.join(F.broadcast(asked), "target").where("place between lo and hi")  # at most one row a target
         sums = inside.groupBy("target", F.shiftright("place", shift).alias("digit")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
         held: dict[int, list] = {t: [] for t in open_}
         for r in sums.collect():  # at most 2 ** DIGIT_BITS rows a target
             held[r["target"]].append((r["digit"], r["tokens"], r["n"]))
         after = {}
         for t, (lo, hi, wanted) in open_.items():
-            for digit, tokens, n in sorted(held[t]):
+            ranges = sorted(held[t])
+            for at, (digit, tokens, n) in enumerate(ranges):
                 first, last = max(digit << shift, lo), min(((digit + 1) << shift) - 1, hi)
                 if tokens > wanted:
-                    (found.append((t, first, last, wanted)) if n <= FEW or shift == 0 else after.update({t: (first, last, wanted)}))
+                    if n > FEW and shift:
+                        after[t] = (first, last, wanted)
+                        break
+                    for further, _, more in ranges[at + 1 :]:  # as many to choose from as are few
+                        if (n := n + more) > FEW:
+                            break
+                        last = min(((further + 1) << shift) - 1, hi)
+                    found.append((t, first, last, wanted))
                     break
                 wanted -= tokens
             else:  # all of it is wanted
@@ -132,6 +140,20 @@ def cuts(docs: DataFrame, parts: dict[int, int]) -> list[tuple[int, int, int, in
     return found
 
 
+def fill(place: np.ndarray, tokens: np.ndarray, wanted: int) -> np.ndarray:
+    """Which documents are taken: in order of place what still fits, then the least of the others if that comes nearer."""
+    taken = np.zeros(len(place), bool)
+    for i in np.lexsort((tokens, place)):
+        if tokens[i] <= wanted:
+            taken[i] = True
+            wanted -= int(tokens[i])
+    others = np.flatnonzero(~taken)
+    if len(others) and wanted > 0:
+        least = others[np.lexsort((place[others], tokens[others]))[0]]
+        taken[least] = tokens[least] - wanted < wanted
+    return taken
+
+
 def mix(df: DataFrame, key: str, text: str, source: str, targets: list[tuple[str, str, float, int]], seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, list[tuple]]:
     """Drawn copies (mix_name, shard, place, key, source, copy_no, tokens), and the targets used (mix_name, source, share, repeats)."""
     spark = df.sparkSession
@@ -165,10 +187,9 @@ def mix(df: DataFrame, key: str, text: str, source: str, targets: list[tuple[str
         steps.append((i, n, step, int(rng.integers(0, max(n, 1))), shards[rows[i][0]]))
     cut = spark.createDataFrame([(t, first, last, wanted) for t, first, last, wanted in found], "target int, first bigint, last bigint, wanted bigint")
     placed = docs.join(F.broadcast(cut), "target", "left").join(F.broadcast(spark.createDataFrame(steps, "target int, n bigint, step bigint, begin bigint, shards bigint")), "target")
-    # Among the few documents of the range with the cut: kept while that brings the source nearer to its quota.
-    run = Window.partitionBy("target").orderBy("place", key).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("wanted > 0 and place between first and last").withColumn("_sum", F.sum("tokens").over(run))
-    edge = edge.withColumn("_in", F.col("wanted") - (F.col("_sum") - F.col("tokens")) > F.col("_sum") - F.col("wanted")).drop("_sum")
+    # The few documents of the range with the cut are taken in their order while they fit what is wanted.
+    edge = placed.where("wanted > 0 and place between first and last").withColumn("_in", F.lit(False))
+    edge = edge.groupBy("target").applyInPandas(lambda few: few.assign(_in=fill(few["place"].to_numpy(), few["tokens"].to_numpy(), int(few["wanted"].iloc[0]))), edge.schema)
     rest = placed.where("wanted is null or wanted <= 0 or place not between first and last")
     rest = rest.withColumn("_in", F.expr("coalesce(if(wanted < 0, place <= last, place < first), false)"))
     drawn = rest.unionByName(edge).withColumn("_copies", F.col("passes") + F.col("_in").cast("int")).where("_copies > 0")

@@ -59,3 +59,23 @@ def test_table(spark):
     assert out.where("doc_id = 5").count() == 20_000 and out.where("doc_id = 4").count() == 4
     assert [r.sentence for r in out.where("doc_id = 1").orderBy("start_at").collect()] == ["One.", "Two."]
     assert sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "lang, parts",
+    [
+        ("en", ["Mr. Lag said the der die."]),  # words of another language do not outweigh the tag
+        ("en", ["He lives in the U.S.", "She does not."]),
+        ("en", ["The U.S. Government pays.", "It does."]),
+        ("en", ["He paid 3.5 per cent.", "24 hours later it rose."]),
+        ("en", ["Is it? – Yes, it is.", "He said \"Stop.\"", "Then he left."]),
+        ("th", ["มาตรา ๑ ผู้ใดขายโกดัง ผู้นั้นต้องแจ้งต่อท่า"]),  # Thai digits are no letters
+        ("th", ["ผู้เช่าต้องแจ้งต่อท่า และต้องชำระค่าธรรมเนียม", "ผู้ดูแลอาจซ่อมแซมท่าเรือ"]),
+        ("hy", ["Եկեք։", "Գնացեք։"]),  # scripts without data of their own: the standard rules alone
+        ("am", ["ክፍል፡ ነው።", "ሌላ ነው።"]),
+        ("en", ["Das gilt bis zum 3. März.", "Der Rat und die Stadt zahlen für den Steg."]),  # tagged wrongly
+    ],
+)
+def test_tag_script_and_standard_rules(lang, parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentence_spans(text, lang)] == parts

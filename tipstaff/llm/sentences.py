@@ -1,14 +1,24 @@
 """Problem 8: sentence boundaries across languages and scripts.
 
-Terminators come from the Unicode Sentence_Break property (STerm, ATerm), so every script's stops are
-known; the Greek question mark counts where Greek stands before it. A stop is suppressed inside matched
-quotation marks and brackets, in decimals, after a heading's number, after initials and after the short
-forms of the language the text itself is in (the lang column is only asked where the text does not tell).
-After a closing mark that follows a stop the sentence ends unless the mark was opened at the sentence's
-start and something goes on ("Where?" asked ...). Thai, which has no stops, is split at blanks between
-Thai clauses, but not after a clause that only opens a condition. Empty lines always end a sentence.
-
-The work is row by row: one scan, no shuffle, whole texts of any length.
+Method: the standard sentence-break rules over the Unicode Sentence_Break properties, with tailorings. SB3 to
+SB11 are the patterns below, so every script's terminators, closing marks, continuing marks, digits and cases
+are known: no break before a digit (SB6), between capitals without a blank (SB7), before a lower-case word
+(SB8) or a continuing mark or further terminator (SB8a); closing marks and blanks belong to what they follow
+(SB9, SB10); else a terminator ends the sentence (SB11). The tailorings:
+
+* A single line break is a blank; an empty line always ends a sentence (SB4).
+* A number may open a sentence, so SB8 does not look past digits.
+* Short forms of the language (data below) suppress a break; so do initials and a heading's number.
+* Letters with stops between them ("U.S.") end a sentence only before a word that mostly opens one.
+* The text is uneven: a blank may be lost after a stop, a sentence may start in lower case. Both are taken for
+  a break after a plain word only.
+* Inside matched quotation marks and brackets nothing ends. After a closing mark that follows a stop the
+  sentence ends unless the mark was opened at its start and something goes on ("Where?" asked ...).
+* The Greek question mark counts in Greek. Thai has no stops: it is split at blanks between Thai letters (not
+  digits), but not after a clause that only opens a condition, nor before one that only goes on.
+
+The language is the one tagged, unless the script contradicts it or the text's function words say clearly
+otherwise. The work is row by row: one scan, no shuffle, whole texts of any length.
 
 Defined results. Null, empty and blank texts have no sentences. Offsets count code points from 0; outer
 blanks and invisible marks are outside. Repeated rows give repeated sentences; extra columns are ignored.
@@ -29,7 +39,7 @@ NEVER = {
     "en": "mr mrs ms messrs pty dr prof rev hon sr st sgt capt gen vs v cf e.g i.e viz cl cls para paras pt pts sch schs reg regs div divs subdiv ch chs art arts sec secs ss s r rr ord no nos approx fig figs vol p pp ca ed eds al".split(),
     "de": "dr prof hr fr hrn frl dipl ing z.b z u.a u d.h d v v.h vgl bzw art nr abs s bd ca evtl ggf inkl max min mio mrd rd sog st str tel zzgl i.v gem lit ziff kap anm o vorm nachm".split(),
     "fr": "m mm dr pr me mgr art al n no réf ref p pp p.ex c.-à-d c.-a-d cf chap tit sect vol fig av bd env éd v tél resp".split(),
-    "es": "pág págs tít apdo lib ed fol sr sra srta sres d da dr dra prof art arts pár párr núm num n p pp p.ej ej ee vol cap fig av c tel apdo inc cf ss".split(),
+    "es": "mm pág págs tít apdo lib ed fol sr sra srta sres d da dr dra prof art arts pár párr núm num n p pp p.ej ej ee vol cap fig av c tel apdo inc cf ss".split(),
     "it": "sig dott prof art artt n p pp cap cfr ecc es".split(),
     "ru": "т т.е т.д т.п т.к ст п пп г гг тыс руб млн млрд ул им д др проф см стр рис гл ч см".split(),
     "el": "άρθρ παρ κεφ π.χ π δηλ κ κα κ.λπ αρ σελ βλ αριθ".split(),
@@ -41,28 +51,46 @@ MAYBE = {
     "en": "a.m p.m etc ltd co inc corp jr m km kg cm mm ft hrs min jan feb mar apr jun jul aug sep sept oct nov dec".split(),
     "de": "usw ff f h jan feb febr apr aug sept okt nov dez".split(),
     "fr": "etc h ex min janv févr avr juil sept oct nov déc".split(),
-    "es": "etc a.m p.m m mm uu ff h ene feb abr ago sept oct nov dic".split(),
+    "es": "etc a.m p.m m uu ff h ene feb abr ago sept oct nov dic".split(),
     "it": ["ecc"],
     "ru": "др г гг руб тыс".split(),
     "el": ["κ.λπ"],
 }
-# Frequent small words by which Latin-script languages are told apart.
-MARKERS = {
-    "en": {"the", "of", "must", "by", "that", "has", "been", "and", "until"},
-    "de": {"der", "die", "das", "den", "dem", "und", "ist", "muss", "für", "lag"},
-    "fr": {"le", "la", "les", "du", "des", "sans", "est", "dans", "pour", "avant", "au"},
-    "es": {"el", "del", "los", "debe", "puede", "según", "está", "sin", "que", "las"},
-    "it": {"il", "di", "della", "che", "per", "sono"},
+# The commonest function words, by which languages of the Latin script are told apart.
+FUNCTION_WORDS = {
+    "en": set("the of and to in that is was for on with as by at be this are or from which not an has have it must shall may".split()),
+    "de": set("der die das den dem des und ist in zu mit von für auf nicht ein eine einer eines sich auch nach bei aus oder wird werden muss darf".split()),
+    "fr": set("le la les du des de et est dans pour sans au aux par que qui une un sur avec ne pas ou sont doit peut".split()),
+    "es": set("el la los las del de y que en por para con sin es una un se no o su al según está debe puede".split()),
+    "it": set("il lo la i gli di della che per sono un una con del nel alla e è non si deve può".split()),
+}
+# Words that mostly open a sentence when they stand in capitals after letters with stops.
+OPENERS = {
+    "en": set("the this that these those he she it they we you there here if when where while but however no each every any all such in on at under".split()),
+    "de": set("der die das dieser diese dieses er sie es wir wenn wer wo aber jede jeder jedes in im am".split()),
+    "fr": set("le la les ce cette ces il elle ils elles nous si quand où mais chaque tout toute".split()),
+    "es": set("el la los las este esta estos estas él ella ellos si cuando donde pero cada todo toda".split()),
+    "it": set("il lo la gli questo questa egli ella se quando dove ma ogni".split()),
 }
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
-#: Thai clause openers after which the blank only parts the condition from its consequence.
-THAI_OPENERS = ("ในกรณี", "เมื่อ", "หาก", "ถ้า", "แม้", "เนื่องจาก", "เว้นแต่")
+# Thai words after whose clause the blank only parts the condition from its consequence, and words that go on with a sentence.
+THAI_OPENERS = ("ในกรณี", "เมื่อ", "หาก", "ถ้า", "แม้", "เนื่องจาก", "เว้นแต่", "เพราะ")
+THAI_CONTINUES = ("และ", "หรือ", "แต่", "โดย", "ซึ่ง", "เพื่อ", "จึง", "ทั้งนี้", "ผู้นั้น", "ฯ", "ๆ")
 
 _BLANK = r"\s﻿​-‏  ⁠­\x1c-\x1f"
 _PARAGRAPH = re.compile(rf"(?:\r\n|[\n\r\x85  ])[{_BLANK}]*?(?:\r\n|[\n\r\x85  ])[{_BLANK}]*")
 _INK = re.compile(rf"[^{_BLANK}]")
 _EVENT = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…;;]+(?:[  ]?[!?…]+)*|[\"“”„«»「」『』()（）\[\]]")
-_THAI = re.compile(r"[ก-๛]")
+_THAI = re.compile(r"[ก-ฺเ-๎]")  # letters and signs, no digits
+# The standard rules: what follows a terminator, over the Sentence_Break properties.
+_X = r"[\p{SB=Extend}\p{SB=Format}]*+"  # SB5
+_GO = rf"{_X}(?:\p{{SB=Close}}{_X})*+(?:[\p{{SB=Sp}}\p{{SB=Sep}}\p{{SB=CR}}\p{{SB=LF}}]{_X})*+"  # SB9, SB10; a line break is a blank
+SB6 = regex.compile(rf"{_X}\p{{SB=Numeric}}")
+SB7 = regex.compile(rf"{_X}\p{{SB=Upper}}")
+SB8 = regex.compile(rf"{_GO}[^\p{{SB=OLetter}}\p{{SB=Upper}}\p{{SB=Lower}}\p{{SB=Numeric}}\p{{SB=Sep}}\p{{SB=CR}}\p{{SB=LF}}\p{{SB=STerm}}\p{{SB=ATerm}}]*+\p{{SB=Lower}}")
+SB8A = regex.compile(rf"{_GO}[\p{{SB=SContinue}}\p{{SB=STerm}}\p{{SB=ATerm}};؛；%/]")
+_ATERMS = regex.compile(r"\p{SB=ATerm}+")
+_CASED = regex.compile(r"[\p{SB=Upper}\p{SB=Lower}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[\s  (\[“„«\"'’‘]")
 OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
@@ -75,19 +103,22 @@ _OTHER = re.compile("[\u0370-\u052f\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f]")
 
 
 def language(text: str, lang: str | None) -> str:
-    """The language of a text: by script, then by frequent words, then by the given tag."""
+    """The language tagged, unless the script or, clearly, the function words of the text contradict it."""
     if not text.isascii() and _OTHER.search(text):
         shares = {name: len(text) - len(run.sub("", text)) for run, name in _SCRIPTS}
         best = max(shares, key=lambda k: shares[k])
         if shares[best] * 3 > len(text):
             return best
+    tag = (lang or "")[:2].lower()
     seen = Counter(text.lower().split())
-    score = {k: sum(seen[w] for w in v) for k, v in MARKERS.items()}
+    score = {k: sum(seen[w] for w in v) for k, v in FUNCTION_WORDS.items()}
     best = max(score, key=lambda k: score[k])
-    tag = (lang or "")[:2].lower()
-    return best if score[best] > score.get(tag, 0) else tag if tag in NEVER else best
+    if tag not in NEVER or tag in _OTHER_TAGS:
+        return best
+    return best if score[best] > 2 * score.get(tag, 0) + 1 else tag
 
 
+_OTHER_TAGS = {name for _, name in _SCRIPTS}
 _NEVER = {k: frozenset(v) for k, v in NEVER.items()}
 _MAYBE = {k: frozenset(v) for k, v in MAYBE.items()}
 
@@ -110,38 +141,32 @@ def _stop_ends(text: str, first: int, a: int, b: int, end: int, lang: str) -> bo
     nxt = _ink(text, b, end)
     if nxt >= end:
         return True
-    c = text[nxt]
-    if c in ",;:،、，；：—–-%/":
+    if SB6.match(text, b, end) or SB8A.match(text, b, end):
         return False
+    c = text[nxt]
     at = a
     while at > first and not _TOKEN.match(text[at - 1]):
         at -= 1
     token = text[at:a]
     low = token.lower()
-    spaced = nxt > b
-    if not spaced:
-        if c.isdigit():
-            return False
-        if c.isalpha():
-            return len(token) >= 3 and token[-2:].isalpha() and token[-1].islower() and c.isupper() and "." not in token and low not in _NEVER.get(lang, ()) and (nxt + 1 >= end or not text[nxt + 1] == ".")
-    if at == first and (token.isdigit() or re.fullmatch(r"[\d.]*\d[A-Za-z]?|[IVXLC]+", token)):
+    never, maybe = low in _NEVER.get(lang, ()), low in _MAYBE.get(lang, ())
+    plain = token.isalpha() and len(token) >= 3 and not never
+    if nxt == b and c.isalpha():  # SB7 and its like for other cases; a lost blank is taken for one after a plain word
+        return plain and token[-1].islower() and bool(SB7.match(text, b, end)) and text[nxt + 1 : nxt + 2] != "."
+    if at == first and re.fullmatch(r"[\d.]*\d[A-Za-z]?|[IVXLC]+", token):  # a heading's number
         return False
-    if low in _NEVER.get(lang, ()):
-        # An English "no." or "art." before a capital is still a short form; nothing else is known here.
+    if never or len(token) == 1 and token.isupper() and lang not in ("th", "hi", "ar"):  # short forms and initials
         return False
-    if len(token) == 1 and token.isupper() and lang not in ("th", "hi", "ar"):
-        return False
-    if "." in token and re.fullmatch(r"(?:\w\.)+\w", token) and low not in _MAYBE.get(lang, ()):
-        return c.isupper() and not token[-1].isupper()
-    if low in _MAYBE.get(lang, ()):
-        if lang == "es" and low == "mm":
-            return False
-        return c.isupper() or c in OPEN or c in '"¿¡' or not (c.islower() or c.isdigit())
-    if token.isdigit() and lang == "de" and len(token) <= 2:
-        word = _WORD.match(text, nxt)
-        return not (word and word.group().lower() in MONTHS)
-    if c.islower():
-        return len(token) >= 2 and token.isalpha() and (len(token) >= 3 or lang in ("en", "el", "ru")) or bool(re.search(r"[\w'’-]{3,}$", token)) and not token[-1].isdigit()
+    word = _WORD.match(text, nxt)
+    follows = word.group() if word else ""
+    if re.fullmatch(r"(?:\w\.)+\w", token) and not maybe:
+        return c.isupper() and (not token[-1].isupper() or follows.lower() in OPENERS.get(lang, ()))
+    if maybe:
+        return not (c.islower() or c.isdigit())
+    if token.isdigit() and lang == "de" and len(token) <= 2:  # a day before its month
+        return follows.lower() not in MONTHS
+    if SB8.match(text, b, end):  # a start in lower case is taken for one after a plain word, in some languages also a short one
+        return plain or token.isalpha() and len(token) == 2 and lang in ("en", "el", "ru") or bool(re.search(r"[\w'’-]{3,}$", token)) and not token[-1].isdigit()
     return True
 
 
@@ -159,7 +184,7 @@ def _thai_blanks(text: str, start: int, end: int) -> list[int]:
         word = text[after : after + 6]
         if re.match(r"[ก-ฮ]{1,2}\.", word):
             continue
-        if tokens == 1 and text.startswith(THAI_OPENERS, first):
+        if tokens == 1 and text.startswith(THAI_OPENERS, first) or text.startswith(THAI_CONTINUES, after):
             continue
         cuts.append(at)
         first, tokens = after, 0
@@ -235,10 +260,7 @@ def _stops(text: str, first: int, stop: int, lang: str, out: list[tuple[int, int
         elif run == ".":
             ends = _stop_ends(text, first, a, b, stop, lang)
         else:
-            nxt = _ink(text, b, stop)
-            ends = nxt >= stop or text[nxt] not in ",;،、，；"
-            if ends and nxt < stop and nxt == b and text[nxt].isdigit() and run in ("．", "."):
-                ends = False
+            ends = _ink(text, b, stop) >= stop or not (SB8A.match(text, b, stop) or _ATERMS.fullmatch(run) and SB6.match(text, b, stop))
         if ends:
             while b < stop and text[b] in "”»」』)）]" and text.rfind(next(k for k, v in [*OPEN.items()] if text[b] in v), first, b) < 0:
                 b += 1

@@ -53,7 +53,8 @@ def test_real_tokens_and_empty(spark):
     assert packing.pack(df, "doc_id", "text", []).count() == 0
 
 
-def test_hot_length_is_ranked_in_buckets(spark):
+def test_hot_length_is_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 700)
     rows = spark.range(5_000).select(F.lit(7).alias("v"), F.xxhash64("id").alias("h"))
-    ranks = sorted(r["rank"] for r in packing.ranked(rows, "v", "h").collect())
+    ranks = sorted(r["rank"] for r in packing.ranked(rows, "v", "h", 5_000).collect())
     assert ranks == list(range(5_000))

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 from .tokens import VOCABULARY, token_counts
 
-#: Hash buckets per length, at least; four times the shuffle partitions where that is more. One task ranks one bucket of a length.
-BUCKETS = 128
+#: Items of one length (or pieces of one spec) that one task ranks.
+BUCKET_ROWS = 200_000
 
 
 def exact_combinations(capacity: int, counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -119,9 +119,9 @@ def plan(capacity: int, lengths: np.ndarray, items: np.ndarray, first_window: in
     return dict(zip(("length", "rank", "per", "window", "slot"), table.T)), window - first_window
 
 
-def ranked(items: DataFrame, by: str, id_hash: str) -> DataFrame:
-    """items with rank, from 0, among the rows of equal `by`; no task sees more than a bucket of a value."""
-    buckets = max(BUCKETS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def ranked(items: DataFrame, by: str, id_hash: str, most: int) -> DataFrame:
+    """items with rank, from 0, among the rows of equal `by`, of which there are at most `most`; no task sees more than a bucket of a value."""
+    buckets = max(-(-most // BUCKET_ROWS), 1)
     rows = items.withColumn("_b", F.pmod(F.col(id_hash), F.lit(buckets)).cast("int"))
     counts = rows.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,12 +172,12 @@ def pack(df: DataFrame, key: str, text: str, specs: list[tuple[str, int]], vocab
                 names=["spec_name", "window_no", "slot", key, "piece", "start_token", "tokens"],
             )
 
-    placed = ranked(items.withColumn("_by", F.struct("spec_name", "length")), "_by", "_h")
+    placed = ranked(items.withColumn("_by", F.struct("spec_name", "length")), "_by", "_h", max((r["n"] for r in histogram), default=0))
     last = placed.select("spec_name", key, "length", F.col("rank").cast("bigint"), F.col("_full").cast("bigint").alias("piece"), (F.col("_full") * F.col("_cap")).cast("bigint").alias("start_token"))
     out = last.mapInArrow(place, schema)
     # Full pieces: numbered after the planned windows, distributed by partition-independent ranks of their documents.
     long = rows.where("_full > 0").select("spec_name", key, "_cap", "_full", "_h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)).alias("piece"))
-    long = ranked(long.withColumn("_hp", F.xxhash64("_h", "piece")), "spec_name", "_hp")
+    long = ranked(long.withColumn("_hp", F.xxhash64("_h", "piece")), "spec_name", "_hp", max((sum(r["full"] for r in histogram if r["spec_name"] == n) for n, _ in specs), default=0))
     planned = F.element_at(F.create_map(*[x for n, w in whole.items() for x in (F.lit(n), F.lit(w))]), F.col("spec_name"))
     full = long.select(
         "spec_name", (planned + F.col("rank")).cast("bigint").alias("window_no"), F.lit(0).cast("bigint").alias("slot"), key,

@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from test_structure import ACT
 from tipstaff.plans.build import build_index
+from tipstaff.runtime import ordinal, shared_dir
 from tipstaff.sources import files
 from tipstaff.streaming import ingest
 
@@ -32,12 +35,37 @@ def test_build_ask_and_cli(spark, tmp_path, capsys):
     assert (source.act, source.jurisdiction, source.currency, source.sections) == ("Harbour Kiosk Act 2031", "Queensland", "4 March 2032", 2)
     edges = sorted((r.source_address, r.target_act, r.target_section, r.relation) for r in spark.read.parquet(f"{out}/edges").collect())
     assert edges == [("Harbour Kiosk Act 2031 s 2(1)", "Harbour Kiosk Act 2031", "3", "refers to"), ("Harbour Kiosk Act 2031 s 2(2)(a)", "Tidal Works Act 1999", "9", "subject to")]
-    for args, code in ((["ask", "who needs a permit for a kiosk"], 0), (["cite", "Harbour", "2"], 0), (["cite", "Harbour", "99"], 1), (["sources"], 0), (["threads", "--json"], 0), (["trace", "Harbour", "2"], 0), (["check"], 0)):
+    for args, code in ((["ask", "who needs a permit for a kiosk"], 0), (["cite", "Harbour", "2"], 0), (["cite", "Harbour", "99"], 1), (["sources"], 0), (["cite", "Harbour", "2", "--json"], 0), (["threads", "--json"], 0), (["trace", "harbour", "2"], 0), (["trace", "harbour", "2", "--json"], 0), (["trace", "nothing", "2"], 1), (["check"], 1)):
         assert cli.main(["--index-dir", out, *args]) == code, args
-    assert "Harbour Kiosk Act 2031 s 2" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "Harbour Kiosk Act 2031 s 2" in said and '"trail": [' in said and "1 of 3 sections have no text" in said
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf")
+    told, lost = [], []
+    again = build_index(spark, [str(tmp_path / "kiosk.txt"), str(tmp_path / "bad.pdf")], out, profile="generic", on_progress=lambda *x: told.append(x), on_skip=lambda *x: lost.append(x))
+    assert [(act, n) for _, act, n in told] == [("Harbour Kiosk Act 2031", 9)] and len(lost) == 1 and lost[0][0].endswith("bad.pdf") and lost[0][1]
+    assert again.sources.first().profile == "generic" and again.built.endswith("UTC") and again.totals()[0] == 9
+    assert not list((Path(shared_dir(spark)) / "tipstaff").glob("rejoined-*"))  # intermediate tables are gone
     assert cli.main(["--index-dir", str(tmp_path / "no"), "sources"]) == 1
 
 
+def test_ordinal_and_page_ids(spark):
+    df = spark.createDataFrame([(f"p{i:03}", i % 5) for i in range(200)], "path string, n int").repartition(7)
+    got = [(r.path, r.k, r.s) for r in ordinal(ordinal(df, "path", "k"), "path", "s", "n").collect()]
+    assert sorted(got) == [(f"p{i:03}", i, sum(j % 5 for j in range(i))) for i in range(200)]
+    pages = spark.createDataFrame([("a", 100_001, "x", None), ("b", 1, "y", None), ("c", None, None, "bad")], files.PAGES)
+    ids = {(r.path, r.doc_ord): r.page_id for r in files.with_doc_ord(pages).collect()}
+    assert set(ids) == {("a", 0), ("b", 1)} and len(set(ids.values())) == 2
+
+
+def test_profiles(spark):
+    from tipstaff.functions import detect
+
+    assert [detect.profile_of(k).key for k in ("QLD", "cth", "", None, "nsw")] == ["qld", "cth", "generic", "generic", "generic"]
+    heads = ["reprint 2 EFFECTIVE 1 May 2001", "[S 12]", "x [s 12] y", "comlaw", "Act No. 5 of 1990\nthis compilation was PREPARED on", "act no. 5 of 1990\nThis compilation was prepared on", "Reprinted"]
+    df = spark.createDataFrame([(h,) for h in heads], "h string").select(detect.profile(F.col("h"), F.lit("x")))
+    assert [r[0] for r in df.collect()] == ["qld", "generic", "qld", "cth", "cth", "generic", "generic"]
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -83,11 +83,24 @@ def test_windows_agree_with_a_loop(spark, sf):
 
 def test_empty(spark):
     assert parsed(spark, [""]).count() == 0
-    assert structure.parse_report(parsed(spark)).first()["sections"] == 3
+    docs = spark.createDataFrame([(0,), (7,)], "doc_ord int")
+    report = {r.doc_ord: r for r in structure.parse_report(parsed(spark), docs).collect()}
+    assert (report[0].sections, report[0].subsections, report[0].paragraphs, report[0].definitions, report[0].empty_sections) == (3, 2, 3, 2, 1)
+    assert report[0].warnings == "1 of 3 sections have no text" and (report[7].sections, report[7].warnings) == (0, "no sections found")
     assert parsed(spark, [None]).select(F.count("*")).first()[0] == 0
 
 
 def test_front_matter(spark):
     df = spark.createDataFrame([(i + 1, 0, i + 1, t) for i, t in enumerate(ACT)], "page_id bigint, doc_ord int, page_no int, page_text string")
     titles = spark.createDataFrame([(0, "Harbour Kiosk Act 2031")], "doc_ord int, title string")
-    assert structure.front_matter(df, titles).first()["front_matter"].split("\n") == ["Act No. 7 of 2031", "This Act binds every kiosk on the harbour and its operators."]
+    binds = "This Act binds every kiosk on the harbour and its operators."
+    front = lambda t: structure.front_matter(df, t).first()["front_matter"].split("\n")
+    assert front(titles.withColumn("profile", F.lit("QLD"))) == ["Act No. 7 of 2031", binds]
+    assert front(titles) == ["Act No. 7 of 2031", "Current as at 4 March 2032", binds]  # marks of one office are text in the layout of none
+
+
+def test_running_heads_and_parity(spark):
+    """A heading with its name sets the context; the state machine's reading drops it as a running head."""
+    pages = ["Part 3 Kiosks\n4 Fees\nA fee is due on the day named.\nQueensland\nPage 3 of 9\n- 4 -"]
+    assert [(r.context, r.text) for r in parsed(spark, pages).collect()] == [("Part 3", "A fee is due on the day named.")]
+    assert [r.context for r in parsed(spark, pages, parity=True).collect()] == [""]

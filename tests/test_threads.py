@@ -37,9 +37,13 @@ def test_edges_and_graph(spark):
 
 
 def test_trace_ends_on_a_cycle(spark):
-    e = spark.createDataFrame([("A", "1", "A", "2"), ("A", "2", "A", "1"), ("A", "2", "B", "5"), ("B", "5", None, None)], "source_act string, source_section string, target_act string, target_section string")
-    got = sorted((r.level, r.source_section, r.target_section) for r in threads.trace(e, "A", "1", 5).where("target_act is not null").collect())
-    assert got == [(1, "1", "2"), (2, "2", "1"), (2, "2", "5")]
+    rows = [(1, "Kiosk Act s 1", "Kiosk Act", "2"), (2, "Kiosk Act s 1", "Kiosk Act", "2"), (3, "Kiosk Act s 1(2)", "Kiosk Act", "2"), (4, "Kiosk Act s 2", "kiosk act", "1"), (5, "Kiosk Act s 2", "Reef", "5"), (6, "Great Reef Act s 5", None, None), (7, "Great Reef Act s 6", "Kiosk Act", "1")]
+    e = spark.createDataFrame(rows, "edge_ord int, source_address string, target_act string, target_section string")
+    places = [("Kiosk Act s 1", "Kiosk Act", "1"), ("Kiosk Act s 1(2)", "Kiosk Act", "1"), ("Kiosk Act s 2", "Kiosk Act", "2"), ("Great Reef Act s 5", "Great Reef Act", "5"), ("Great Reef Act s 6", "Great Reef Act", "6"), (None, None, "1")]
+    records = spark.createDataFrame(places, "address string, act string, section string")
+    got = sorted((r.level, r.edge_ord) for r in threads.trace(e, records, "kiosk", "1", 5).collect())
+    assert got == [(1, 1), (1, 3), (2, 4), (2, 5), (3, 6)]  # the second of two parallel edges and what nothing points at stay out
+    assert threads.trace(e, records, "kiosk", "1", 1).count() == 2 and threads.trace(e, records, "no such", "1").count() == 0
 
 
 def test_suffix_test_without_cross_join(spark):

@@ -16,6 +16,7 @@ def _parser() -> argparse.ArgumentParser:
     a = sub.add_parser("index")
     a.add_argument("patterns", nargs="+")
     a.add_argument("--parity", action="store_true")
+    a.add_argument("--profile", help="one layout for all files: cth, qld or generic")
     a = sub.add_parser("ask")
     a.add_argument("question")
     a.add_argument("--limit", type=int, default=5)
@@ -28,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("act")
     a.add_argument("section")
     a.add_argument("subsection", nargs="?")
+    a.add_argument("--json", action="store_true")
     sub.add_parser("sources")
     a = sub.add_parser("threads")
     a.add_argument("--limit", type=int, default=15)
@@ -37,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("section")
     a.add_argument("--depth", type=int, default=2)
     a.add_argument("--limit", type=int, default=20)
+    a.add_argument("--json", action="store_true")
     sub.add_parser("check")
     return p
 
@@ -50,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     from .operators import answer, index, threads
     from .plans.build import build_index
-    from .runtime import session
+    from .runtime import scratch, session
     from .sources.files import expand
 
     spark = session()
@@ -60,7 +63,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"nothing matches {m}", file=sys.stderr)
         if not paths:
             return 1
-        index.index_stats(build_index(spark, paths, args.index_dir, args.parity)).show(truncate=False)
+        built = build_index(spark, paths, args.index_dir, args.parity, args.profile, lambda path, act, n: print(f"{path}: {act}, {n} provisions"), lambda path, reason: print(f"skipped {path}: {reason}", file=sys.stderr))
+        index.index_stats(built).show(truncate=False)
         return 0
     try:
         ix = index.load(spark, args.index_dir)
@@ -73,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if packet.found else 1
     if args.command == "cite":
         packet = answer.cite(ix, args.act, args.section, args.subsection)
-        print(packet.as_text())
+        print(packet.to_json() if args.json else packet.as_text())
         return 0 if packet.found else 1
     if args.command == "sources":
         _print(ix.sources.orderBy("act").collect(), ["act", "jurisdiction", "currency", "sections", "indexed", "path"])
@@ -88,11 +92,18 @@ def main(argv: list[str] | None = None) -> int:
         rows = {k: [r.asDict() for r in v.collect()] for k, v in tables.items()}
         print(json.dumps(rows, indent=1, default=str) if args.json else "\n".join(f"{k}: {r}" for k, rs in rows.items() for r in rs))
         return 0
-    known = ix.records.select(F.col("address").alias("source_address"), F.col("section").alias("source_section")).distinct()
-    start = ix.records.where(F.lower("act").contains(args.act.lower())).select("act").first()
-    if start is None:
-        print("no such act", file=sys.stderr)
-        return 1
-    found = threads.trace(edges.join(known, "source_address"), start["act"], args.section, args.depth)
-    _print(found.orderBy("level", "target_act", "target_section").limit(args.limit).collect(), ["level", "source_act", "source_section", "target_act", "target_section"])
-    return 0
+    columns = ["level", "source_address", "relation", "target_act", "target_section", "target_subsection", "quote"]
+    with scratch(spark):
+        found = threads.trace(edges, ix.records, args.act, args.section, args.depth).orderBy("level", "edge_ord").select(*columns).limit(args.limit + 1).collect()
+    shown = found[: args.limit]
+    if args.json:
+        print(json.dumps({"act": args.act, "section": args.section, "more": len(found) > args.limit, "trail": [r.asDict() for r in shown]}, ensure_ascii=False, indent=1))
+    elif found:
+        for r in shown:
+            label = r["target_act"] + (f" s {r['target_section']}" if r["target_section"] else "") + (f"({r['target_subsection']})" if r["target_subsection"] else "")
+            print(f"{'  ' * r['level']}{r['source_address']} --{r['relation']}--> {label}\n{'  ' * r['level']}  {r['quote']}")
+        if len(found) > args.limit:
+            print("there are more; raise --limit")
+    else:
+        print(f"no references out of {args.act} s {args.section}", file=sys.stderr)
+    return 0 if found else 1

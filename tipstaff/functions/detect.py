@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,45 @@ CURRENCY = [
 ]
 # How numbers, disclaimers and titles are written.
 ACT_NUMBER = r"(?i)\bAct\s+No\.\s*(\d+)\s+of\s+(\d{4})\b"
+NUMBERED = r"\bAct No\.\s*\d+\s*of\s*\d{4}\b"
 DISCLAIMED = r"(?i)not an authoris(?:ed|ing) copy|unauthorised version|this reprint is not"
 KINDS = r"(?:Act|Regulations?|Code|Rules|Ordinance)"
 YEAR = r"(?:1[89]\d{2}|20\d{2})"
 TITLE = rf"^[A-Z][A-Za-z0-9_'()&,\-]*(?: [A-Za-z0-9_'()&,\-]+){{0,12}} {KINDS}(?: \(\w{{2,3}}\))? {YEAR}$"
 TITLE_UNDATED = rf"^[A-Z][A-Za-z0-9_'()&,\-]*(?: [A-Za-z0-9_'()&,\-]+){{2,12}} {KINDS}$"
-JURISDICTION = {"cth": "Commonwealth", "qld": "Queensland", "generic": "Unknown"}
+# What drafting offices print on a page beside the law, over lines with single blanks. All offices share the first.
+PAGE_MARKS = r"Page \d+(?: of \d+)?|- \d+ -|\d{1,4}(?: \|)?|Authorised (?:copy|version|by)\b.*|Printed from .*"
+OFFICE_MARKS = {
+    "cth": r"Section \d+[A-Z]{0,3}|ComLaw Authoritative Act\b.*|Authorised Version\b.*|Federal Register of Legislation\b.*|Compilation No\..*|Registered:.*|Prepared by the Office of Parliamentary Counsel\b.*|This compilation was prepared\b.*",
+    "qld": r"\[s ?\d+[A-Z]{0,3}\]|(?:Page \d+ )?Reprint \d+[A-Z]? effective\b.*|Page \d+ Reprint\b.*|Current as at\b.*|Authorised by the Parliamentary Counsel\b.*",
+    "generic": "",
+}
+
+
+@dataclass(frozen=True)
+class Profile:
+    """The layout of one drafting office: its key, the jurisdiction it stands for, and the pattern of its page furniture."""
+
+    key: str
+    jurisdiction: str
+    furniture: str
+
+
+PROFILES = {k: Profile(k, j, "(?i)^(?:" + "|".join(filter(None, (PAGE_MARKS, OFFICE_MARKS[k]))) + ")$") for k, j in (("cth", "Commonwealth"), ("qld", "Queensland"), ("generic", "Unknown"))}
+JURISDICTION = {k: p.jurisdiction for k, p in PROFILES.items()}
+
+
+def profile_of(key: str | None) -> Profile:
+    """The profile of a key in any case; generic for null, empty and unknown keys."""
+    return PROFILES.get((key or "").lower(), PROFILES["generic"])
+
+
+def is_furniture(line: Column, key: Column) -> Column:
+    """Whether a line with single blanks is page furniture in the layout of that key."""
+    known = F.lower(F.coalesce(key, F.lit("")))
+    return F.when(known == "cth", line.rlike(PROFILES["cth"].furniture)).when(known == "qld", line.rlike(PROFILES["qld"].furniture)).otherwise(line.rlike(PROFILES["generic"].furniture))
+
+
 # The official registers of each jurisdiction.
 REGISTERS = {
     "Commonwealth": "https://www.legislation.gov.au/",
@@ -43,14 +78,14 @@ def mapped(c: Column, table: dict[str, str], otherwise: str) -> Column:
 
 
 def profile(head: Column, path: Column) -> Column:
-    """The layout a document follows: qld, cth or generic."""
+    """The layout a document follows: qld, cth or generic. Notices count in any case, "Act No." as printed."""
     name = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1))
     head = F.coalesce(head, F.lit(""))
     return (
         F.when(name.startswith("qld") | name.contains(" qld ") | name.contains("queensland"), "qld")
-        .when(head.rlike(r"\[s\s*\d+[A-Z]{0,3}\]|Reprint\s+\d+[A-Z]?\s+effective"), "qld")
-        .when(head.rlike("ComLaw|Office of Parliamentary Counsel, Canberra|Federal Register of Legislation"), "cth")
-        .when(head.rlike(ACT_NUMBER) & head.contains("This compilation was prepared"), "cth")
+        .when(head.rlike(r"\[s\s*\d+[A-Z]{0,3}\]|(?i:Reprint\s+\d+[A-Z]?\s+effective)"), "qld")
+        .when(head.rlike("(?i)ComLaw|Office of Parliamentary Counsel, Canberra|Federal Register of Legislation"), "cth")
+        .when(head.rlike(NUMBERED) & head.rlike("(?i)This compilation was prepared"), "cth")
         .otherwise("generic")
     )
 
@@ -93,10 +128,12 @@ def guessed_titles(pages: DataFrame, doc: str, page: str, text: str, path: DataF
     return path.join(best, doc, "left").select(doc, F.coalesce("title", stem).alias("title"))
 
 
-def warnings(text_length: Column, profile_key: Column, head: Column, currency_text: Column) -> Column:
-    """What a reader of the document should know before relying on it."""
+def warnings(text_length: Column, profile_key: Column, head: Column, currency_text: Column, rejoined: Column | None = None) -> Column:
+    """What a reader of the document should know before relying on it. rejoined: pages on which torn words were joined."""
+    joined = F.lit(0) if rejoined is None else F.coalesce(rejoined, F.lit(0))
     return F.array_compact(
         F.array(
+            F.when(joined > 0, F.concat(F.lit("torn words joined again on "), joined.cast("string"), F.lit(" pages"))),
             F.when(text_length == 0, "no text: the pages may be images"),
             F.when(profile_key == "generic", "layout not recognised"),
             F.when(head.rlike(DISCLAIMED), "the source says it is not authorised"),

@@ -48,11 +48,16 @@ def clean(c: Column) -> Column:
     return clean_native(nfkc(F.coalesce(c, F.lit(""))))
 
 
-def collapse(c: Column) -> Column:
+def flat(c: Column) -> Column:
     """Text on one line with single blanks."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def collapse(c: Column) -> Column:
+    """Cleaned text on one line; null gives the empty string."""
+    return flat(clean(c))
+
+
 def strip_tags(c: Column) -> Column:
     """Text of an HTML page: scripts and styles dropped, block ends as line ends, six entities decoded in order."""
     c = _each(c, (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n"), (r"<[^>]*>", " "))

@@ -95,16 +95,6 @@ def notes_of(extracts: list[Extract]) -> list[str]:
     return [*out, NOT_ADVICE]
 
 
-def notes_table(hits: DataFrame) -> DataFrame:
-    """The same notes as counts, one row: extracts, undated, dates, jurisdictions."""
-    return hits.agg(
-        F.count(F.lit(1)).alias("extracts"),
-        F.count_if(F.coalesce("currency", F.lit("")) == "").alias("undated"),
-        F.array_join(F.array_sort(F.collect_set(F.nullif("currency", F.lit("")))), "; ").alias("dates"),
-        F.array_join(F.array_sort(F.collect_set("jurisdiction")), ", ").alias("jurisdictions"),
-    )
-
-
 def _extracts(rows: list) -> list[Extract]:
     return [Extract(r["address"], r["context"] or "", r["heading"] or "", r["text"] or "", r["jurisdiction"] or "", r["currency"], r["source"], round(r["score"], 3), list(r["reasons"])) for r in rows]
 

@@ -1,31 +1,43 @@
-"""Inverted index as tables: records, postings, doc_len, corpus_stats, sources, skipped."""
+"""Inverted index as tables: records, postings, terms, sources, skipped, meta."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
-from ..runtime import materialize
+from ..runtime import materialize, ordinal
 
 LEAST_CHARACTERS = 12
+#: How the tables of a saved index are laid out; a reader of another layout refuses it.
+FORMAT = 2
 
 
 @dataclass
 class Index:
-    """The tables of an index. postings: token, position, tf; doc_len: position, len."""
+    """The tables of an index. records: with token_count; postings: token, position, tf; terms: token, df."""
 
     records: DataFrame
     postings: DataFrame
-    doc_len: DataFrame
+    terms: DataFrame | None = None  # once the index is stored
     sources: DataFrame | None = None
     skipped: DataFrame | None = None
     tokens: DataFrame | None = None  # position, tokens: there while the index is being built
+    built: str = ""
+    held: dict = field(default_factory=dict)
+
+    @property
+    def doc_len(self) -> DataFrame:
+        """position and len, in words that count."""
+        return self.records.select("position", F.col("token_count").alias("len"))
 
     def frequencies(self) -> DataFrame:
         """token and df, the number of records it stands in."""
+        if self.terms is not None:
+            return self.terms
         rows = self.postings.select("token") if self.tokens is None else self.tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
         return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
@@ -33,6 +45,12 @@ class Index:
         """n and avg_len over all records, one row."""
         return self.doc_len.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
 
+    def totals(self) -> tuple[int, float]:
+        """n and avg_len as numbers, read once an index."""
+        if "totals" not in self.held:
+            self.held["totals"] = tuple(self.stats().first())
+        return self.held["totals"]
+
 
 def indexable(records: DataFrame) -> DataFrame:
     """Records with enough text to be found by it."""
@@ -42,22 +60,31 @@ def indexable(records: DataFrame) -> DataFrame:
 def build(records: DataFrame, sources: DataFrame | None = None, skipped: DataFrame | None = None) -> Index:
     """Index over records (position, text, heading and more). One pass tokenises; postings carry the token count."""
     rows = indexable(records)
-    words = rows.select("position", content_tokens(F.concat_ws(" ", "heading", "text")).alias("tokens"))
+    tokens = content_tokens(F.concat_ws(" ", "heading", "text"))
+    words = rows.select("position", tokens.alias("tokens"))
     # Counting within the record needs no shuffle of its own key: position and token go together.
     postings = words.select("position", F.explode("tokens").alias("token")).groupBy("token", "position").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(rows, postings, words.select("position", F.size("tokens").alias("len")), sources, skipped, words)
+    return Index(rows.withColumn("token_count", F.size(tokens)), postings, None, sources, skipped, words, datetime.now(UTC).strftime("%Y-%m-%d %H:%M UTC"))
 
 
 def stored(index: Index) -> Index:
-    """The index with its postings and lengths written once, for operators that read them several times."""
-    return Index(index.records, materialize(index.postings, "postings"), materialize(index.doc_len, "doc_len"), index.sources, index.skipped)
+    """The index with its tables written once, for operators that read them several times: texts are taken apart once."""
+    records, postings = materialize(index.records, "indexed"), materialize(_by_token(index.postings), "postings")
+    return Index(records, postings, materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "terms"), index.sources, index.skipped, built=index.built)
+
+
+def _by_token(postings: DataFrame) -> DataFrame:
+    """Laid out by token, so that a query reads only its tokens' row groups."""
+    return postings.repartitionByRange("token").sortWithinPartitions("token", "position")
 
 
 def save(index: Index, path: str) -> None:
-    """Writes the tables below path; postings are laid out by token, so a query reads only its tokens' row groups."""
+    """Writes the tables below path, with the time of building and the format."""
+    spark = index.records.sparkSession
     index.records.write.mode("overwrite").parquet(f"{path}/records")
-    index.postings.repartitionByRange("token").sortWithinPartitions("token", "position").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
+    _by_token(index.postings).write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(FORMAT, index.built)], "format int, built string").write.mode("overwrite").parquet(f"{path}/meta")
     for name in ("sources", "skipped"):
         if getattr(index, name) is not None:
             getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -65,7 +92,10 @@ def save(index: Index, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    out = Index(read("records"), read("postings"), read("doc_len"))
+    meta = read("meta").first()
+    if meta["format"] != FORMAT:
+        raise ValueError(f"the index at {path} has format {meta['format']}, not {FORMAT}")
+    out = Index(read("records"), read("postings"), read("terms"), built=meta["built"])
     for name in ("sources", "skipped"):
         try:
             setattr(out, name, read(name))
@@ -75,10 +105,10 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def index_stats(index: Index) -> DataFrame:
-    """provisions, distinct_terms, acts in one row."""
+    """provisions, acts, distinct_terms and the time of building (built) in one row."""
     a = index.records.agg(F.count(F.lit(1)).alias("provisions"), F.count_distinct("act").alias("acts"))
     b = index.frequencies().agg(F.count(F.lit(1)).alias("distinct_terms"))
-    return a.crossJoin(b)  # one row each
+    return a.crossJoin(b).withColumn("built", F.lit(index.built))  # one row each
 
 
 def count_by(index: Index, column: str) -> DataFrame:
@@ -95,11 +125,7 @@ def sources_of(records: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, doc: str, *order: str) -> DataFrame:
-    """df with position from 0 in the order (doc, order), by per-document numbers and a prefix sum over documents.
-
-    Only one row per document passes through the single-partition window.
-    """
-    sizes = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(doc, F.coalesce(F.sum("_n").over(Window.orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    """df with position from 0 in the order (doc, order), by per-document numbers and prefix sums over ranges of documents."""
+    before = ordinal(df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")), doc, "_before", "_n").drop("_n")
     within = F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1
     return df.withColumn("_w", within).join(before, doc).withColumn("position", F.col("_before") + F.col("_w")).drop("_w", "_before")

@@ -14,12 +14,12 @@ from .search import Query
 # Our own list: what people say, and the terms drafters use for it.
 BRIDGE = {
     "rent": ["lease", "tenancy agreement"],
-    "landlord": ["lessor"],
+    "landlord": ["lease holder", "holder"],
     "tenant": ["lessee"],
-    "boat": ["vessel"],
+    "boat": ["vessel", "mooring"],
     "ship": ["vessel"],
-    "car": ["motor vehicle"],
-    "fine": ["penalty", "penalty units"],
+    "car": ["parking", "driveway"],
+    "fine": ["penalty", "offence"],
     "crime": ["offence"],
     "rule": ["regulation"],
     "paper": ["instrument", "certificate"],
@@ -27,10 +27,10 @@ BRIDGE = {
     "pay": ["fee", "levy"],
     "tax": ["levy"],
     "job": ["employment"],
-    "boss": ["employer"],
+    "boss": ["supervision", "director"],
     "cancel": ["revoke", "suspend"],
     "stop": ["prohibit", "suspend"],
-    "house": ["dwelling", "premises"],
+    "house": ["tenure", "township"],
     "land": ["allotment", "easement"],
     "court": ["tribunal"],
     "judge": ["tribunal"],
@@ -74,8 +74,8 @@ def bridged(index: Index, question: str) -> DataFrame:
     spark = index.records.sparkSession
     wanted = lexicon(spark).where(F.col("plain").isin(words) & ~F.contains(F.lit(question.lower()), F.col("term")))
     first = F.broadcast(wanted.withColumn("token", F.split("term", " ")[0]))  # a few rows of a fixed list
-    present = index.postings.join(first.select("token").distinct(), "token", "left_semi").select("token").distinct()
-    return first.join(present, "token").select("plain", "term", "ord")
+    present = index.frequencies().select("token")
+    return present.join(first, "token").select("plain", "term", "ord")
 
 
 def expand(index: Index, question: str, wider: bool = False) -> Expansion:
@@ -88,24 +88,28 @@ def expand(index: Index, question: str, wider: bool = False) -> Expansion:
             out.added.append(r["term"])
             out.reasons[r["term"]] = f"drafting term for {r['plain']}"
     if wider:
-        for w in words:
-            if w in BRIDGE:
-                continue
-            for r in related_terms(index, w, limit=2).collect():
-                if r["token"] not in out.added and not re.search(rf"\b{re.escape(r['token'])}\b", question.lower()):
-                    out.added.append(r["token"])
-                    out.reasons[r["token"]] = f"used like {w}"
+        asked = [w for w in words if w not in BRIDGE]
+        for r in sorted(related(index, asked, limit=2).collect(), key=lambda r: (words.index(r["word"]), -r["similarity"], r["token"])) if asked else []:
+            if r["token"] not in out.added and not re.search(rf"\b{re.escape(r['token'])}\b", question.lower()):
+                out.added.append(r["token"])
+                out.reasons[r["token"]] = f"used like {r['word']}"
     return out
 
 
-def related_terms(index: Index, word: str, limit: int = 4, least: int = 8, share: float = 0.05, sample: int = 300, candidates: int = 30, similarity: float = 0.5) -> DataFrame:
-    """token, similarity: terms whose company resembles the word's own.
+def related_terms(index: Index, word: str, limit: int = 4, **bounds) -> DataFrame:
+    """token, similarity: terms whose company resembles the word's own, best first."""
+    return related(index, [word], limit, **bounds).select("token", "similarity").orderBy(F.desc("similarity"), "token")
+
+
+def related(index: Index, words: list[str], limit: int = 4, least: int = 8, share: float = 0.05, sample: int = 300, candidates: int = 30, similarity: float = 0.5) -> DataFrame:
+    """word, token, similarity: for each word at most limit terms whose company resembles its own.
 
     The company of a word is the document frequency of its neighbours over its first `sample` records; only
     the best `candidates` neighbours are compared, which is the operator's definition and bounds its joins.
+    All words are answered by one plan.
     """
     p = index.postings.select("token", "position")
-    total = index.doc_len.count()
+    total = index.totals()[0]
     df = index.frequencies()
 
     def company(terms: DataFrame) -> DataFrame:
@@ -115,16 +119,16 @@ def related_terms(index: Index, word: str, limit: int = 4, least: int = 8, share
         return first.join(p, "position").where(F.col("token") != F.col("term")).groupBy("term", "token").agg(F.count(F.lit(1)).alias("n"))
 
     spark = index.records.sparkSession
-    own = company(spark.createDataFrame([(word,)], "token string").join(df.where(F.col("df") >= least), "token", "left_semi"))
+    own = company(spark.createDataFrame([(w,) for w in words], "token string").join(df.where(F.col("df") >= least), "token", "left_semi"))
+    own = own.select(F.col("term").alias("word"), "token", F.col("n").alias("m"))
     fit = own.join(df, "token").where((F.col("df") >= least) & (F.col("df") <= share * total) & (F.length("token") >= 4) & ~F.col("token").rlike("^[0-9]+$"))
-    top = fit.orderBy(F.desc("n"), "token").limit(candidates).select("token")
-    theirs = company(top)
-    mine = own.select("token", F.col("n").alias("m"))
+    top = fit.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("m"), "token"))).where(F.col("_r") <= candidates)
+    top = top.select("word", F.col("token").alias("term"), F.col("m").alias("drop"))
+    theirs = company(top.select(F.col("term").alias("token")).distinct())
     # the candidate's own row and the word's row are no evidence of alike company
-    pair = theirs.where(F.col("token") != word).join(mine, "token", "left")
-    dot = pair.groupBy("term").agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("b"))
-    norm = mine.agg(F.sum(F.col("m") * F.col("m")).alias("a"))
-    kept = mine.select(F.col("token").alias("term"), F.col("m").alias("drop"))
-    out = dot.join(kept, "term").crossJoin(F.broadcast(norm))  # norm is one row
+    pair = top.join(theirs, "term").where(F.col("token") != F.col("word")).join(own, ["word", "token"], "left")
+    dot = pair.groupBy("word", "term", "drop").agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("b"))
+    out = dot.join(own.groupBy("word").agg(F.sum(F.col("m") * F.col("m")).alias("a")), "word")
     cosine = F.round(F.col("dot") / F.sqrt((F.col("a") - F.col("drop") * F.col("drop")) * F.col("b")), 3)
-    return out.select(F.col("term").alias("token"), cosine.alias("similarity")).where(F.col("similarity") >= similarity).orderBy(F.desc("similarity"), "token").limit(limit)
+    out = out.select("word", F.col("term").alias("token"), cosine.alias("similarity")).where(F.col("similarity") >= similarity)
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("similarity"), "token"))).where(F.col("_r") <= limit).drop("_r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -39,24 +40,29 @@ class Query:
 
 
 def bm25(index: Index, query: Query, k1: float = K1, b: float = B) -> DataFrame:
-    """position, score, first_word: candidates come from the postings, their weights from all records.
+    """The records that hold a word of the query, with score and first_word; weights come from all records.
 
-    The query's words are a handful of rows and are broadcast; only their postings are read. The count of a
-    word is its count as a substring of text and heading plus one, taken on the candidates alone.
+    The words' frequencies (a row a word) and the two totals of the collection are read first and stand in the
+    plan as numbers. Then one scan of the postings, with the words as its filter, finds the candidates, and one
+    of the records scores them. The count of a word is its count as a substring of text and heading plus one.
     """
-    spark = index.records.sparkSession
     counted = Counter(query.words)
     order = list(dict.fromkeys(query.words))
-    words = spark.createDataFrame([(w, min(counted[w], MOST_REPEATS), i) for i, w in enumerate(order)], "token string, times int, ord int")
-    # The filter reaches the scan of stored postings, and stands before the counting of fresh ones.
-    hits = index.postings.where(F.col("token").isin(order)).select("token", "position").join(F.broadcast(words), "token")
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "token").join(index.records.select("position", "text", "heading"), "position").join(index.doc_len, "position")
-    rows = rows.crossJoin(F.broadcast(index.stats()))  # one row
-    tf = occurrences(F.lower("text"), F.col("token")) + occurrences(F.lower(F.coalesce("heading", F.lit(""))), F.col("token")) + 1
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = tf + k1 * (1 - b + b * F.greatest("len", F.lit(1)) / F.col("avg_len"))
-    return rows.groupBy("position").agg(F.sum(idf * tf * (k1 + 1) / norm * F.col("times")).alias("score"), F.min("ord").alias("first_word"))
+    df = {r["token"]: r["df"] for r in index.frequencies().where(F.col("token").isin(order)).collect()} if order else {}
+    n, average = index.totals()
+    hits = index.postings.where(F.col("token").isin(list(df)) if df else F.lit(False)).select("token", "position")
+    per = hits.groupBy("position").agg(F.collect_set("token").alias("_tokens"))  # at most the query's words
+    text, heading = F.lower("text"), F.lower(F.coalesce("heading", F.lit("")))
+    score, first = F.lit(0.0), F.lit(len(order))
+    for i, w in reversed(list(enumerate(order))):
+        if w in df:
+            idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * min(counted[w], MOST_REPEATS)
+            tf = occurrences(text, F.lit(w)) + occurrences(heading, F.lit(w)) + 1
+            norm = tf + k1 * (1 - b + b * F.greatest("token_count", F.lit(1)) / F.lit(average))
+            held = F.array_contains("_tokens", w)
+            score = score + F.when(held, idf * tf * (k1 + 1) / norm).otherwise(0.0)
+            first = F.when(held, i).otherwise(first)
+    return index.records.join(per, "position").withColumn("score", score).withColumn("first_word", first).drop("_tokens")
 
 
 def _filters(df: DataFrame, jurisdiction: str | None, act: str | None, kind: str | None) -> DataFrame:
@@ -89,7 +95,7 @@ def boosts(query: Query) -> list[tuple[Column, Column, Column]]:
 def search(index: Index, question: str, limit: int = 8, jurisdiction: str | None = None, act: str | None = None, kind: str | None = None) -> DataFrame:
     """The best records: position, address, act, heading, text, score (4 places), reasons; ties by first word, then position."""
     query = Query(question)
-    rows = _filters(bm25(index, query).join(index.records, "position"), jurisdiction, act, kind)
+    rows = _filters(bm25(index, query), jurisdiction, act, kind)
     score, reasons = F.col("score"), []
     for condition, factor, reason in boosts(query):
         holds = F.coalesce(condition, F.lit(False))

@@ -4,7 +4,8 @@ Precedence of the kinds: page furniture, contents pages, headings above the sect
 subsections, paragraphs and subparagraphs, definitions, continuation. Differences from a plain state
 machine, taken on purpose: headings come before furniture, so a one-line "Part 2 Name" sets the context; a
 subparagraph keeps its own text; and a marker such as (c) or (i) that follows (b) or (h) is a paragraph.
-parity=True gives the state machine's reading of such markers instead.
+parity=True gives the state machine's reading of such headings and markers instead. A number beside the title
+is furniture by the title (see banner): as a shape alone it cannot be told from a section and its heading.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import detect
 from ..functions.text import has_leader, is_mostly_upper
 
 # How headings, sections and their parts are numbered.
@@ -22,7 +24,10 @@ HEADINGS = {"schedule": r"(?i)^Schedule (\w+)\b", "chapter": r"(?i)^Chapter (\w+
 SECTION = r"^(\d+[A-Z]{0,3}) ([A-Z].{2,120})$"
 SUBSECTION, PARAGRAPH, ROMAN = r"^\((\d+[A-Z]{0,3})\) ?(.*)$", r"^\(([a-z]{1,3})\) ?(.*)$", r"^\([ivxlc]{1,6}\)"
 DEFINITION = r"^([a-z][A-Za-z'\- ]{2,60}) (?:means|includes)\b"
-FURNITURE = r"(?i)^(?:\[s ?\d+[A-Z]{0,3}\]|Page \d+(?: of \d+)?(?: Reprint.*)?|- \d+ -|\d{1,4}(?: \|)?|Reprint \d+[A-Z]? effective.*|Current as at.*|Authorised (?:copy|version|by) .*|Printed from .*|Compilation No\..*|Registered:.*)$"
+RUNNING = r"^(?:Part|Division|Subdivision|Chapter|Schedule) [\dIVXLCA-Z]+ "
+# Lines that stand alone on covers.
+COVER = """queensland | new south wales | victoria | western australia | south australia | tasmania | australian capital territory
+ | northern territory | commonwealth of australia | australia | notes | endnotes""".replace("\n", "").split(" | ")
 CONTENTS = r"(?i)^(?:Contents|Table of (?:Contents|Provisions))$"
 LONGEST_HEADING, FULL_TEXT = 90, 1800
 
@@ -37,15 +42,22 @@ def lines_of(pages: DataFrame) -> DataFrame:
 def banner(line: Column, title: Column) -> Column:
     """A line that only repeats the document's title, alone or beside a page number or a part."""
     low, t = F.lower(line), F.lower(F.trim(F.coalesce(title, F.lit("?"))))
-    forms = (low, F.regexp_replace(low, r"^\d{1,4} ", ""), F.regexp_replace(low, r" \d{1,4}$", ""), F.regexp_replace(low, r"^part \d+ ", ""), F.regexp_replace(low, r"[ .,]+$", ""))
-    return reduce(lambda x, y: x | y, [f == t for f in forms])
+    forms = (F.trim(F.regexp_replace(low, r"^[ .,]+|[ .,]+$", "")), low, F.regexp_replace(low, r"^\d{1,4} ", ""), F.regexp_replace(low, r" \d{1,4}$", ""), F.regexp_replace(low, r"^part \d+ ", ""), F.regexp_replace(low, r"[ .,]+$", ""))
+    return reduce(lambda x, y: x | y, [f == t for f in forms]) | forms[0].isin(COVER)
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """lines (with title) and their kind, before what depends on other lines is settled."""
+def classified(lines: DataFrame, parity: bool = False) -> DataFrame:
+    """lines (with title and, where known, profile) and their kind, before what depends on other lines is settled.
+
+    With parity a heading that names more than its number counts as a running head, as furniture.
+    """
     line = F.col("line")
+    key = F.col("profile") if "profile" in lines.columns else F.lit(None).cast("string")
+    marks = detect.is_furniture(line, key)
+    if parity:
+        marks = marks | line.rlike(RUNNING)
     section = line.rlike(SECTION) & ~is_mostly_upper(F.regexp_extract(line, SECTION, 2)) & ~line.rlike(r" \d{1,4}$")
-    kind = F.when(banner(line, F.col("title")) | line.rlike(FURNITURE), "furniture").when(line.rlike(CONTENTS) | has_leader(line), "contents")
+    kind = F.when(banner(line, F.col("title")) | marks, "furniture").when(line.rlike(CONTENTS) | has_leader(line), "contents")
     for name, pattern in HEADINGS.items():
         kind = kind.when(line.rlike(pattern) & (F.length(line) < LONGEST_HEADING), name)
     kind = kind.when(section, "section").when(line.rlike(SUBSECTION), "subsection").when(line.rlike(PARAGRAPH), "paragraph").when(line.rlike(DEFINITION), "definition").otherwise("text")
@@ -58,7 +70,7 @@ def _order(*keys: str) -> Window:
 
 def placed(lines: DataFrame, parity: bool = False) -> DataFrame:
     """classified lines with contents pages dropped, markers settled, and the section, subsection, paragraph and context they are under."""
-    rows = classified(lines).where("kind <> 'furniture'")
+    rows = classified(lines, parity).where("kind <> 'furniture'")
     # A contents page lasts until a line that ends like a sentence and is long enough to be one.
     latch = F.when(F.col("kind") == "contents", True).when(F.col("line").rlike(r"[.;:]$") & (F.length("line") > 40), False)
     rows = rows.withColumn("_toc", F.coalesce(F.last(latch, True).over(_order()), F.lit(False))).where("not _toc and kind <> 'contents'").drop("_toc")
@@ -104,7 +116,7 @@ def address_of(act: Column) -> Column:
 def provisions(pages: DataFrame, titles: DataFrame, parity: bool = False) -> DataFrame:
     """doc_ord, node_ord, kind, heading, text, section, subsection, paragraph, subparagraph, context, address, page.
 
-    titles: doc_ord, title. Text before the first section is front matter and makes no provision.
+    titles: doc_ord, title and, where known, profile. Text before the first section is front matter and makes no provision.
     """
     lines = lines_of(pages).join(titles, "doc_ord", "left")
     rows = placed(lines, parity)
@@ -153,8 +165,20 @@ def front_matter(pages: DataFrame, titles: DataFrame, most: int = 20) -> DataFra
     return first.groupBy("doc_ord").agg(F.expr("listagg(line, '\n') within group (order by page_no, line_no)").alias("front_matter"))
 
 
-def parse_report(provisions: DataFrame) -> DataFrame:
-    """Per document: sections, provisions, empty sections, and whether more than three tenths are empty."""
-    parts = provisions.groupBy("doc_ord", "section").agg(F.max(F.col("text") != "").alias("filled"), F.count_if(F.col("kind") == "section").alias("heads"), F.count(F.lit(1)).alias("rows"))
-    per = parts.groupBy("doc_ord").agg(F.sum("heads").alias("sections"), F.sum("rows").alias("provisions"), F.count_if(~F.col("filled")).alias("empty_sections"))
-    return per.withColumn("many_empty", F.col("empty_sections") > 0.3 * F.col("sections"))
+KINDS = ["section", "subsection", "paragraph", "subparagraph", "definition"]
+
+
+def parse_report(provisions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per document, also one without provisions: how many of each kind, empty sections, and warnings.
+
+    A section is empty if neither it nor any part of it has text; a number used twice makes two sections.
+    """
+    run = Window.partitionBy("doc_ord").orderBy("node_ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = provisions.withColumn("_head", F.sum(F.when(F.col("kind") == "section", 1).otherwise(0)).over(run))
+    alone = F.max((F.col("kind") != "definition") & ((F.col("kind") != "section") | (F.col("text") != "")))
+    parts = rows.groupBy("doc_ord", "_head").agg((~alone).alias("empty"), *[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in KINDS])
+    per = parts.groupBy("doc_ord").agg(F.count_if(F.col("empty") & (F.col("sections") > 0)).alias("empty_sections"), *[F.sum(f"{k}s").alias(f"{k}s") for k in KINDS])
+    out = documents.select("doc_ord").distinct().join(per, "doc_ord", "left").fillna(0)
+    few = F.when(F.col("sections") == 0, "no sections found")
+    many = F.when(F.col("empty_sections") > 0.3 * F.col("sections"), F.concat(F.col("empty_sections").cast("string"), F.lit(" of "), F.col("sections").cast("string"), F.lit(" sections have no text")))
+    return out.withColumn("warnings", F.concat_ws("; ", few, many))

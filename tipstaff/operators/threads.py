@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How references are written.
-SECTION = re.compile(r"\b(?:sections?|ss?)\s*(\d+[A-Z]{0,3})(?:\s*\((\d+[A-Z]{0,3})\))?", re.I)
-ACT = re.compile(r"\b([A-Z][\w'&\-]*(?:\s+(?:of|and|the|for|in|on|to|an?|[A-Z][\w'&\-]*)){0,10}\s+(?:Act|Regulations?|Code|Rules|Ordinance)(?:\s+\(\w{2,3}\))?\s+(?:1[89]\d{2}|20\d{2}))")
+SECTION = re.compile(r"\b(?:section|sections|s|ss)\s*(\d+[A-Z]{0,3})(?:\s*\((\d+[A-Z]{0,3})\))?", re.I)
+ACT = re.compile(r"\b([A-Z][\w'&\-]*(?:\s+(?:of|and|the|for|in|on|to|a|an)|\s+[A-Z][\w'&\-]*){0,10}\s+(?:Act|Regulations?|Code|Rules|Ordinance)(?:\s+\(\w{2,3}\))?\s+(?:1[89]\d{2}|20\d{2}))")
 # Relations in the order they are tried.
 RELATIONS = [
     ("defines", r"\b(?:means|includes|has the meaning given)\b"),
@@ -84,12 +84,14 @@ def references(text: str | None, own_act: str, own_section: str) -> list[tuple[s
     return out
 
 
-def edges(records: DataFrame) -> DataFrame:
+def edges(records: DataFrame, limit: int | None = None) -> DataFrame:
     """position, seq, source_address, source_act, target_act, target_section, target_subsection, relation, quote.
 
     Whole sections are left out: their parts are records of their own and would count twice. Null text has
-    no references.
+    no references. With a limit only the records at the first positions are read.
     """
+    if limit is not None:
+        records = records.where(F.col("position") < limit)
     base = records.where(F.coalesce("kind", F.lit("")) != "section").select("position", "address", "act", "section", "text")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,21 +151,42 @@ def reading_list(edges: DataFrame, acts: DataFrame, order: str = "edge_ord") ->
     return hits.groupBy("target_act").agg(F.count(F.lit(1)).alias("refs")).join(first, "target_act")
 
 
-def trace(edges: DataFrame, act: str, section: str, depth: int = 2) -> DataFrame:
-    """level, source_act, source_section, target_act, target_section reachable from a section within depth steps.
+def containing(acts: DataFrame, names: DataFrame) -> DataFrame:
+    """name, act: the known acts whose name contains a name, in any case; names are met with the parts of distinct acts."""
+    known = acts.select("act").where("act is not null").distinct().select("act", F.lower("act").alias("_low"))
+    lengths = names.select(F.length("name").alias("_len")).where("_len > 0").distinct()
+    fits = known.join(F.broadcast(lengths), F.length("_low") >= F.col("_len"))  # at most one row a length of a name
+    parts = fits.select("act", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - F.col("_len") + 1), lambda i: F.substring("_low", i, F.col("_len"))))).alias("_part"))
+    asked = names.select("name", F.lower("name").alias("_part")).distinct()
+    return asked.join(parts, "_part").select("name", "act").distinct()
 
-    edges need source_section. Each level joins the frontier of distinct sections with the edges once; a
-    section already reached is not followed again. Lineage is cut after every level.
+
+def trace(edges: DataFrame, records: DataFrame, act: str, section: str, depth: int = 2, order: str = "edge_ord") -> DataFrame:
+    """level and the columns of the edges met on a walk from a section, at most depth steps long.
+
+    A step looks a section up in the records (acts whose name contains the one pointed at, as a citation does) and
+    takes the edges out of its addresses. One edge is kept for a target act, target section and source address, the
+    first in order; it stands at the level where it is met first, and a section already looked up is not looked up
+    again. Each level joins the sections asked for with records and edges once; lineage is cut after it.
     """
     from ..runtime import materialize
 
-    steps = edges.select("source_act", "source_section", "target_act", "target_section").distinct()
-    frontier = edges.sparkSession.createDataFrame([(act, section)], "source_act string, source_section string")
-    seen, out = frontier, None
+    spark = edges.sparkSession
+    places = records.select("act", "section", F.col("address").alias("source_address")).where("source_address is not null").distinct()
+    first = Window.partitionBy("target_act", "target_section", "source_address").orderBy(order)
+    steps = edges.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    frontier = spark.createDataFrame([(act, section)], "name string, section string")
+    asked, left, out = frontier, None, None
     for level in range(1, depth + 1):
-        found = materialize(steps.join(frontier, ["source_act", "source_section"]).select(F.lit(level).alias("level"), "source_act", "source_section", "target_act", "target_section"), f"trace{level}")
+        at = frontier.join(containing(records, frontier), "name").select("act", "section").distinct()
+        sources = places.join(at, ["act", "section"]).select("source_address").distinct()
+        if left is not None:
+            sources = sources.join(left, "source_address", "left_anti")
+        sources = materialize(sources, f"sources{level}")
+        found = materialize(steps.join(sources, "source_address").withColumn("level", F.lit(level)), f"trace{level}")
         out = found if out is None else out.unionByName(found)
-        goals = found.where("coalesce(target_section, '') <> ''").select(F.col("target_act").alias("source_act"), F.col("target_section").alias("source_section")).distinct()
-        frontier = goals.join(seen, ["source_act", "source_section"], "left_anti")
-        seen = seen.unionByName(frontier)
+        left = sources if left is None else left.unionByName(sources)
+        goals = found.where("coalesce(target_section, '') <> '' and target_act is not null").select(F.col("target_act").alias("name"), F.col("target_section").alias("section")).distinct()
+        frontier = goals.join(asked, ["name", "section"], "left_anti")
+        asked = asked.unionByName(frontier)
     return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import detect
 from ..functions import text as tx
 from ..operators import answer, index, lexicon, search, structure, threads, vectors
 from ..operators.orphans import latest
-from ..runtime import table
+from ..runtime import shared_dir, table
 from ..sources import files
 from ..streaming.ingest import event_windows
 
@@ -28,7 +31,7 @@ stat AS (SELECT count(*) AS n, avg(len) AS avg_len FROM dlen)
 """
 EDGES = "edge AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_ord ORDER BY loaded_at DESC) AS rn FROM edges) WHERE rn = 1)"
 PAGES = "pg AS (SELECT page_id, any_value(doc_ord) AS doc_ord, any_value(page_no) AS page_no, any_value(page_text) AS page_text FROM act_pages GROUP BY page_id)"
-TITLES = "tt AS (SELECT doc_ord, max(title) AS title, max(path) AS path FROM act_documents GROUP BY doc_ord)"
+TITLES = "tt AS (SELECT doc_ord, max(title) AS title, max(path) AS path, max(profile) AS profile FROM act_documents GROUP BY doc_ord)"
 LINES = "ln AS (SELECT * FROM (SELECT doc_ord, page_no, g - 1 AS line_no, trim(regexp_replace(l[g], '[ \\t]+', ' ', 'g')) AS line FROM (SELECT doc_ord, page_no, l, unnest(generate_series(1, len(l))) AS g FROM (SELECT doc_ord, page_no, string_split(page_text, chr(10)) AS l FROM pg))) WHERE line <> '')"
 
 
@@ -46,8 +49,15 @@ def _records(spark, d):
     return table(spark, d, "records")
 
 
+_STORED: dict = {}
+
+
 def _index(spark, d):
-    return index.build(_records(spark, d))
+    """The index over a data folder, made once a session: every text is taken apart once, whatever is asked."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = index.stored(index.build(_records(spark, d)))
+    return _STORED[key]
 
 
 def _edges(spark, d):
@@ -59,7 +69,7 @@ def _pages(spark, d):
 
 
 def _titles(spark, d):
-    return table(spark, d, "act_documents").groupBy("doc_ord").agg(F.max("title").alias("title"), F.max("path").alias("path"))
+    return table(spark, d, "act_documents").groupBy("doc_ord").agg(F.max("title").alias("title"), F.max("path").alias("path"), F.max("profile").alias("profile"))
 
 
 # Text
@@ -96,12 +106,19 @@ def q_clean(spark, d):
     return _records(spark, d).select("position", tx.clean(F.col("text")).alias("cleaned"))
 
 
-@query(r"SELECT position, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM records")
+@query(f"SELECT position, trim(regexp_replace(trim({_CLEAN}), '\\s+', ' ', 'g')) AS line FROM (SELECT position, coalesce(text, '') AS x FROM records)")
 def q_collapse(spark, d):
     return _records(spark, d).select("position", tx.collapse(F.col("text")).alias("line"))
 
 
-@query()
+_REJOIN = """voc AS (SELECT doc_ord, word, count(*) AS n FROM (SELECT doc_ord, unnest(regexp_extract_all(lower(page_text), '[a-z]+')) AS word FROM pg) GROUP BY 1, 2),
+wl AS (SELECT page_id, doc_ord, regexp_extract_all(lower(coalesce(page_text, '')), '[a-z]+') AS l FROM pg),
+pr AS (SELECT DISTINCT page_id, doc_ord, l[g] AS a, l[g + 1] AS b FROM (SELECT *, unnest(generate_series(1, len(l) - 1)) AS g FROM wl) WHERE length(l[g]) >= 2 AND length(l[g + 1]) <= 2),
+gd AS (SELECT page_id, list(a || ' ' || b ORDER BY a, b) AS good FROM pr JOIN voc j ON j.doc_ord = pr.doc_ord AND j.word = a || b JOIN voc h ON h.doc_ord = pr.doc_ord AND h.word = a WHERE j.n >= 5 AND j.n >= 4 * h.n GROUP BY 1),
+rj AS (SELECT page_id, pg.doc_ord, page_text AS before, CASE WHEN good IS NULL THEN page_text ELSE list_reduce(list_prepend(page_text, good), lambda t, p: regexp_replace(t, '\\b(?i:(' || split_part(p, ' ', 1) || ')) (?i:(' || split_part(p, ' ', 2) || '))\\b', '\\1\\2', 'g')) END AS page_text FROM pg LEFT JOIN gd USING (page_id))"""
+
+
+@query(f"WITH {PAGES}, {_REJOIN} SELECT page_id, page_text FROM rj")
 def q_rejoin(spark, d):
     return tx.rejoin(_pages(spark, d), "doc_ord", "page_id", "page_text")
 
@@ -140,24 +157,60 @@ def q_format_dispatch(spark, d):
     return table(spark, d, "act_documents").select("path", files.kind_of(F.col("path")).alias("format"))
 
 
-@query("SELECT path, 'no title' AS reason FROM act_documents WHERE title IS NULL")
+def _shelf(spark, d) -> DataFrame:
+    """The documents written as files of the kind their path names, one task a document, and read again."""
+    folder = f"{shared_dir(spark)}/tipstaff/shelf-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    once = _pages(spark, d).join(_titles(spark, d), "doc_ord").where("path is not null")
+    html = F.replace(_html(), F.lit("\f"), F.lit("<br/>"))
+    whole = once.groupBy("doc_ord", "path").agg(F.expr("listagg(coalesce(page_text, ''), '\f') within group (order by page_no)").alias("page_text"))
+    rows = whole.select("doc_ord", files.kind_of(F.col("path")).alias("kind"), F.when(files.kind_of(F.col("path")) == "html", html).otherwise(F.col("page_text")).alias("content"))
+
+    def put(batches):
+        for batch in batches:
+            for doc, kind, content in zip(batch["doc_ord"], batch["kind"], batch["content"]):
+                with open(f"{folder}/{doc}.{ {'text': 'txt'}.get(kind, kind) }", "w", newline="") as f:
+                    f.write(content)
+            yield batch[["doc_ord"]]
+
+    rows.mapInPandas(put, "doc_ord int").count()
+    return files.read_pages(spark, [folder]).withColumn("doc_ord", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("int"))
+
+
+_KINDOF = "CASE WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.(?:html?|xhtml)$') THEN 'html' ELSE 'text' END"
+_WHOLE = f"wd AS (SELECT doc_ord, path, {_KINDOF} AS kind, string_agg(coalesce(page_text, ''), chr(10) ORDER BY page_no) AS page_text FROM pg JOIN tt USING (doc_ord) WHERE path IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {PAGES}, {TITLES} SELECT DISTINCT doc_ord, true AS failed FROM pg JOIN tt USING (doc_ord) WHERE {_KINDOF} = 'pdf'")
 def q_skipped(spark, d):
-    marked = table(spark, d, "act_documents").select("path", F.when(F.col("title").isNull(), "no title").alias("error"))
-    return files.skipped(marked)
+    """Files whose reader fails: what is written with the suffix of a PDF here is none."""
+    pages = _shelf(spark, d)
+    return files.skipped(pages.withColumn("path", F.col("doc_ord"))).select(F.col("path").alias("doc_ord"), (F.length("reason") > 0).alias("failed"))
+
+
+@query(f"""WITH {PAGES}, {TITLES}, {_WHOLE},
+r AS (SELECT doc_ord, (row_number() OVER (PARTITION BY doc_ord ORDER BY page_no))::INT AS page_no, coalesce(page_text, '') AS x FROM pg JOIN tt USING (doc_ord) WHERE path IS NOT NULL AND {_KINDOF} = 'text'
+ UNION ALL SELECT doc_ord, 1, {_STRIP} FROM wd WHERE kind = 'html')
+SELECT doc_ord, page_no, trim({_CLEAN}) AS page_text FROM r""")
+def q_read_files(spark, d):
+    """Text and HTML files, taken apart into pages, cleaned."""
+    return _shelf(spark, d).where("error is null").select("doc_ord", "page_no", "page_text")
 
 
 # Metadata
 
 _HEAD = "heads AS (SELECT doc_ord, string_agg(coalesce(page_text, ''), chr(10) ORDER BY page_no) AS head FROM (SELECT *, row_number() OVER (PARTITION BY doc_ord ORDER BY page_no) AS n FROM pg) WHERE n <= 3 GROUP BY 1)"
 _PROFILE = r"""CASE WHEN regexp_matches(lower(regexp_extract(coalesce(path, ''), '([^/]*)$', 1)), '^qld| qld |queensland') THEN 'qld'
- WHEN regexp_matches(head, '\[s\s*\d+[A-Z]{0,3}\]|Reprint\s+\d+[A-Z]?\s+effective') THEN 'qld'
- WHEN regexp_matches(head, 'ComLaw|Office of Parliamentary Counsel, Canberra|Federal Register of Legislation') THEN 'cth'
- WHEN regexp_matches(head, '(?i)\bAct\s+No\.\s*(\d+)\s+of\s+(\d{4})\b') AND contains(head, 'This compilation was prepared') THEN 'cth' ELSE 'generic' END"""
+ WHEN regexp_matches(head, '\[s\s*\d+[A-Z]{0,3}\]|(?i:Reprint\s+\d+[A-Z]?\s+effective)') THEN 'qld'
+ WHEN regexp_matches(head, '(?i)ComLaw|Office of Parliamentary Counsel, Canberra|Federal Register of Legislation') THEN 'cth'
+ WHEN regexp_matches(head, '\bAct No\.\s*\d+\s*of\s*\d{4}\b') AND regexp_matches(head, '(?i)This compilation was prepared') THEN 'cth' ELSE 'generic' END"""
 
 
-@query(f"WITH {PAGES}, {TITLES}, {_HEAD} SELECT doc_ord, {_PROFILE} AS profile FROM heads LEFT JOIN tt USING (doc_ord)")
+@query(f"WITH {PAGES}, {TITLES}, {_HEAD} SELECT doc_ord, {_PROFILE} AS profile FROM (SELECT doc_ord, CASE doc_ord % 3 WHEN 1 THEN upper(head) WHEN 2 THEN lower(head) ELSE head END AS head FROM heads) LEFT JOIN tt USING (doc_ord)")
 def q_profile_detect(spark, d):
+    """A third of the heads in capitals and a third in small letters: notices count in any case, markers and numbers as printed."""
     head = detect.heads(_pages(spark, d), "doc_ord", "page_no", "page_text")
+    head = head.withColumn("head", F.when(F.col("doc_ord") % 3 == 1, F.upper("head")).when(F.col("doc_ord") % 3 == 2, F.lower("head")).otherwise(F.col("head")))
     return head.join(_titles(spark, d), "doc_ord", "left").select("doc_ord", detect.profile(F.col("head"), F.col("path")).alias("profile"))
 
 
@@ -188,31 +241,34 @@ def _dq(p: str) -> str:
 _FITS = f"((regexp_matches(t, '{_dq(detect.TITLE)}') OR regexp_matches(t, '{_dq(detect.TITLE_UNDATED)}')) AND length(regexp_replace(t, '[^(]', '', 'g')) = length(regexp_replace(t, '[^)]', '', 'g')))"
 
 
-@query(f"""WITH {PAGES}, tot AS (SELECT doc_ord, count(DISTINCT page_no) AS pages FROM pg GROUP BY 1),
+@query(f"""WITH {PAGES}, {TITLES}, tot AS (SELECT doc_ord, count(DISTINCT page_no) AS pages FROM pg GROUP BY 1),
 l0 AS (SELECT doc_ord, page_no, g AS spot, trim(regexp_replace(l[g], '\\s+', ' ', 'g')) AS line FROM (SELECT doc_ord, page_no, l, unnest(generate_series(1, len(l))) AS g FROM (SELECT doc_ord, page_no, string_split(page_text, chr(10)) AS l FROM pg))),
 l1 AS (SELECT * FROM l0 WHERE length(line) > 5 AND NOT regexp_matches(line, '\\.{{4,}}|(?:\\. ){{4,}}')),
 l2 AS (SELECT doc_ord, page_no, spot, list_filter([line, regexp_replace(line, '(?i)^(?:\\d{{1,4}}|[ivxlc]{{1,6}}) ', ''), regexp_replace(line, '(?i) (?:\\d{{1,4}}|[ivxlc]{{1,6}})$', '')], lambda t: {_FITS})[1] AS title FROM l1),
 per AS (SELECT doc_ord, title, regexp_matches(title, '{_dq(detect.TITLE)}') AS dated, count(DISTINCT page_no) AS n, min(page_no * 100000 + spot) AS first FROM l2 WHERE title IS NOT NULL GROUP BY 1, 2, 3)
-SELECT doc_ord, title FROM (SELECT doc_ord, title, row_number() OVER (PARTITION BY doc_ord ORDER BY n DESC, dated DESC, length(title) DESC, first, title) AS r FROM per JOIN tot USING (doc_ord) WHERE n >= greatest(3, floor(pages / 12))) WHERE r = 1""")
+SELECT doc_ord, coalesce(best.title, regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', ''), '[_-]', ' ', 'g')) AS title FROM tt LEFT JOIN (SELECT doc_ord, title FROM (SELECT doc_ord, title, row_number() OVER (PARTITION BY doc_ord ORDER BY n DESC, dated DESC, length(title) DESC, first, title) AS r FROM per JOIN tot USING (doc_ord) WHERE n >= greatest(3, floor(pages / 12))) WHERE r = 1) best USING (doc_ord)""")
 def q_title_guess(spark, d):
-    return detect.guessed_titles(_pages(spark, d), "doc_ord", "page_no", "page_text")
+    return detect.guessed_titles(_pages(spark, d), "doc_ord", "page_no", "page_text", _titles(spark, d).select("doc_ord", "path"))
 
 
-@query(f"WITH {PAGES}, {TITLES}, {_HEAD}, len AS (SELECT doc_ord, sum(length(page_text)) AS n FROM pg GROUP BY 1) SELECT doc_ord, concat_ws('; ', CASE WHEN n = 0 THEN 'no text: the pages may be images' END, CASE WHEN {_PROFILE} = 'generic' THEN 'layout not recognised' END, CASE WHEN regexp_matches(head, '{detect.DISCLAIMED}') THEN 'the source says it is not authorised' END, CASE WHEN {_CURR.replace('front', 'head')} IS NULL THEN 'no currency date found' END) AS warnings FROM heads JOIN len USING (doc_ord) LEFT JOIN tt USING (doc_ord)")
+@query(f"WITH {PAGES}, {TITLES}, {_HEAD}, {_REJOIN}, len AS (SELECT doc_ord, sum(length(page_text)) AS n, count(*) FILTER (page_text <> before) AS joined FROM rj GROUP BY 1) SELECT doc_ord, concat_ws('; ', CASE WHEN joined > 0 THEN 'torn words joined again on ' || joined || ' pages' END, CASE WHEN n = 0 THEN 'no text: the pages may be images' END, CASE WHEN {_PROFILE} = 'generic' THEN 'layout not recognised' END, CASE WHEN regexp_matches(head, '{detect.DISCLAIMED}') THEN 'the source says it is not authorised' END, CASE WHEN {_CURR.replace('front', 'head')} IS NULL THEN 'no currency date found' END) AS warnings FROM heads JOIN len USING (doc_ord) LEFT JOIN tt USING (doc_ord)")
 def q_warnings(spark, d):
     pages = _pages(spark, d)
-    head = detect.heads(pages, "doc_ord", "page_no", "page_text").join(_titles(spark, d), "doc_ord", "left").join(pages.groupBy("doc_ord").agg(F.sum(F.length("page_text")).alias("n")), "doc_ord")
-    found = detect.warnings(F.col("n"), detect.profile(F.col("head"), F.col("path")), F.col("head"), detect.currency(F.col("head")))
+    whole = tx.rejoin(pages, "doc_ord", "page_id", "page_text").withColumnRenamed("page_text", "whole")
+    sizes = pages.join(whole, "page_id").groupBy("doc_ord").agg(F.sum(F.length("whole")).alias("n"), F.count_if(F.col("whole") != F.col("page_text")).alias("joined"))
+    head = detect.heads(pages, "doc_ord", "page_no", "page_text").join(_titles(spark, d), "doc_ord", "left").join(sizes, "doc_ord")
+    found = detect.warnings(F.col("n"), detect.profile(F.col("head"), F.col("path")), F.col("head"), detect.currency(F.col("head")), F.col("joined"))
     return head.select("doc_ord", F.array_join(found, "; ").alias("warnings"))
 
 
 # Structure
 
 _T = "lower(trim(coalesce(title, '?')))"
-_BANNER = f"(lower(line) = {_T} OR regexp_replace(lower(line), '^\\d{{1,4}} ', '') = {_T} OR regexp_replace(lower(line), ' \\d{{1,4}}$', '') = {_T} OR regexp_replace(lower(line), '^part \\d+ ', '') = {_T} OR regexp_replace(lower(line), '[ .,]+$', '') = {_T})"
+_BANNER = f"(lower(line) = {_T} OR regexp_replace(lower(line), '^\\d{{1,4}} ', '') = {_T} OR regexp_replace(lower(line), ' \\d{{1,4}}$', '') = {_T} OR regexp_replace(lower(line), '^part \\d+ ', '') = {_T} OR regexp_replace(lower(line), '[ .,]+$', '') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') IN ({', '.join(repr(c) for c in structure.COVER)}))"
+_MARKS = "CASE lower(coalesce(profile, '')) WHEN 'cth' THEN regexp_matches(line, '{}') WHEN 'qld' THEN regexp_matches(line, '{}') ELSE regexp_matches(line, '{}') END".format(*(detect.PROFILES[k].furniture for k in ("cth", "qld", "generic")))
 _UPPER = f"length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Z]', '', 'g')) > 0.8 * length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Za-z]', '', 'g'))"
 _KIND = (
-    f"CASE WHEN {_BANNER} OR regexp_matches(line, '{structure.FURNITURE}') THEN 'furniture' WHEN regexp_matches(line, '{structure.CONTENTS}') OR regexp_matches(line, '\\.{{4,}}|(?:\\. ){{4,}}') THEN 'contents' "
+    f"CASE WHEN {_BANNER} OR {_MARKS} THEN 'furniture' WHEN regexp_matches(line, '{structure.CONTENTS}') OR regexp_matches(line, '\\.{{4,}}|(?:\\. ){{4,}}') THEN 'contents' "
     + " ".join(f"WHEN regexp_matches(line, '{p}') AND length(line) < 90 THEN '{n}'" for n, p in structure.HEADINGS.items())
     + f" WHEN regexp_matches(line, '{structure.SECTION}') AND NOT ({_UPPER}) AND NOT regexp_matches(line, ' \\d{{1,4}}$') THEN 'section' WHEN regexp_matches(line, '{structure.SUBSECTION}') THEN 'subsection' WHEN regexp_matches(line, '{structure.PARAGRAPH}') THEN 'paragraph' WHEN regexp_matches(line, '{_dq(structure.DEFINITION)}') THEN 'definition' ELSE 'text' END"
 )
@@ -253,24 +309,64 @@ def q_context_carry(spark, d):
     return structure.placed(_statute(spark, d)).select("doc_ord", "line_no", "chapter", "part", "division", "schedule", "section", "subsection")
 
 
-@query()
+_OVER = "OVER (PARTITION BY doc_ord{} ORDER BY page_no, line_no ROWS UNBOUNDED PRECEDING)"
+_NUM = lambda kind, pattern, keys: f"last_value(CASE WHEN kind = '{kind}' THEN regexp_extract(line, '{pattern}', 1) END IGNORE NULLS) {_OVER.format(keys)}"
+_LEVELS = ", ".join(
+    f"coalesce(last_value(CASE WHEN kind = '{n}' THEN regexp_extract(line, '{structure.HEADINGS[n]}', 1) WHEN kind IN ({', '.join(repr(x) for x in ['schedule', *structure.LEVELS[:i]])}) THEN '' END IGNORE NULLS) {_OVER.format('')}, '') AS {n}"
+    for i, n in enumerate(structure.LEVELS)
+)
+_PLACED = f"""
+c0 AS (SELECT doc_ord, page_no, line_no, line, title, {_KIND} AS kind FROM ln LEFT JOIN tt USING (doc_ord)),
+c1 AS (SELECT *, last_value(CASE WHEN kind = 'contents' THEN true WHEN regexp_matches(line, '[.;:]$') AND length(line) > 40 THEN false END IGNORE NULLS) {_OVER.format('')} AS toc FROM c0 WHERE kind <> 'furniture'),
+c2 AS (SELECT * EXCLUDE (toc), sum(CASE WHEN kind IN ('section', 'schedule') THEN 1 ELSE 0 END) {_OVER.format('')} AS sec_id, coalesce(last_value(CASE WHEN kind = 'section' THEN true WHEN kind = 'schedule' THEN false END IGNORE NULLS) {_OVER.format('')}, false) AS ins FROM c1 WHERE NOT coalesce(toc, false) AND kind <> 'contents'),
+c3 AS (SELECT * REPLACE (CASE WHEN kind IN ('subsection', 'paragraph') AND NOT ins THEN 'text' ELSE kind END AS kind) FROM c2),
+c4 AS (SELECT *, sum(CASE WHEN kind = 'subsection' THEN 1 ELSE 0 END) {_OVER.format(', sec_id')} AS sub_id, CASE WHEN kind = 'paragraph' THEN regexp_extract(line, '{structure.PARAGRAPH}', 1) END AS m FROM c3),
+c5 AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY doc_ord, sec_id, sub_id ORDER BY page_no, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b4 FROM c4),
+c6 AS (SELECT * REPLACE (CASE WHEN kind = 'paragraph' AND b4 IS NOT NULL AND regexp_matches(line, '{structure.ROMAN}') AND NOT (length(m) = 1 AND length(b4) = 1 AND ascii(m) = ascii(b4) + 1) THEN 'subparagraph' ELSE kind END AS kind) FROM c5),
+c7 AS (SELECT *, sum(CASE WHEN kind = 'paragraph' THEN 1 ELSE 0 END) {_OVER.format(', sec_id, sub_id')} AS para_id FROM c6),
+c8 AS (SELECT * REPLACE (CASE WHEN kind = 'definition' AND para_id > 0 THEN 'text' ELSE kind END AS kind) FROM c7),
+pl AS (SELECT *, {_LEVELS}, coalesce({_NUM('schedule', structure.HEADINGS['schedule'], '')}, '') AS schedule, CASE WHEN ins THEN coalesce({_NUM('section', structure.SECTION, ', sec_id')}, '') ELSE '' END AS section,
+ coalesce({_NUM('subsection', structure.SUBSECTION, ', sec_id')}, '') AS subsection, coalesce({_NUM('paragraph', structure.PARAGRAPH, ', sec_id, sub_id')}, '') AS paragraph,
+ sum(CASE WHEN kind IN ('section', 'subsection', 'paragraph', 'subparagraph') THEN 1 ELSE 0 END) {_OVER.format('')} AS node, page_no::BIGINT * 1000000 + line_no AS pos FROM c8)"""
+_UNDER = ["chapter", "part", "division", "subdivision", "schedule", "section", "subsection", "paragraph"]
+_PROVISIONS = rf"""
+bd AS (SELECT *, CASE kind WHEN 'subsection' THEN regexp_extract(line, '{structure.SUBSECTION}', 2) WHEN 'paragraph' THEN regexp_extract(line, '{structure.PARAGRAPH}', 2) WHEN 'subparagraph' THEN regexp_extract(line, '{structure.PARAGRAPH}', 2) WHEN 'text' THEN line END AS body FROM pl WHERE section <> ''),
+nd AS (SELECT doc_ord, arg_min(kind, pos) AS kind, any_value(title) AS title, max(CASE WHEN kind = 'section' THEN regexp_extract(line, '{structure.SECTION}', 2) END) AS heading, string_agg(body, chr(10) ORDER BY pos) AS text, {', '.join(f'arg_min({c}, pos) AS {c}' for c in _UNDER)},
+ coalesce(max(CASE WHEN kind = 'subparagraph' THEN regexp_extract(line, '{structure.PARAGRAPH}', 1) END), '') AS subparagraph, min(pos) AS pos, arg_min(page_no, pos) AS page FROM bd WHERE kind <> 'definition' GROUP BY doc_ord, node
+ UNION ALL SELECT doc_ord, kind, title, regexp_extract(line, '{_dq(structure.DEFINITION)}', 1), line, {', '.join(_UNDER)}, '', pos, page_no FROM bd WHERE kind = 'definition'),
+pv AS (SELECT doc_ord, (row_number() OVER (PARTITION BY doc_ord ORDER BY kind = 'definition', pos))::INT AS node_ord, kind, coalesce(heading, '') AS heading,
+ trim(regexp_replace(regexp_replace(coalesce(text, ''), '([\p{{L}}\p{{N}}])-\n([\p{{L}}\p{{N}}])', '\1\2', 'g'), '\s+', ' ', 'g')) AS text, section, subsection, paragraph, subparagraph,
+ concat_ws(' > ', {', '.join(f"CASE WHEN {c} <> '' THEN '{c.capitalize()} ' || {c} END" for c in _UNDER[:5])}) AS context,
+ coalesce(title, '') || ' ' || CASE WHEN schedule <> '' THEN 'Schedule ' || schedule || ', ' ELSE '' END || 's ' || section || {' || '.join(f"CASE WHEN {c} <> '' THEN '(' || {c} || ')' ELSE '' END" for c in ('subsection', 'paragraph', 'subparagraph'))} AS address, page FROM nd)"""
+_PARSE = f"WITH {PAGES}, {TITLES}, {LINES}, {_PLACED}"
+
+
+@query(f"{_PARSE}, {_PROVISIONS} SELECT doc_ord, node_ord, kind, heading, text, section, subsection, paragraph, subparagraph, context, address, page FROM pv")
 def q_provisions(spark, d):
-    return structure.provisions(table(spark, d, "act_pages"), _titles(spark, d).select("doc_ord", "title"))
+    return structure.provisions(table(spark, d, "act_pages"), _titles(spark, d).select("doc_ord", "title", "profile"))
 
 
-@query()
+@query(f"""{_PARSE}, {_PROVISIONS}, hd AS (SELECT *, sum(CASE WHEN kind = 'section' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_ord ORDER BY node_ord ROWS UNBOUNDED PRECEDING) AS head,
+ nullif(CASE kind WHEN 'subsection' THEN '(' || subsection || ') ' WHEN 'paragraph' THEN '(' || paragraph || ') ' WHEN 'subparagraph' THEN '(' || subparagraph || ') ' ELSE '' END || text, '') AS piece FROM pv WHERE kind <> 'definition'),
+ft AS (SELECT doc_ord, arg_min(address, node_ord) AS address, coalesce(string_agg(piece, ' ' ORDER BY node_ord), '') AS t FROM hd GROUP BY doc_ord, head)
+SELECT doc_ord, address, CASE WHEN length(t) > {structure.FULL_TEXT} THEN regexp_replace(substring(t, 1, {structure.FULL_TEXT}), ' [^ ]*$', '') || ' [...]' ELSE t END AS full_text FROM ft""")
 def q_full_text(spark, d):
     return structure.full_texts(q_provisions(spark, d))
 
 
-@query()
+@query(f"{_PARSE} SELECT doc_ord, string_agg(line, chr(10) ORDER BY pos) AS front_matter FROM (SELECT *, row_number() OVER (PARTITION BY doc_ord ORDER BY pos) AS r FROM pl WHERE section = '' AND kind = 'text') WHERE r <= 20 GROUP BY 1")
 def q_front_matter(spark, d):
-    return structure.front_matter(table(spark, d, "act_pages"), _titles(spark, d).select("doc_ord", "title"))
+    return structure.front_matter(table(spark, d, "act_pages"), _titles(spark, d).select("doc_ord", "title", "profile"))
 
 
-@query()
+@query(f"""{_PARSE}, {_PROVISIONS}, hd AS (SELECT *, sum(CASE WHEN kind = 'section' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_ord ORDER BY node_ord ROWS UNBOUNDED PRECEDING) AS head FROM pv),
+em AS (SELECT doc_ord, count(*) AS empty FROM (SELECT doc_ord, head FROM hd GROUP BY 1, 2 HAVING bool_or(kind = 'section') AND NOT bool_or(kind NOT IN ('definition', 'section') OR (kind = 'section' AND text <> ''))) GROUP BY 1),
+ct AS (SELECT doc_ord, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in structure.KINDS)} FROM pv GROUP BY 1),
+al AS (SELECT DISTINCT doc_ord FROM act_documents WHERE doc_ord IS NOT NULL)
+SELECT doc_ord, coalesce(empty, 0) AS empty_sections, {', '.join(f'coalesce({k}s, 0) AS {k}s' for k in structure.KINDS)}, concat_ws('; ', CASE WHEN coalesce(sections, 0) = 0 THEN 'no sections found' END, CASE WHEN coalesce(empty, 0) > 0.3 * coalesce(sections, 0) THEN empty || ' of ' || sections || ' sections have no text' END) AS warnings
+FROM al LEFT JOIN ct USING (doc_ord) LEFT JOIN em USING (doc_ord)""")
 def q_parse_report(spark, d):
-    return structure.parse_report(q_provisions(spark, d))
+    return structure.parse_report(q_provisions(spark, d), _titles(spark, d))
 
 
 @query("SELECT position, act || ' s ' || section || CASE WHEN subsection <> '' THEN '(' || subsection || ')' ELSE '' END || CASE WHEN paragraph <> '' THEN '(' || paragraph || ')' ELSE '' END AS address FROM records")
@@ -299,7 +395,7 @@ def q_corpus_stats(spark, d):
 
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM recs) AS provisions, (SELECT count(DISTINCT act) FROM recs) AS acts, (SELECT count(DISTINCT token) FROM post) AS distinct_terms")
 def q_index_stats(spark, d):
-    return index.index_stats(_index(spark, d))
+    return index.index_stats(_index(spark, d)).drop("built")
 
 
 @query(f"WITH {INDEX} SELECT kind AS value, count(*) AS provisions FROM recs GROUP BY 1")
@@ -364,9 +460,9 @@ QUERIES["q_bm25_filtered"] = lambda spark, d: _hits(spark, d, "levy dock tribuna
 SQL["q_bm25_filtered"] = _search_sql("levy dock tribunal", 15, "lower(jurisdiction) = 'queensland' AND contains(lower(act), 'inspection') AND kind = 'subsection'")
 
 
-@query("SELECT position, address FROM records WHERE contains(lower(act), 'wharfage inspection') AND section = '5'")
+@query("SELECT position, address FROM records WHERE contains(lower(act), 'inkworks') AND section = '1A'")
 def q_by_citation(spark, d):
-    return search.by_citation(_records(spark, d), "Wharfage Inspection", "5").select("position", "address")
+    return search.by_citation(_records(spark, d), "Inkworks", "1A").select("position", "address")
 
 
 # Lexicon
@@ -389,7 +485,7 @@ c AS (SELECT term, sum(o.n * coalesce(own.n, 0)) AS dot, sum(o.n * o.n) AS b FRO
 s AS (SELECT term AS token, round(dot / sqrt(((SELECT sum(n * n) FROM own) - own.n * own.n) * b), 3) AS similarity FROM c JOIN own ON own.token = c.term)
 SELECT token, similarity FROM s WHERE similarity >= 0.5 ORDER BY similarity DESC, token LIMIT 4""")
 def q_related_terms(spark, d):
-    return lexicon.related_terms(index.stored(_index(spark, d)), "lighthouse")
+    return lexicon.related_terms(_index(spark, d), "lighthouse")
 
 
 # Threads
@@ -404,12 +500,26 @@ def q_reference_counts(spark, d):
     return _records(spark, d).select("position", count("(?i)" + _REF).alias("section_refs"), count(_ACTREF).alias("act_refs"))
 
 
-@query()
-def q_edges(spark, d):
-    return threads.edges(_records(spark, d))
+_NAME = "trim(regexp_replace(regexp_replace({}, '(?i)^the\\s+', ''), '\\s+', ' ', 'g'))"
+_AT = "list_sum(list_transform(p[1:g], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:g - 1], lambda x: length(x))), 0)"
+_FOUND = "SELECT position, own, sec, text, m[g] AS s, ({at})::BIGINT AS spot FROM (SELECT *, unnest(generate_series(1, len(m))) AS g FROM (SELECT *, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM rc))"
+_SAME = "({a} <> '' AND {b} <> '' AND (ends_with(lower({a}), lower({b})) OR ends_with(lower({b}), lower({a}))))"
+_QUOTE = f"CASE WHEN spot > {threads.QUOTE // 2} THEN '[...] ' ELSE '' END || trim(regexp_replace(substring(text, greatest(0, spot - {threads.QUOTE // 2}) + 1, least(length(text), spot + {threads.QUOTE // 2}) - greatest(0, spot - {threads.QUOTE // 2})), '\\s+', ' ', 'g')) || CASE WHEN spot + {threads.QUOTE // 2} < length(text) THEN ' [...]' ELSE '' END"
+_EDGES = f"""WITH rc AS (SELECT position, address, act, {_NAME.format("coalesce(act, '')")} AS own, coalesce(section, '') AS sec, text FROM records WHERE coalesce(kind, '') <> 'section' AND coalesce(text, '') <> ''),
+sr AS ({_FOUND.format(at=_AT, p='(?i)' + _REF)}), ar AS (SELECT *, {_NAME.format('s')} AS name FROM ({_FOUND.format(at=_AT, p=_dq(_ACTREF))})),
+ah AS (SELECT sr.position, sr.spot, arg_min(name, ar.spot) AS name FROM sr JOIN ar ON ar.position = sr.position AND ar.spot - (sr.spot + length(sr.s)) BETWEEN 0 AND {threads.AHEAD} GROUP BY 1, 2),
+bh AS (SELECT sr.position, sr.spot, arg_max(name, ar.spot) AS name FROM sr JOIN ar ON ar.position = sr.position AND ar.spot < sr.spot GROUP BY 1, 2),
+t0 AS (SELECT sr.*, coalesce(ah.name, bh.name, own) AS target FROM sr LEFT JOIN ah USING (position, spot) LEFT JOIN bh USING (position, spot)),
+t1 AS (SELECT * REPLACE (CASE WHEN {_SAME.format(a='target', b='own')} THEN own ELSE target END AS target), regexp_extract(s, '(?i){_REF}', 1) AS tsec, regexp_extract(s, '(?i){_REF}', 2) AS tsub FROM t0),
+al AS (SELECT position, 0 AS part, spot, target, tsec, tsub, {_QUOTE} AS quote FROM t1 WHERE NOT (target = own AND tsec = sec)
+ UNION ALL SELECT position, 1, spot, name, '', '', {_QUOTE} FROM ar WHERE NOT {_SAME.format(a='name', b='own')} AND NOT EXISTS (SELECT 1 FROM sr WHERE sr.position = ar.position AND abs(sr.spot - ar.spot) < {threads.NEAR})),
+ed AS (SELECT position, (row_number() OVER (PARTITION BY position ORDER BY part, spot) - 1)::INT AS seq, target AS target_act, tsec AS target_section, tsub AS target_subsection, quote FROM al)"""
+_REL = "CASE " + " ".join(f"WHEN regexp_matches(quote, '(?i){p}') THEN '{n}'" for n, p in threads.RELATIONS) + " ELSE 'refers to' END"
 
 
-_REL = "CASE " + " ".join(f"WHEN regexp_matches(quote, '(?i){p}') THEN '{n}'" for n, p in threads.RELATIONS) + " ELSE 'refers to' END"
+@query(f"{_EDGES} SELECT position, seq, address AS source_address, act AS source_act, target_act, target_section, target_subsection, ed.quote, {_REL} AS relation FROM ed JOIN rc USING (position)")
+def q_edges(spark, d):
+    return threads.edges(_records(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT {_REL} AS relation, count(*) AS edges FROM edge GROUP BY 1")
@@ -438,14 +548,14 @@ def q_reading_list(spark, d):
     return threads.reading_list(_edges(spark, d), _records(spark, d))
 
 
-@query(f"WITH {EDGES} SELECT edge_ord, source_address FROM edge WHERE lower(trim(target_act)) = 'wharfage inspection act 1958' AND target_section = '1'")
+@query(f"WITH {EDGES} SELECT edge_ord, source_address FROM edge WHERE lower(trim(target_act)) = 'granary labelling act 1967' AND target_section = '1'")
 def q_inbound(spark, d):
-    return threads.inbound(_edges(spark, d), "Wharfage Inspection Act 1958", "1").select("edge_ord", "source_address")
+    return threads.inbound(_edges(spark, d), "Granary Labelling Act 1967", "1").select("edge_ord", "source_address")
 
 
-@query(f"WITH {EDGES} SELECT edge_ord, target_act FROM edge WHERE source_address = 'Turnpike Bounties Regulation 1964 s 5(7)'")
+@query(f"WITH {EDGES} SELECT edge_ord, target_act FROM edge WHERE source_address = 'Glasshouse Bellows Act 2013 s 4'")
 def q_outbound(spark, d):
-    return threads.outbound(_edges(spark, d), "Turnpike Bounties Regulation 1964 s 5(7)").select("edge_ord", "target_act")
+    return threads.outbound(_edges(spark, d), "Glasshouse Bellows Act 2013 s 4").select("edge_ord", "target_act")
 
 
 @query(f"WITH {EDGES} SELECT edge_ord, target_act || CASE WHEN coalesce(target_section, '') <> '' THEN ' s ' || target_section || CASE WHEN coalesce(target_subsection, '') <> '' THEN '(' || target_subsection || ')' ELSE '' END ELSE '' END AS label FROM edge")
@@ -453,45 +563,58 @@ def q_target_label(spark, d):
     return _edges(spark, d).select("edge_ord", threads.target_label(F.col("target_act"), F.col("target_section"), F.col("target_subsection")).alias("label"))
 
 
-_STEPS = f"{EDGES}, known AS (SELECT DISTINCT address, section FROM records), st AS (SELECT DISTINCT source_act, k.section AS source_section, target_act, target_section FROM edge JOIN known k ON k.address = source_address)"
+_UP = "SELECT DISTINCT address FROM records JOIN ({}) q ON contains(lower(act), lower(q.name)) AND records.section = q.section WHERE address IS NOT NULL"
 
 
-@query(f"""WITH {_STEPS}, a AS (SELECT * FROM st WHERE source_act = 'Wharfage Inspection Act 1958' AND source_section = '1'),
-b AS (SELECT * FROM st WHERE (source_act, source_section) IN (SELECT (target_act, target_section) FROM a WHERE coalesce(target_section, '') <> '' AND target_act IS NOT NULL AND NOT (target_act = 'Wharfage Inspection Act 1958' AND target_section = '1')))
-SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b""")
+@query(f"""WITH {EDGES}, st AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY target_act, target_section, source_address ORDER BY edge_ord) AS r FROM edge) WHERE r = 1),
+s1 AS ({_UP.format("SELECT 'granary labelling' AS name, '1' AS section")}), l1 AS (SELECT st.* FROM st JOIN s1 ON source_address = address),
+s2 AS ({_UP.format("SELECT DISTINCT target_act AS name, target_section AS section FROM l1 WHERE coalesce(target_section, '') <> '' AND target_act IS NOT NULL")}), l2 AS (SELECT st.* FROM st JOIN s2 ON source_address = address WHERE address NOT IN (SELECT address FROM s1))
+SELECT level, edge_ord, source_address, target_act, target_section, relation FROM (SELECT 1 AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2)""")
 def q_trace(spark, d):
-    known = _records(spark, d).select(F.col("address").alias("source_address"), F.col("section").alias("source_section")).distinct()
-    return threads.trace(_edges(spark, d).join(known, "source_address"), "Wharfage Inspection Act 1958", "1", 2)
+    found = threads.trace(_edges(spark, d), _records(spark, d), "granary labelling", "1", 2)
+    return found.select("level", "edge_ord", "source_address", "target_act", "target_section", "relation")
 
 
 # Answers
 
-_ASK = "may the tribunal cancel a permit for a kiosk"
+_ASK, _BRIDGED = "may the court open a letter about the tax on a ship", "may the court open a letter about the tax on a ship tribunal notice levy vessel"
 
 
-@query(_search_sql(_ASK, 5, "TRUE", "position, address, round(score, 3) AS score"))
+@query(_search_sql(_BRIDGED, 20, "TRUE", "address, printf('%.3f', score)::DOUBLE AS score, reasons, coalesce(text, '') AS text"))
 def q_ask(spark, d):
-    return search.search(_index(spark, d), _ASK, 5).select("position", "address", F.round("score", 3).alias("score"))
+    """A question in everyday words, with the bridge on: what the packet shows."""
+    packet = answer.ask(_index(spark, d), _ASK, 20)
+    return spark.createDataFrame([(e.address, e.score, "; ".join(e.reasons), e.text) for e in packet.extracts], "address string, score double, reasons string, text string")
 
 
-@query("SELECT position, address, 1.0::DOUBLE AS score, 'looked up by address' AS reason FROM records WHERE contains(lower(act), 'oyster auctions') AND section = '2' AND subsection = '1'")
-def q_cite(spark, d):
-    rows = search.by_citation(_records(spark, d), "Oyster Auctions", "2", "1")
-    return rows.select("position", "address", F.lit(1.0).alias("score"), F.lit("looked up by address").alias("reason"))
+_CITED = "cited AS (SELECT * FROM (SELECT * FROM records WHERE length(trim(text)) >= 12 AND contains(lower(act), 'flaxmill sureties') AND section = '4' ORDER BY position LIMIT 1000))"
 
 
-@query("SELECT position, '{\"address\":' || to_json(address)::VARCHAR || ',\"section\":' || to_json(section)::VARCHAR || '}' AS packet FROM records WHERE address IS NOT NULL AND section IS NOT NULL")
-def q_packet_json(spark, d):
-    rows = _records(spark, d).where("address is not null and section is not null")
-    return rows.select("position", F.to_json(F.struct("address", "section")).alias("packet"))
+def _cited(spark, d) -> answer.Packet:
+    return answer.cite(_index(spark, d), "Flaxmill Sureties", "4", limit=1_000)
 
 
-@query("WITH h AS (SELECT * FROM records WHERE contains(lower(act), 'wharfage') AND section = '3') SELECT count(*) AS extracts, count(*) FILTER (coalesce(currency, '') = '') AS undated, coalesce(string_agg(DISTINCT nullif(currency, ''), '; ' ORDER BY nullif(currency, '')), '') AS dates, coalesce(string_agg(DISTINCT jurisdiction, ', ' ORDER BY jurisdiction), '') AS jurisdictions FROM h")
-def q_notes(spark, d):
-    return answer.notes_table(search.by_citation(_records(spark, d), "Wharfage", "3"))
+@query(f"WITH {_CITED} SELECT address, 1.0::DOUBLE AS score, 'looked up by address' AS reason, text FROM cited")
+def q_cite(spark, d):
+    return spark.createDataFrame([(e.address, e.score, e.reasons[0], e.text) for e in _cited(spark, d).extracts], "address string, score double, reason string, text string")
 
 
 _REG = "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.REGISTERS.items()) + " ELSE '' END"
+_NOTES = f"""[CASE WHEN count(*) FILTER (coalesce(currency, '') = '') > 0 THEN count(*) FILTER (coalesce(currency, '') = '') || ' of ' || count(*) || ' extracts carry no date.' END,
+ 'Stated as at: ' || string_agg(DISTINCT nullif(currency, ''), '; ' ORDER BY nullif(currency, '')) || '.', CASE WHEN count(DISTINCT nullif(jurisdiction, '')) > 1 THEN 'Extracts come from several jurisdictions: ' || string_agg(DISTINCT nullif(jurisdiction, ''), ', ' ORDER BY nullif(jurisdiction, '')) || '.' END, '{answer.NOT_ADVICE}']"""
+_KEYS = [("address", "address"), *((c, f"coalesce({c}, '')") for c in ("context", "heading", "text", "jurisdiction")), ("currency", "currency"), ("source", "source")]
+_ONE = "'  {' || chr(10) || " + " || ',' || chr(10) || ".join(f"'   \"{k}\": ' || coalesce(to_json({v})::VARCHAR, 'null')" for k, v in _KEYS) + f""" || ',' || chr(10) || '   "score": 1.0,' || chr(10) || '   "reasons": [' || chr(10) || '    "looked up by address"' || chr(10) || '   ],' || chr(10) || '   "register": ' || to_json({_REG})::VARCHAR || chr(10) || '  }}'"""
+
+
+@query(f"""WITH {_CITED}, n AS (SELECT list_filter({_NOTES}, lambda x: x IS NOT NULL) AS notes FROM cited)
+SELECT '{{' || chr(10) || ' "question": "Flaxmill Sureties s 4",' || chr(10) || ' "found": true,' || chr(10) || ' "extracts": [' || chr(10) || (SELECT string_agg({_ONE}, ',' || chr(10) ORDER BY position) FROM cited) || chr(10) || ' ],' || chr(10) || ' "notes": [' || chr(10) || array_to_string(list_transform(notes, lambda x: '  ' || to_json(x)::VARCHAR), ',' || chr(10)) || chr(10) || ' ]' || chr(10) || '}}' AS packet FROM n""")
+def q_packet_json(spark, d):
+    return spark.createDataFrame([(_cited(spark, d).to_json(),)], "packet string")
+
+
+@query(f"WITH {_CITED} SELECT unnest(list_filter({_NOTES}, lambda x: x IS NOT NULL)) AS note FROM cited")
+def q_notes(spark, d):
+    return spark.createDataFrame([(n,) for n in _cited(spark, d).notes], "note string")
 
 
 @query(f"SELECT jurisdiction, {_REG} AS register, count(*) AS records FROM records GROUP BY 1, 2")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tipstaff", cores: str = "*") -> SparkSession:
@@ -71,10 +74,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/tipstaff/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(spark.sparkContext, "_tipstaff_scratch", None) is not None:
+        spark.sparkContext._tipstaff_scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize writes inside are removed at the end; for work whose result is written or collected there."""
+    sc = spark.sparkContext
+    outer, sc._tipstaff_scratch = getattr(sc, "_tipstaff_scratch", None), []
+    try:
+        yield
+    finally:
+        written, sc._tipstaff_scratch = sc._tipstaff_scratch, outer
+        for path in written:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ordinal(df: DataFrame, by: str, name: str, weight: str | None = None) -> DataFrame:
+    """df with name: the rows (or the sum of weight) before each row in the order of by, from 0.
+
+    Rows are cut into ranges of by and written once; each range is numbered by itself, and only one sum a range
+    reaches the driver. Equal values of by are numbered in any order.
+    """
+    ranged = materialize(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ordinal")
+    one = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("_range").agg(F.sum(one).alias("n")).collect()):
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _start bigint")  # one row a range
+    run = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_in", F.coalesce(F.sum(one).over(run), F.lit(0))).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_start", "_in")
+
+
 def release(spark: SparkSession) -> None:
     """Removes every table written by materialize; for the end of a session, when no result is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tipstaff")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/tipstaff")

@@ -8,11 +8,11 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, strip_tags
-from ..runtime import ship
+from ..runtime import ordinal, ship
 
 PAGES = "path string, page_no int, page_text string, error string"
 
@@ -84,7 +84,6 @@ def skipped(pages: DataFrame) -> DataFrame:
 
 
 def with_doc_ord(pages: DataFrame) -> DataFrame:
-    """pages of readable files with doc_ord (order of paths) and page_id; only the list of paths is numbered globally."""
-    paths = pages.where("error is null").select("path").distinct()
-    order = paths.withColumn("doc_ord", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
-    return pages.where("error is null").join(order, "path").withColumn("page_id", F.col("doc_ord").cast("bigint") * 100_000 + F.col("page_no"))
+    """pages of readable files with doc_ord (order of paths, from 0) and page_id, which no two pages share."""
+    order = ordinal(pages.where("error is null").select("path").distinct(), "path", "doc_ord").withColumn("doc_ord", F.col("doc_ord").cast("int"))
+    return pages.where("error is null").join(order, "path").withColumn("page_id", F.shiftleft(F.col("doc_ord").cast("bigint"), 32) + F.col("page_no"))

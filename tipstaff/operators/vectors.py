@@ -15,15 +15,15 @@ BLOCK = 2_048
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """query_id, {key}, cosine, rank of the k rows most like each query, itself left out; ties by key.
 
-    Queries travel in blocks of BLOCK vectors; every task keeps its best k per query, so what is shuffled is
+    Queries reach the driver and travel in blocks of about BLOCK vectors; every task keeps its best k per query, so what is shuffled is
     k rows per query and batch. Null vectors and vectors of length 0 are near nothing.
     """
     good = queries.where(F.col(vector).isNotNull()).select(key, vector)
-    ids = good.toPandas()  # the stated query set; it is cut into blocks below
+    blocks = max(-(-good.count() // BLOCK), 1)
     base = rows.where(F.col(vector).isNotNull()).select(key, vector)
     out = None
-    for at in range(0, max(len(ids), 1), BLOCK):
-        part = ids.iloc[at : at + BLOCK]
+    for block in range(blocks):
+        part = good.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).toPandas()  # about BLOCK queries at a time
         names = part[key].to_numpy(dtype=np.int64)
         matrix = np.array([np.asarray(v, dtype=np.float64) for v in part[vector]]) if len(part) else np.zeros((0, 1))
         length = np.linalg.norm(matrix, axis=1, keepdims=True)

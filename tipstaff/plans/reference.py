@@ -15,6 +15,7 @@ from ..operators.orphans import latest
 from ..runtime import shared_dir, table
 from ..sources import files
 from ..streaming.ingest import event_windows
+from . import build
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -261,6 +262,23 @@ def q_warnings(spark, d):
     return head.select("doc_ord", F.array_join(found, "; ").alias("warnings"))
 
 
+def _noticed(head: str) -> str:
+    return _CURR.replace("front", head)
+
+
+@query(f"""WITH {PAGES}, {TITLES}, {_HEAD}, wide AS (SELECT doc_ord, string_agg(coalesce(page_text, ''), chr(10) ORDER BY page_no) AS wide FROM (SELECT *, row_number() OVER (PARTITION BY doc_ord ORDER BY page_no) AS n FROM pg) WHERE n <= 60 GROUP BY 1),
+size AS (SELECT doc_ord, sum(length(page_text)) AS n FROM pg GROUP BY 1), guess AS ({SQL["q_title_guess"]}),
+d AS (SELECT doc_ord, path, guess.title, {_PROFILE} AS profile, head, n, coalesce({_noticed("head")}, {_noticed("wide")}) AS currency_text FROM tt JOIN heads USING (doc_ord) JOIN wide USING (doc_ord) JOIN size USING (doc_ord) JOIN guess USING (doc_ord))
+SELECT doc_ord, title, profile, CASE profile {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.JURISDICTION.items())} END AS jurisdiction,
+ try_cast(coalesce(nullif(regexp_extract(head, '{detect.ACT_NUMBER}', 2), ''), nullif(regexp_extract(title, '\\b({detect.YEAR})\\b', 1), '')) AS INT) AS year, nullif(regexp_extract(head, '{detect.ACT_NUMBER}', 1), '') AS act_number, currency_text, try_strptime(currency_text, '%d %B %Y')::DATE AS currency_date,
+ concat_ws('; ', CASE WHEN n = 0 THEN 'no text: the pages may be images' END, CASE WHEN profile = 'generic' THEN 'layout not recognised' END, CASE WHEN regexp_matches(head, '{detect.DISCLAIMED}') THEN 'the source says it is not authorised' END, CASE WHEN currency_text IS NULL THEN 'no currency date found' END) AS warnings FROM d""")
+def q_documents(spark, d):
+    """Everything a document says about itself, put together."""
+    pages = _pages(spark, d).join(_titles(spark, d).select("doc_ord", "path"), "doc_ord")
+    found = build.documents_of(pages)
+    return found.select("doc_ord", "title", "profile", "jurisdiction", "year", "act_number", "currency_text", "currency_date", F.array_join("warnings", "; ").alias("warnings"))
+
+
 # Structure
 
 _T = "lower(trim(coalesce(title, '?')))"
@@ -398,6 +416,16 @@ def q_index_stats(spark, d):
     return index.index_stats(_index(spark, d)).drop("built")
 
 
+@query(f"WITH {INDEX} SELECT token, df, n, round(avg_len, 4) AS avg_len FROM (SELECT token, count(*) AS df FROM post GROUP BY 1), stat")
+def q_saved_index(spark, d):
+    """Written to a folder and read again: the terms and the totals of what is read."""
+    folder = f"{shared_dir(spark)}/tipstaff/saved-{uuid.uuid4().hex}"
+    index.save(_index(spark, d), folder)
+    read = index.load(spark, folder)
+    n, average = read.totals()
+    return read.frequencies().withColumn("n", F.lit(n).cast("bigint")).withColumn("avg_len", F.round(F.lit(average), 4))
+
+
 @query(f"WITH {INDEX} SELECT kind AS value, count(*) AS provisions FROM recs GROUP BY 1")
 def q_by_kind(spark, d):
     return index.count_by(_index(spark, d), "kind")
@@ -488,6 +516,16 @@ def q_related_terms(spark, d):
     return lexicon.related_terms(_index(spark, d), "lighthouse")
 
 
+_TWO = SQL["q_related_terms"].removesuffix("LIMIT 4") + "LIMIT 2"
+
+
+@query(f"WITH a AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, token) AS r FROM ({_TWO})) SELECT token AS term, 'used like lighthouse' AS reason, (SELECT 'Also searched: ' || string_agg(token || ' (used like lighthouse)', ', ' ORDER BY r) FROM a) AS described FROM a")
+def q_wider(spark, d):
+    """A question widened by the company its words keep."""
+    wide = lexicon.expand(_index(spark, d), "lighthouse", wider=True)
+    return spark.createDataFrame([(t, wide.reasons[t], wide.describe()) for t in wide.added], "term string, reason string, described string")
+
+
 # Threads
 
 _REF, _ACTREF = threads.SECTION.pattern, threads.ACT.pattern
@@ -599,6 +637,22 @@ def q_cite(spark, d):
     return spark.createDataFrame([(e.address, e.score, e.reasons[0], e.text) for e in _cited(spark, d).extracts], "address string, score double, reason string, text string")
 
 
+_RULES = "\n".join(answer.Packet("").as_prompt().split("\n")[3:])
+
+
+@query(f"""WITH {_CITED} SELECT 'Question: Flaxmill Sureties s 4' || chr(10) || chr(10) || 'Provisions:' || chr(10) || string_agg('[' || r || '] ' || address || ' (' || coalesce(jurisdiction, '') || ', as at ' || coalesce(nullif(currency, ''), 'unknown date') || '): ' || coalesce(text, ''), chr(10) ORDER BY position) || chr(10)
+ || replace(replace('{_dq(_RULES)}', 'an address above', arg_min(address, position)), 'the official register of the jurisdiction', coalesce(string_agg(DISTINCT nullif({{reg}}, ''), ', ' ORDER BY nullif({{reg}}, '')), 'the official register of the jurisdiction')) AS prompt FROM (SELECT *, row_number() OVER (ORDER BY position) AS r FROM cited)""".replace("{reg}", "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.REGISTERS.items()) + " ELSE '' END"))
+def q_prompt(spark, d):
+    return spark.createDataFrame([(_cited(spark, d).as_prompt(),)], "prompt string")
+
+
+@query("SELECT false AS found, 'Nothing in the index answers: ' || q || chr(10) || 'No answer is given rather than one without a source.' AS said FROM (VALUES ('zebra xylophone'), ('the of and'), ('')) t(q)")
+def q_refusal(spark, d):
+    """Questions of which no word stands in the index."""
+    packets = [answer.ask(_index(spark, d), q) for q in ("zebra xylophone", "the of and", "")]
+    return spark.createDataFrame([(p.found, p.as_text()) for p in packets], "found boolean, said string")
+
+
 _REG = "CASE jurisdiction " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.REGISTERS.items()) + " ELSE '' END"
 _NOTES = f"""[CASE WHEN count(*) FILTER (coalesce(currency, '') = '') > 0 THEN count(*) FILTER (coalesce(currency, '') = '') || ' of ' || count(*) || ' extracts carry no date.' END,
  'Stated as at: ' || string_agg(DISTINCT nullif(currency, ''), '; ' ORDER BY nullif(currency, '')) || '.', CASE WHEN count(DISTINCT nullif(jurisdiction, '')) > 1 THEN 'Extracts come from several jurisdictions: ' || string_agg(DISTINCT nullif(jurisdiction, ''), ', ' ORDER BY nullif(jurisdiction, '')) || '.' END, '{answer.NOT_ADVICE}']"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..runtime import table
@@ -40,6 +41,25 @@ SQL = {
     "p1_terms": _P1 + f"SELECT position, term, tf, df, cf, round(CASE WHEN a * (b + d) >= b * (a + c) THEN greatest({_G}, 0) ELSE -greatest({_G}, 0) END, 3) AS llr FROM t",
 }
 
+# Every pair of distinct sets is met through every run they share: for small tables.
+_P3 = """
+WITH w AS (SELECT position, regexp_extract_all(lower(coalesce(act, '') || ' ' || text), '[a-z0-9]+') AS l FROM records WHERE len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) >= 45),
+f AS (SELECT DISTINCT position, l[g] || ' ' || l[g + 1] || ' ' || l[g + 2] AS run FROM (SELECT position, l, unnest(generate_series(1, len(l) - 2)) AS g FROM w)),
+c AS (SELECT position, count(*) AS size, string_agg(run, '|' ORDER BY run) AS name FROM f GROUP BY 1),
+k AS (SELECT name, min(position) AS class_id, any_value(size) AS size, count(*) AS n FROM c GROUP BY 1),
+m AS (SELECT position, class_id, n FROM c JOIN k USING (name)),
+r AS (SELECT class_id, run FROM f JOIN k ON class_id = position),
+s AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS met FROM r a JOIN r b ON a.run = b.run AND a.class_id < b.class_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM s JOIN k x ON x.class_id = a JOIN k y ON y.class_id = b WHERE met >= 0.6 * (x.size + y.size - met))
+"""
+SQL["p3_found"] = _P3 + """SELECT least(x.position, y.position) AS position_a, greatest(x.position, y.position) AS position_b FROM e JOIN m x ON x.class_id = a JOIN m y ON y.class_id = b
+UNION ALL SELECT x.position, y.position FROM m x JOIN m y ON x.class_id = y.class_id AND x.position < y.position"""
+SQL["p3_groups"] = _P3 + """, n AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
+SELECT position, class_id, n - 1 AS copies, coalesce(links, 0) AS links FROM m LEFT JOIN n USING (class_id)"""
+SQL["p6_limits"] = "SELECT spec_name, capacity_tokens, 0 AS overfull, 0 AS shared_slots, 0 AS split, 0 AS torn, (SELECT count(*) FROM documents WHERE text <> '') AS documents FROM packing_specs"
+SQL["p7_limits"] = "SELECT mix_name, source, target_share, max_repeats, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS met, 0 AS too_often FROM mix_targets"
+
+
 def p8_found(spark, d):
     return sentences(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -88,6 +108,27 @@ def _p2(spark, d):
     return map_values(edges, "edge_ord", "target_act", register)
 
 
+def p6_limits(spark, d):
+    """What the capacities ask of the windows: none too full, no document split that fits one, every token placed once."""
+    placed, caps = p6_windows(spark, d), spark.createDataFrame(_specs(spark, d), "spec_name string, capacity_tokens int")
+    full = placed.groupBy("spec_name", "window_no").agg(F.sum("tokens").alias("tokens"), F.count_distinct("slot").alias("slots"), F.count("*").alias("rows"))
+    full = full.join(F.broadcast(caps), "spec_name").groupBy("spec_name", "capacity_tokens").agg(F.count_if(F.expr("tokens > capacity_tokens")).alias("overfull"), F.count_if(F.expr("slots <> rows")).alias("shared_slots"))
+    whole = placed.groupBy("spec_name", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("tokens")).alias("last"))
+    whole = whole.join(F.broadcast(caps), "spec_name").groupBy("spec_name").agg(F.count_if(F.expr("pieces > 1 and tokens <= capacity_tokens")).alias("split"), F.count_if(F.expr("last <> tokens")).alias("torn"), F.count("*").alias("documents"))
+    return full.join(whole, "spec_name")
+
+
+def p7_limits(spark, d):
+    """Per target: whether its share is met (within 0.02, of the shares of sources that have texts), and documents repeated too often."""
+    drawn, targets = _mix(spark, d)
+    report = mix_report(drawn, "doc_id", targets)
+    held = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy("mix_name"))
+    met = F.when(F.col("tokens") > 0, F.abs(F.col("actual_share") - F.col("target_share") / held) <= 0.02).otherwise(F.lit(False))
+    often = drawn.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n")).join(F.broadcast(spark.createDataFrame(targets, "mix_name string, source string, _p double, cap int")), ["mix_name", "source"])
+    often = often.groupBy("mix_name", "source").agg(F.count_if(F.expr("n > cap")).alias("too_often"))
+    return report.withColumn("met", met).join(often, ["mix_name", "source"], "left").select("mix_name", "source", "target_share", "max_repeats", "met", F.coalesce("too_often", F.lit(0)).alias("too_often"))
+
+
 def p2_mapped(spark, d):
     """Every typed edge once, with the entry meant."""
     return _p2(spark, d).drop("candidates")
@@ -119,4 +160,4 @@ def p4_repaired(spark, d):
     return _scans(spark, d, True).select("table_name", "row_id", F.size("edits").alias("edits"), "repaired_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_candidates": p2_candidates, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_windows": p6_windows, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_mapped": p2_mapped, "p2_candidates": p2_candidates, "p2_unlisted": p2_unlisted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_windows": p6_windows, "p6_report": p6_report, "p6_limits": p6_limits, "p7_mix": p7_mix, "p7_report": p7_report, "p7_limits": p7_limits, "p8_found": p8_found, "p8_sentences": p8_sentences}

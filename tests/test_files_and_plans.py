@@ -48,6 +48,35 @@ def test_build_ask_and_cli(spark, tmp_path, capsys):
     assert cli.main(["--index-dir", str(tmp_path / "no"), "sources"]) == 1
 
 
+def test_pdf_pages(monkeypatch):
+    """With the optional package in place (here a stand-in): a page that cannot be read is empty, the others stay."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text == "bad":
+                raise ValueError("broken page")
+            return self.text
+
+    class Reader:
+        def __init__(self, stream):
+            if stream.read() == b"locked":
+                raise ValueError("File has not been decrypted")
+            self.pages = [Page("one"), Page("bad"), Page(None)]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.pdf_pages(b"x") == ["one", "", ""]
+    with pytest.raises(ValueError):
+        files.pdf_pages(b"locked")
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError, match="optional package"):
+        files.pdf_pages(b"x")
+
+
 def test_ordinal_and_page_ids(spark):
     df = spark.createDataFrame([(f"p{i:03}", i % 5) for i in range(200)], "path string, n int").repartition(7)
     got = [(r.path, r.k, r.s) for r in ordinal(ordinal(df, "path", "k"), "path", "s", "n").collect()]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_tokens
 from ..runtime import materialize, ordinal
@@ -104,6 +106,32 @@ def load(spark: SparkSession, path: str) -> Index:
     return out
 
 
+TABLES = ["records", "postings", "terms", "sources", "skipped"]
+
+
+def export_json(index: Index, path: str) -> None:
+    """Every table as JSON lines below path, one object a row, with the schemas and the time of building beside them."""
+    schemas = []
+    for name in TABLES:
+        df = index.frequencies() if name == "terms" else getattr(index, name)
+        if df is not None:
+            df.write.mode("overwrite").json(f"{path}/{name}")
+            schemas.append((name, df.schema.json(), index.built, FORMAT))
+    spark = index.records.sparkSession
+    spark.createDataFrame(schemas, "name string, schema string, built string, format int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def import_json(spark: SparkSession, path: str) -> Index:
+    """The index of an export; a field that is absent is null."""
+    held, built = {}, ""
+    for r in spark.read.schema("name string, schema string, built string, format int").json(f"{path}/meta").collect():  # a row a table
+        if r["format"] != FORMAT:
+            raise ValueError(f"the export at {path} has format {r['format']}, not {FORMAT}")
+        held[r["name"]] = spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).json(f"{path}/{r['name']}")
+        built = r["built"]
+    return Index(**held, built=built)
+
+
 def index_stats(index: Index) -> DataFrame:
     """provisions, acts, distinct_terms and the time of building (built) in one row."""
     a = index.records.agg(F.count(F.lit(1)).alias("provisions"), F.count_distinct("act").alias("acts"))

@@ -42,7 +42,7 @@ def lines_of(pages: DataFrame) -> DataFrame:
 def banner(line: Column, title: Column) -> Column:
     """A line that only repeats the document's title, alone or beside a page number or a part."""
     low, t = F.lower(line), F.lower(F.trim(F.coalesce(title, F.lit("?"))))
-    forms = (F.trim(F.regexp_replace(low, r"^[ .,]+|[ .,]+$", "")), low, F.regexp_replace(low, r"^\d{1,4} ", ""), F.regexp_replace(low, r" \d{1,4}$", ""), F.regexp_replace(low, r"^part \d+ ", ""), F.regexp_replace(low, r"[ .,]+$", ""))
+    forms = (F.trim(F.regexp_replace(low, r"^[ .,]+|[ .,]+$", "")), low, F.regexp_replace(low, r"^\d{1,4} ", ""), F.regexp_replace(low, r" \d{1,4}$", ""), F.regexp_replace(low, r"^part \d+ ", ""), F.regexp_replace(low, r"[ .,]+$", ""), F.regexp_replace(low, r" act no\. ?\d+$", ""))
     return reduce(lambda x, y: x | y, [f == t for f in forms]) | forms[0].isin(COVER)
 
 

@@ -282,7 +282,7 @@ def q_documents(spark, d):
 # Structure
 
 _T = "lower(trim(coalesce(title, '?')))"
-_BANNER = f"(lower(line) = {_T} OR regexp_replace(lower(line), '^\\d{{1,4}} ', '') = {_T} OR regexp_replace(lower(line), ' \\d{{1,4}}$', '') = {_T} OR regexp_replace(lower(line), '^part \\d+ ', '') = {_T} OR regexp_replace(lower(line), '[ .,]+$', '') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') IN ({', '.join(repr(c) for c in structure.COVER)}))"
+_BANNER = f"(lower(line) = {_T} OR regexp_replace(lower(line), '^\\d{{1,4}} ', '') = {_T} OR regexp_replace(lower(line), ' \\d{{1,4}}$', '') = {_T} OR regexp_replace(lower(line), '^part \\d+ ', '') = {_T} OR regexp_replace(lower(line), '[ .,]+$', '') = {_T} OR regexp_replace(lower(line), ' act no\\. ?\\d+$', '') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') = {_T} OR regexp_replace(lower(line), '^[ .,]+|[ .,]+$', '', 'g') IN ({', '.join(repr(c) for c in structure.COVER)}))"
 _MARKS = "CASE lower(coalesce(profile, '')) WHEN 'cth' THEN regexp_matches(line, '{}') WHEN 'qld' THEN regexp_matches(line, '{}') ELSE regexp_matches(line, '{}') END".format(*(detect.PROFILES[k].furniture for k in ("cth", "qld", "generic")))
 _UPPER = f"length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Z]', '', 'g')) > 0.8 * length(regexp_replace(regexp_extract(line, '{structure.SECTION}', 2), '[^A-Za-z]', '', 'g'))"
 _KIND = (
@@ -426,6 +426,14 @@ def q_saved_index(spark, d):
     return read.frequencies().withColumn("n", F.lit(n).cast("bigint")).withColumn("avg_len", F.round(F.lit(average), 4))
 
 
+@query("SELECT position, text, address, act, kind, section, heading, currency, page FROM records WHERE length(trim(text)) >= 12")
+def q_json_index(spark, d):
+    """The index as JSON lines, and back."""
+    folder = f"{shared_dir(spark)}/tipstaff/json-{uuid.uuid4().hex}"
+    index.export_json(_index(spark, d), folder)
+    return index.import_json(spark, folder).records.select("position", "text", "address", "act", "kind", "section", "heading", "currency", "page")
+
+
 @query(f"WITH {INDEX} SELECT kind AS value, count(*) AS provisions FROM recs GROUP BY 1")
 def q_by_kind(spark, d):
     return index.count_by(_index(spark, d), "kind")

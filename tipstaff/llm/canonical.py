@@ -53,6 +53,7 @@ MISREAD = str.maketrans({"l": "1", "i": "1", "|": "1", "!": "1", "o": "0", "s":
 _TITLE = re.compile(r"^(?P<stem>.*\S)\s+(?P<kind>act|regulation|rules|code|ordinance)(?:\s+\((?P<jur>[^)]*)\))?(?:\s+(?P<year>\d{4}))?$")
 _TOKEN = re.compile(r"(?:[^\W\d_]\.){1,}[^\W\d_](?![^\W\d_])\.?|'?[^\W_]+(?:[';][^\W_]+)*\.?|&")
 _LEAD = re.compile(r"^\W*(?:s|ss|sec|section|sections|reg|cl)\.?\s*\d+[a-z]?(?:\(\w+\))*\s*(?:,|of)\s*", re.I)
+_SWAPPED, _STUCK = re.compile(r"\b[a-z][A-Z]{2}"), re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 _BRACKET = re.compile(r"[(\[]\s*([A-Za-z.]{2,5})\s*[)\]]")
 
 
@@ -159,6 +160,7 @@ class Entries:
         self.places = sorted({e[3] for e in self.ids if e[3]})
         self.near = lru_cache(200_000)(self._near)
         self.kind_of = lru_cache(50_000)(self._kind_of)
+        self.joins = lru_cache(50_000)(self._joins)
         self.resolve = lru_cache(200_000)(self._resolve)
 
     def _near(self, token: str, dotted: bool) -> dict[str, float]:
@@ -181,7 +183,7 @@ class Entries:
 
     def _joins(self, token: str) -> bool:
         """"and", also with one slip, unless that is a word of the list."""
-        return token == "&" or token.isalpha() and token not in self.words and bool(self.joiner.find(token, 1, cut=False))
+        return token == "&" or 2 <= len(token) <= 4 and token.isalpha() and token not in self.words and bool(self.joiner.find(token, 1, cut=False))
 
     def _place(self, code: str) -> str | None:
         """The jurisdiction of the list whose letters, from the first on, a code keeps in their order."""
@@ -209,7 +211,7 @@ class Entries:
         if typed in self.exact:
             return "exact", self.exact[typed], 0.0, [(self.exact[typed], 0.0)]
         text = unicodedata.normalize("NFKC", typed)
-        if sum(c.isupper() for c in text) > sum(c.islower() for c in text) and re.search(r"\b[a-z][A-Z]{2}", text):
+        if _SWAPPED.search(text) and sum(c.isupper() for c in text) > sum(c.islower() for c in text):
             text = text.swapcase()
         hint = None
         for m in _BRACKET.finditer(text):
@@ -219,7 +221,7 @@ class Entries:
                 hint = place or hint
                 text = text.replace(m[0], " ")
         text = _LEAD.sub("", text)
-        text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text).lower().replace("_", " ").replace("’", "'")
+        text = _STUCK.sub(" ", text).lower().replace("_", " ").replace("’", "'")
         tokens = [(t.rstrip("."), t.endswith(".")) for t in _TOKEN.findall(text)]
         year, short, words, places, dated = "", "", [], [], -1
         for place, (t, dotted) in enumerate(tokens):
@@ -232,7 +234,7 @@ class Entries:
                 if len(digits) == 2 and (bare.isdigit() or t.startswith("'")):
                     short, dated = short or digits, place
                     continue
-            if not t or self._joins(t):
+            if not t or self.joins(t):
                 continue
             words.append((t, dotted))
             places.append(place)

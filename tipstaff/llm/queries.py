@@ -56,8 +56,8 @@ SQL["p3_found"] = _P3 + """SELECT least(x.position, y.position) AS position_a, g
 UNION ALL SELECT x.position, y.position FROM m x JOIN m y ON x.class_id = y.class_id AND x.position < y.position"""
 SQL["p3_groups"] = _P3 + """, n AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
 SELECT position, class_id, n - 1 AS copies, coalesce(links, 0) AS links FROM m LEFT JOIN n USING (class_id)"""
-SQL["p6_limits"] = "SELECT spec_name, capacity_tokens, 0 AS overfull, 0 AS shared_slots, 0 AS split, 0 AS torn, (SELECT count(*) FROM documents WHERE text <> '') AS documents FROM packing_specs"
-SQL["p7_limits"] = "SELECT mix_name, source, target_share, max_repeats, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS met, 0 AS too_often FROM mix_targets"
+SQL["p6_limits"] = "SELECT spec_name, capacity_tokens, 0::BIGINT AS overfull, 0::BIGINT AS shared_slots, 0::BIGINT AS split, 0::BIGINT AS torn, (SELECT count(*) FROM documents WHERE text <> '') AS documents FROM packing_specs"
+SQL["p7_limits"] = "SELECT mix_name, source, target_share, max_repeats, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS met, 0::BIGINT AS too_often FROM mix_targets"
 
 
 def p8_found(spark, d):

@@ -187,3 +187,46 @@ def test_marks_of_a_collection_are_learned(spark):
     assert marks.lines == {"licensed text no. # <@>", "issued # # #"}
     assert sr.furniture(rows[30][3].split("\n"), "Kelp Works Act 1951", True, marks) == [True, False, False]
     assert sr.furniture(rows[4][3].split("\n"), docs.collect()[4].title, True, marks) == [True, False, True]
+
+
+def test_everything_learned_comes_from_all_words(spark):
+    """More frequent unknown words than any bound on their number do not hide what rarer ones show."""
+    right = "maximum common member remain harbour tribunal".split()
+    letters = "zqxjkvwbdfghnpst"
+    junk = ["zq" + "".join(letters[n >> s & 15] for s in (0, 4, 8, 12)) for n in range(20_500)]
+    rows = [(" ".join(junk),)] * 2 + [(" ".join(right),)] * 60 + [("remain harbour tribunal maximurn cornmon mernber a",)]
+    known, editor, _ = sr.learn(spark.createDataFrame(rows, "t string"), "t")
+    assert set(known) == set(right) and editor.table == {("rn", "m"): 3}
+    assert sr.Reader(known, editor).fix("rernain") == "remain"
+
+
+def test_words_taken_as_right_are_sought_among_all(spark, monkeypatch):
+    monkeypatch.setattr(sr, "WORDS_A_TASK", 3)
+    known = {w: 2_000 for w in "tender tunnel title tenant turbine statement court after".split()}
+    unknown = {w.replace("t", "f", 1): 2 for w in known} | {"fender": 900, "fenanf": 30, "zebra": 90, "": 50}
+    editor = sr.Editor({("f", "t"): 8})
+    editor.train(known)
+    df = spark.createDataFrame([*unknown.items(), ("tender", 7)], "word string, n bigint").repartition(5)
+    assert sr.all_right_by_count(df, known, editor) == sr.right_by_count(unknown, known, editor) == {"fender"}
+    more = known | {w: 4_000 for w in "labels market locals reading".split()}
+    read = {w: 3 for w in "tenfer funnel fitle labcls markct rcading local".split()}
+    df = spark.createDataFrame(list(read.items()), "word string, n bigint").repartition(3)
+    assert sr.all_confusions(df, more) == sr.confusions(read, more) == {("f", "t"): 2, ("c", "e"): 3}
+
+
+def test_editor_is_trained_on_every_damaged_word_and_every_break(monkeypatch):
+    monkeypatch.setattr(sr, "ROUNDS", 1)
+    known = {f"{a}e{b}{c}e{d}": 9 for a in "bdfgklmn" for b in "lnrstvwz" for c in "bdgkmptv" for d in "nr"}
+    table = {(a, "e"): 5 for a in "coauixy346890!"}
+    editor, seen = sr.Editor(table), set()
+    monkeypatch.setattr(sr.Editor, "features", staticmethod(lambda w, i, f=sr.Editor.features: seen.add(w) or f(w, i)))
+    editor.train(known)
+    damaged = {w[:i] + a + w[i + len(b) :] for w in known for a, b in table for i in range(len(w)) if w.startswith(b, i)}
+    assert len(damaged) > 24_000 and damaged <= seen
+    monkeypatch.undo()
+    words_ = "harbour lighthouse penalty mooring".split()
+    gaps, small = set(), sr.Editor({("c", "e"): 9})
+    monkeypatch.setattr(sr.Reader, "gap_features", lambda self, a, b, last, f=sr.Reader.gap_features: gaps.add((a, b, last)) or f(self, a, b, last))
+    small.train_gaps({w: 9 for w in words_})
+    assert {(w[:i] + "-", w[i:], last) for w in words_ for i in range(2, len(w) - 1) for last in (True, False)} <= gaps
+    assert {("ligh-", "thousc", True), ("lig-", "hthousc", True)} <= gaps

@@ -6,11 +6,10 @@ Three steps, each a pass over the pages or a join of small rows; whole texts thr
    batch and summed; words with at least SHARE of all occurrences are known. By that definition there are
    at most 1/SHARE of them, whatever the size of the collection, and only they go to every task.
 2. Editor. What the collection's own unknown words differ by from known ones ("rn" for "m", "!" for "i", a letter
-   lost or added) gives the confusions, each admitted by its own evidence; they are learned from at most `sample`
-   unknown words (the most frequent; a bound on training, not on what is repaired). Known words as they are and
-   known words damaged by these confusions (at most `examples`) train an averaged perceptron that scores for every
-   character keep, replace, delete or insert, and for every line end, break mark or blank between two parts join,
-   join with the hyphen, or split. A reading is taken only if it scores above keeping the word and is a known word:
+   lost or added) gives the confusions, each admitted by its own evidence; all unknown words are looked at, in tasks.
+   Known words as they are and damaged by these confusions in every way train an averaged perceptron that scores for
+   every character keep, replace, delete or insert, and for every line end, break mark or blank between two parts
+   join, join with the hyphen, or split. A reading is taken only if it scores above keeping the word and is a known word:
    that exact check, and the choice to keep, leave rare but right words as they are. So does the count: an unknown
    word far more frequent than misreadings of its kind would make it is taken as right.
 3. Furniture. Lines at page ends are masked (the document's title, numbers, months); what recurs there in many
@@ -30,8 +29,9 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -46,8 +46,8 @@ from . import runs
 SHARE, RATIO = 5e-6, 20
 #: Words frequent enough to learn the confusions from.
 SURE = 2e-5
-#: Unknown words (the most frequent) that the confusions are learned from, and damaged words the editor is trained on.
-SAMPLE, EXAMPLES, ROUNDS = 20_000, 24_000, 15
+#: Most rounds of the editor's training, and unknown words that one task looks at.
+ROUNDS, WORDS_A_TASK = 15, 5_000
 #: A masked line at a page's end that stands there in this share of the documents is furniture.
 RECURS = 0.02
 #: Longest masked line that can be a page mark: copies of a page have text lines in common too, which are longer.
@@ -213,24 +213,22 @@ def unknown_counts(df: DataFrame, column: str, known: frozenset[str]) -> DataFra
     return df.select(df[column].cast("string").alias("t")).mapInArrow(per_batch, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def confusions(unknown: dict[str, int], known: dict[str, int]) -> dict[tuple[str, str], int]:
-    """(read, right) parts by which unknown words differ from one known word, with the number of different words.
+def evidence(known: dict[str, int]) -> Callable[[str, int], tuple[str, str, str, bool] | None]:
+    """What an unknown word and its count show, if anything: the part read, the right one, the known word, whether before its end.
 
-    Each is admitted by its own evidence, however common others are: two or more different words. Between letters,
-    torn parts and right but rare inflections look like confusions too. So there an unknown word that begins or ends
-    a known one is no evidence, and one of the words must be misread before its end, where no inflection differs.
+    Between letters, torn parts and right but rare inflections look like confusions too. So there an unknown word
+    that begins or ends a known one is no evidence.
     """
     parts = {p for w in known for i in range(1, len(w)) for p in (w[:i], w[i:])}
     places: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for w in known:
+    for w in sorted(known):
         if len(w) >= 5:
             for i in range(len(w)):
                 for m in (0, 1, 2):
                     if i + m <= len(w):
                         places[w[:i], w[i + m :]].append(w)
-    seen: dict[tuple[str, str], set[str]] = defaultdict(set)
-    inside: set[tuple[str, str]] = set()
-    for u in unknown:
+
+    def shown(u: str, count: int) -> tuple[str, str, str, bool] | None:
         best = None
         for i in range(len(u)):
             for m in (1, 2):
@@ -243,16 +241,50 @@ def confusions(unknown: dict[str, int], known: dict[str, int]) -> dict[tuple[str
                     replaced = k >= 1 and a[0] != b[0] and a[-1] != b[-1]
                     if (replaced or m == 1 and k == 0 or m == 1 and k == 2 and a == b[1]) and (best is None or (len(a) + len(b), -known[w]) < best[0]):
                         best = ((len(a) + len(b), -known[w]), a, b, w, i + m < len(u), replaced or 0 < i and i + m < len(u))
-        if best and known[best[3]] >= 10 * unknown[u]:
-            pair = best[1], best[2]
-            letters = pair[0].isascii() and pair[0].isalpha()
-            if not (letters and u in parts) and best[5]:
-                seen[pair].add(best[3])
-                if best[4] or not letters:
-                    inside.add(pair)
-    # A letter lost or added also tells inflections apart, so that takes a further word.
+        if best and known[best[3]] >= 10 * count and best[5]:
+            letters = best[1].isascii() and best[1].isalpha()
+            if not (letters and u in parts):
+                return best[1], best[2], best[3], best[4] or not letters
+        return None
+
+    return shown
+
+
+def admitted(seen: dict[tuple[str, str], tuple[int, bool]]) -> dict[tuple[str, str], int]:
+    """Of (read, right) with the number of different known words and whether one is misread before its end: those with evidence enough.
+
+    Each is admitted by its own evidence, however common others are: two or more different words, one of them misread
+    before its end, where no inflection differs. A letter lost or added also tells inflections apart, so that takes a
+    further word.
+    """
     least = lambda k: 3 if k[0].isalpha() and (not k[1] or k[1][1:] == k[0]) else 2
-    return {k: len(v) for k, v in seen.items() if len(v) >= least(k) and k in inside}
+    return {k: n for k, (n, inside) in seen.items() if n >= least(k) and inside}
+
+
+def confusions(unknown: dict[str, int], known: dict[str, int]) -> dict[tuple[str, str], int]:
+    """(read, right) parts by which unknown words differ from one known word, with the number of different words."""
+    shown, seen, inside = evidence(known), defaultdict(set), set()
+    for u, n in unknown.items():
+        if got := shown(u, n):
+            seen[got[:2]].add(got[2])
+            if got[3]:
+                inside.add(got[:2])
+    return admitted({k: (len(v), k in inside) for k, v in seen.items()})
+
+
+def all_confusions(unknown: DataFrame, known: dict[str, int]) -> dict[tuple[str, str], int]:
+    """confusions of all rows (word, n) of a collection: words are looked at in tasks, pairs that two words show are collected."""
+    shared = unknown.sparkSession.sparkContext.broadcast(known)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = evidence(shared.value)
+        for batch in batches:
+            found = [x for u, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := shown(u, n))]
+            cols = [pa.array([x[k] for x in found], pa.string() if k < 3 else pa.bool_()) for k in range(4)]
+            yield pa.record_batch(cols, names=["read", "meant", "word", "inside"])
+
+    pairs = unknown.mapInArrow(per_batch, "read string, meant string, word string, inside boolean").groupBy("read", "meant").agg(F.count_distinct("word").alias("n"), F.max("inside").alias("inside"))
+    return admitted({(r["read"], r["meant"]): (r["n"], r["inside"]) for r in pairs.where("n > 1").collect()})
 
 
 class Editor:
@@ -283,7 +315,8 @@ class Editor:
         get = self.weights.get
         return sum(get((n, f, label), 0.0) for n, f in enumerate(feats))
 
-    def train(self, known: dict[str, int], seed: int = 11, examples: int = EXAMPLES) -> None:
+    def train(self, known: dict[str, int], seed: int = 11) -> None:
+        """Learns from every known word as it is and damaged in every way."""
         rng = random.Random(seed)
         words = sorted(w for w in known if len(w) >= 3)
         if not words or not self.table:
@@ -291,16 +324,15 @@ class Editor:
         by_right: dict[str, list[str]] = defaultdict(list)
         for a, b in sorted(self.table):
             by_right[b].append(a)
-        # Every known word as it is, and damaged in every way; of these at most `examples`.
-        damaged = []
-        for w in words:
+        # A case is one number, as there may be millions: the word, the place, how many characters were replaced, and by what (0: none were).
+        longest, most = max(map(len, words)) + 1, max(map(len, by_right.values())) + 1
+        cases = array("Q", (x * longest * 3 * most for x in range(len(words))))
+        for x, w in enumerate(words):
             for i in range(len(w)):
                 for m in (0, 1, 2):
                     if i + m <= len(w) and (m or i):
-                        damaged += [(w[:i] + a + w[i + m :], {i: (len(a), w[i : i + m])}) for a in by_right.get(w[i : i + m], ()) if m or w[i - 1] != a]  # of two equal letters the first is the added one
-        if len(damaged) > examples:
-            damaged = rng.sample(damaged, examples)
-        cases = [(w, {}) for w in words] + damaged
+                        at = ((x * longest + i) * 3 + m) * most
+                        cases.extend(at + k for k, a in enumerate(by_right.get(w[i : i + m], ()), 1) if m or w[i - 1] != a)  # of two equal letters the first is the added one
         total: dict[tuple, float] = defaultdict(float)
         stamp: dict[tuple, int] = defaultdict(int)
         weights: dict[tuple, float] = defaultdict(float)
@@ -309,7 +341,14 @@ class Editor:
         for _ in range(ROUNDS):
             rng.shuffle(cases)
             missed = 0
-            for w, edits in cases:
+            for case in cases:
+                case, k = divmod(case, most)
+                case, m = divmod(case, 3)
+                x, i = divmod(case, longest)
+                w, edits = words[x], {}
+                if k:
+                    a, b = by_right[w[i : i + m]][k - 1], w[i : i + m]
+                    w, edits = w[:i] + a + w[i + m :], {i: (len(a), b)}
                 covered = {i + d for i, (n, _) in edits.items() for d in range(1, n)}
                 for i in range(len(w)):
                     options = self.options(w, i)
@@ -358,42 +397,54 @@ class Editor:
         """What to do between two parts; split where nothing else scores more."""
         return max(options, key=lambda o: (sum(self.gaps.get((f, o), 0.0) for f in feats), o == SPLIT))
 
-    def train_gaps(self, known: dict[str, int], seed: int = 13, most: int = 4_000) -> None:
+    def train_gaps(self, known: dict[str, int], seed: int = 13) -> None:
         """Learns the labels of gaps from known words broken in every way, whole and misread, and from words that stand side by side."""
         rng = random.Random(seed)
         reader, words = Reader(known, self), sorted(w for w in known if len(w) >= 4 and w.isalpha())
         right: dict[str, list[str]] = defaultdict(list)
         for a, b in sorted(self.table):
             right[b].append(a)
-        examples: list[tuple[str, str, bool, str]] = []
-        for w in rng.sample(words, min(most, len(words))):
-            i = rng.randrange(2, len(w) - 1)
-            x, y = w[:i], w[i:]
-            alone = x in known and y in known
-            examples += [(x + "-", y, True, JOIN), (x + "-", y, False, JOIN), (x, y, True, SPLIT if alone else JOIN), (x, y, False, SPLIT if alone else JOIN)]
-            spots = [(k, b) for k in range(len(y)) for m in (1, 2) if (b := y[k : k + m]) in right and k + m <= len(y)]
-            if spots:
-                k, b = rng.choice(spots)
-                examples.append((x + "-", y[:k] + rng.choice(right[b]) + y[k + len(b) :], True, JOIN))
-            other = rng.choice(words)
-            examples += [(w, other, False, SPLIT), (w, other, True, SPLIT)]
-            if w + other not in known:
-                examples += [(w + "-", other, True, HYPHEN), (w + "-", other, False, HYPHEN)]
-            for i in range(2, len(w) - 1):  # a word of two words: what parts it is told by the mark alone
-                if w[:i] in known and w[i:] in known:
-                    examples += [(w[:i] + "-", w[i:], last, JOIN) for last in (True, False)] * 4 + [(w[:i], w[i:], last, SPLIT) for last in (True, False)] * 4
+        others = rng.sample(words, len(words))
+        # Parts that show the same are one case, however many there are.
+        cases: dict[tuple, int] = {}
+        examples = array("L")
+
+        def add(a: str, b: str, last: bool, label: str, times: int = 1) -> None:
+            feats, held = reader.gap_features(a, b, last)
+            if label == SPLIT or label in held:
+                examples.extend([cases.setdefault((feats, (SPLIT, *held), label), len(cases))] * times)
+
+        for n, w in enumerate(words):
+            for i in range(2, len(w) - 1):
+                x, y = w[:i], w[i:]
+                alone = x in known and y in known
+                for last in (True, False):
+                    add(x + "-", y, last, JOIN)
+                    add(x, y, last, SPLIT if alone else JOIN)
+                    if alone:  # a word of two words: what parts it is told by the mark alone
+                        add(x + "-", y, last, JOIN, 4)
+                        add(x, y, last, SPLIT, 4)
+                for k in range(len(y)):
+                    for m in (1, 2):
+                        for a in right.get(y[k : k + m], ()) if k + m <= len(y) else ():
+                            add(x + "-", y[:k] + a + y[k + m :], True, JOIN)
+                other = others[(n + i) % len(words)]  # beside as many other words as it has breaks
+                for last in (True, False):
+                    add(w, other, last, SPLIT)
+                    if w + other not in known:
+                        add(w + "-", other, last, HYPHEN)
+            reader.read.clear()
         for w in sorted(w for w in known if "-" in w.strip("-")):
             x, y = w.split("-", 1)
-            examples.append((x + "-", y, True, HYPHEN))
+            add(x + "-", y, True, HYPHEN)
         total, weights, at = defaultdict(float), defaultdict(float), 0
         self.gaps = weights
+        kinds = list(cases)
         for _ in range(6):
             rng.shuffle(examples)
-            for a, b, last, label in examples:
-                feats, held = reader.gap_features(a, b, last)
-                if label != SPLIT and label not in held:
-                    continue
-                guess = self.gap(feats, [SPLIT, *held])
+            for case in examples:
+                feats, options, label = kinds[case]
+                guess = self.gap(feats, options)
                 at += 1
                 if guess != label:
                     for f in feats:
@@ -559,32 +610,64 @@ def paragraphs(lines: list[str], drop: list[bool], stream: list[tuple[str, int,
     return "\n\n".join(" ".join(p) for p in out)
 
 
-def right_by_count(unknown: dict[str, int], known: dict[str, int], editor: Editor) -> frozenset[str]:
-    """Unknown words seen far more often than misreadings of a known word would make them: 20 times, and 20 more."""
-    reader, held, seen = Reader(known, editor), [], Counter()
-    for w in unknown:
-        got = reader.fix(w)
-        for i in range(len(w)) if got in known else ():
-            for n, b in editor.options(w, i):
-                if b is not None and w[:i] + b + w[i + n :] == got:
-                    held.append((w, got, (w[i : i + n], b)))
-                    seen[w[i : i + n], b] += unknown[w]
+def single_changes(reader: Reader, w: str) -> list[tuple[str, str, str]]:
+    """(reading, part read, part meant) for every one change that makes the reading of an unknown word of it."""
+    got = reader.fix(w)
+    if got not in reader.known:
+        return []
+    return [(got, w[i : i + n], b) for i in range(len(w)) for n, b in reader.editor.options(w, i) if b is not None and w[:i] + b + w[i + n :] == got]
+
+
+def too_often(known: dict[str, int], editor: Editor, seen: dict[tuple[str, str], int]) -> Callable[[int, str, str, str], bool]:
+    """Whether a count is far above what misreadings of a known word would make, of a change seen so often: 20 times, and 20 more."""
     spots = {b: sum(n * w.count(b) for w, n in known.items() if b in w) for b in {b for _, b in editor.table if b}}
-    often = lambda w, pair: known[w] * (seen[pair] - unknown_of.get(pair, 0)) / max(spots.get(pair[1], 0), 1)
-    unknown_of: dict = {}
-    out = set()
-    for u, w, pair in held:
-        unknown_of = {pair: unknown[u]}  # a word is no evidence for itself
-        if pair[1] and unknown[u] > 20 * (often(w, pair) + 1):
-            out.add(u)
-    return frozenset(out)
+    # a word is no evidence for itself
+    return lambda n, got, a, b: bool(b) and n > 20 * (known[got] * (seen[a, b] - n) / max(spots.get(b, 0), 1) + 1)
+
 
+def right_by_count(unknown: dict[str, int], known: dict[str, int], editor: Editor) -> frozenset[str]:
+    """Unknown words seen far more often than misreadings of a known word would make them."""
+    reader, seen = Reader(known, editor), Counter()
+    held = [(w, *x) for w in unknown for x in single_changes(reader, w)]
+    for w, _, a, b in held:
+        seen[a, b] += unknown[w]
+    often = too_often(known, editor, seen)
+    return frozenset(w for w, got, a, b in held if often(unknown[w], got, a, b))
 
-def learn(texts: DataFrame, column: str, titles: DataFrame | None = None, title: str = "title", sample: int = SAMPLE, examples: int = EXAMPLES) -> tuple[dict[str, int], Editor, frozenset[str]]:
-    """Known words, the trained editor and the unknown words taken as right, of a collection.
 
-    sample bounds the unknown words the confusions are learned from, examples the damaged words of the training.
-    """
+def all_right_by_count(unknown: DataFrame, known: dict[str, int], editor: Editor) -> frozenset[str]:
+    """right_by_count of all rows (word, n) of a collection that are not known: words are read in tasks, only right ones are collected."""
+    from ..runtime import materialize
+
+    if not editor.table:
+        return frozenset()
+    sc = unknown.sparkSession.sparkContext
+    learned = sc.broadcast((known, editor))
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*learned.value)
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = [(w, n, *x) for w, n in pairs if w not in reader.known for x in single_changes(reader, w)]
+            reader.read.clear()
+            cols = [pa.array([r[k] for r in rows], pa.int64() if k == 1 else pa.string()) for k in range(5)]
+            yield pa.record_batch(cols, names=["word", "n", "got", "read", "meant"])
+
+    held = materialize(unknown.mapInArrow(changes, "word string, n bigint, got string, read string, meant string"), "changes")
+    seen = {(r["read"], r["meant"]): r["n"] for r in held.groupBy("read", "meant").agg(F.sum("n").alias("n")).collect()}  # at most one row a confusion
+    counted = sc.broadcast(seen)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = too_often(*learned.value, counted.value)
+        for batch in batches:
+            kept = [often(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)))]
+            yield pa.record_batch([batch.column(0).filter(pa.array(kept, pa.bool_()))], names=["word"])
+
+    return frozenset(r["word"] for r in held.where("n > 20").mapInArrow(above, "word string").distinct().collect())
+
+
+def learn(texts: DataFrame, column: str, titles: DataFrame | None = None, title: str = "title") -> tuple[dict[str, int], Editor, frozenset[str]]:
+    """Known words, the trained editor and the unknown words taken as right, of a collection: from all of its words."""
     from ..runtime import materialize
 
     counts = word_counts(texts, column)
@@ -595,14 +678,14 @@ def learn(texts: DataFrame, column: str, titles: DataFrame | None = None, title:
     rows = counts.where(F.col("n") >= max(SHARE * total, 3)).toPandas()  # at most 1/SHARE words
     often = dict(zip(rows["word"], (int(x) for x in rows["n"])))
     known = {w: n for w, n in often.items() if n >= max(SURE * total, 3)}
-    seen = unknown_counts(texts, column, frozenset(known)).orderBy(F.desc("n"), "word").limit(sample).toPandas()
-    unknown = dict(zip(seen["word"], (int(x) for x in seen["n"])))
-    editor = Editor(confusions(unknown, known))
+    unknown = materialize(unknown_counts(texts, column, frozenset(known)), "unknown")
+    unknown = unknown.repartition(unknown.count() // WORDS_A_TASK + 1)
+    editor = Editor(all_confusions(unknown, known))
     # A frequent word that is a likely misreading of a far more frequent one is none of the known words.
     lexicon = {w: n for w, n in often.items() if not any(often.get(r, 0) >= RATIO * n for _, r in editor.readings(w, 1))}
-    editor.train(lexicon, examples=examples)
+    editor.train(lexicon)
     editor.train_gaps(lexicon)
-    right = right_by_count({w: n for w, n in unknown.items() if w not in lexicon}, lexicon, editor)
+    right = all_right_by_count(unknown, lexicon, editor)
     return {w: n for w, n in often.items() if w in lexicon or w in right}, editor, right
 
 
